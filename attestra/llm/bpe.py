@@ -219,14 +219,14 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return got
 
 
-def encode_batches(path: str, text_at: int, out_schema: pa.Schema, counts: bool):
+def encode_batches(path: str, text_at: int, out: str, counts: bool):
     """A ``mapInArrow`` function that replaces column ``text_at`` by ids or by their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            columns = [c for i, c in enumerate(batch.columns) if i != text_at]
+            kept = [i for i in range(batch.num_columns) if i != text_at]
             if counts:
                 made = pa.array([enc.count(t) for t in texts], pa.int32())
             else:
@@ -235,7 +235,8 @@ def encode_batches(path: str, text_at: int, out_schema: pa.Schema, counts: bool)
                     flat += enc.encode(t)
                     offsets.append(len(flat))
                 made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([*columns, made.cast(out_schema.field(len(columns)).type)], schema=out_schema)
+            schema = pa.schema([*(batch.schema.field(i) for i in kept), pa.field(out, made.type)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], schema=schema)
 
     return run
 
@@ -244,10 +245,7 @@ def _map(df: DataFrame, text: str, out: str, path: str, counts: bool) -> DataFra
     kept = [c for c in df.columns if c not in (text, out)]
     kind: T.DataType = T.IntegerType() if counts else T.ArrayType(T.IntegerType())
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, kind)])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema, timezone="UTC")
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`")).mapInArrow(encode_batches(path, len(kept), arrow, counts), schema)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`")).mapInArrow(encode_batches(path, len(kept), out, counts), schema)
 
 
 def with_token_ids(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY) -> DataFrame:
