@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once for each Spark context.
+
+    Nothing is shipped where ``PYTHONPATH``, which executors inherit, already holds the package.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(_PACKAGE)
+    if getattr(sc, "_attestra_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "attestra"), "zip", root, "attestra")
+    sc.addPyFile(archive)  # served by the driver; executors fetch their own copy
+    sc._attestra_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One parquet table, pruned to ``columns`` when any are given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
