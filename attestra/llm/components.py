@@ -1,8 +1,11 @@
 """One group identifier for everything linked directly or indirectly (problem 6).
 
-Minimum labels are propagated across the edges and pulled forward by pointer
-jumping, so that chains take rounds in the logarithm of their length. Every round
-is written to the shared checkpoint folder; the loop ends when no label changes.
+In each round the minimum label is propagated across the edges and pulled forward by
+pointer jumping; edges are then drawn between labels instead of nodes, and those
+within one label fall away. Every label with an edge meets a smaller one or is met by
+a larger, so the labels left are at least halved each round. Every round is written to
+the shared checkpoint folder; the loop ends when no edge joins two labels, that is,
+when no label can change.
 
 A group of n records that share a value is n-1 edges to its smallest member, never
 all pairs. Messages to a node are reduced by ``min`` before they are shuffled, so a
@@ -40,19 +43,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     ids = both.join(named.select(F.col("key").alias("a"), F.col("id").alias("ia")), "a").join(named.select(F.col("key").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
     edge = cut(ids.union(ids.select("ib", "ia")).toDF("src", "dst"))
     label = named.select(F.col("id").alias("node"), F.col("id").alias("label"))
-    changed, rounds, last = 1, 0, None
-    while changed:
-        heard = edge.join(label, edge.src == label.node).select(F.col("dst").alias("node"), "label")
-        low = heard.unionByName(label).groupBy("node").agg(F.min("label").alias("label"))
-        up = label.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = low.join(up, "label", "left").select("node", F.least("label", "above").alias("label"))
-        old = label.select("node", F.col("label").alias("was"))
-        step = cut(jumped.join(old, "node").select("node", "label", (F.col("label") < F.col("was")).alias("moved")))
-        changed = step.where("moved").limit(1).count()
-        label = step.select("node", "label")
-        if last is not None:
-            free(last)
-        last = step
+    rounds, old = 0, []
+    while edge.limit(1).count():
+        low = edge.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("low"))
+        up = low.select(F.col("node").alias("low"), F.col("low").alias("above"))
+        step = cut(low.join(up, "low", "left").select("node", F.coalesce("above", "low").alias("to")))
+        moved = label.join(step.toDF("label", "to"), "label", "left")
+        label = cut(moved.select("node", F.coalesce("to", "label").alias("label")))
+        ends = edge.join(step.toDF("src", "a"), "src").join(step.toDF("dst", "b"), "dst")
+        edge = cut(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        for done in old:
+            free(done)
+        old = [edge, step, label]  # of this round; read by the next one only
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"labels still change after {max_rounds} rounds")
