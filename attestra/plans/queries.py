@@ -1,4 +1,507 @@
-"""The core's queries and the SQL they are held against."""
+"""The core's queries over the domain's tables, and the SQL that those are held against that SQL can express."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import claims as C
+from ..operators import logs as L
+from ..operators import notes as N
+from ..operators import pages as P
+from ..operators import support as S
+from ..operators import vault as V
+from ..operators import verdict as J
+from ..runtime import cut, table
+
+KEY = ["run_id", "slug", "dosya"]
+AS_OF = 1767225600.0  # 2026-01-01, so that no result depends on the day it is made
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of SQL shared by several queries.
+_CANON = """
+  case when regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) = '' then '' else
+  case when lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) in ('', 'http') then 'https' else lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) end || '://' || {h}
+  || case when regexp_replace(regexp_extract({u}, '//[^/?#]*([^?#]*)', 1), '/+$', '') = '' then '/' else regexp_replace(regexp_extract({u}, '//[^/?#]*([^?#]*)', 1), '/+$', '') end
+  || case when len({q}) = 0 then '' else '?' || array_to_string(list_sort({q}), '&') end end"""
+_HOST = "regexp_replace(regexp_replace(lower(regexp_extract({u}, '//([^/?#]*)', 1)), ':\\d*$', ''), '^www\\.', '')"
+_PARAMS = "list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(string_split(p, '=')[1]), 'utm_|^aff') and lower(string_split(p, '=')[1]) not in ('fbclid', 'gclid', 'ref'))"
+
+
+def _canon(u: str) -> str:
+    return _CANON.format(u=u, h=_HOST.format(u=u), q=_PARAMS.format(u=u))
+
+
+_OK = "ok and trim(coalesce(markdown, ''), ' ') <> ''"
+_LINES = "lines as (select run_id, slug, dosya, unnest(list_transform(range(len(string_split(metin, chr(10)))), lambda i: {'i': i, 'l': string_split(metin, chr(10))[i + 1]}), recursive := true) from notlar)"
+_SECTIONS = f"""{_LINES},
+  q as (select *, sum(case when starts_with(l, '## ') then 1 else 0 end) over (partition by run_id, slug, dosya order by i) - 1 as soru_no from lines),
+  s as (select *, last_value(case when starts_with(l, '### ') then trim(substr(l, 5)) end ignore nulls) over (partition by run_id, slug, dosya, soru_no order by i) as bolum from q),
+  sections as (select run_id, slug, dosya, cast(soru_no as bigint) soru_no, i satir, bolum, l metin from s where soru_no >= 0 and bolum is not null and not starts_with(l, '## ') and not starts_with(l, '### '))"""
+
+
+def _notes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "notlar")
+
+
+def _findings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "bulgular").withColumnRenamed("metin", "iddia").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>"))).dropDuplicates([*KEY, "sira"])
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return cut(J.best_pages(table(s, d, "onbellek", "kayit_no", "istenen_url", "ok", "markdown", "ham_bayt", "fetched_at")))
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    return J.verify(_findings(s, d), _pages(s, d), [*KEY, "sira"])
+
+
+# Notes.
+
+
+@query(f"with {_SECTIONS} select run_id, dosya, soru_no, satir, bolum, metin from sections")
+def p_note_sections(s, d):
+    return N.section_lines(_notes(s, d), KEY).select("run_id", "dosya", "soru_no", "satir", "bolum", "metin")
+
+
+@query(
+    f"with {_SECTIONS}, b as (select *, trim(metin) t from sections where bolum = 'Alıntılı bulgular'), "
+    "c as (select *, trim(regexp_replace(t, '^(?:[-*]|\\d+[.)])\\s+', '')) iddia from b where regexp_matches(t, '^(?:[-*]|\\d+[.)])\\s+')) "
+    "select run_id, dosya, soru_no, row_number() over (partition by run_id, slug, dosya order by satir) - 1 as sira, iddia, len(regexp_extract_all(iddia, '\\]\\(https?://')) as adres from c where iddia not in ('', '—', '-')"
+)
+def p_note_findings(s, d):
+    f = N.findings(_notes(s, d), KEY)
+    return f.select("run_id", "dosya", "soru_no", "sira", "iddia", F.size(N.bullet_urls(F.col("iddia"))).alias("adres"))
+
+
+@query()
+def p_note_problems(s, d):
+    return N.note_problems(_notes(s, d), KEY)
+
+
+@query(f"with {_SECTIONS} select run_id, dosya, soru_no, satir, trim(regexp_replace(trim(metin), '^(?:[-*]|\\d+[.)])\\s+', '')) bosluk from sections where bolum = 'Boşluklar' and regexp_matches(trim(metin), '^(?:[-*]|\\d+[.)])\\s+')")
+def p_gap_lines(s, d):
+    return N.gap_lines(_notes(s, d), KEY).select("run_id", "dosya", "soru_no", "satir", "bosluk")
+
+
+@query()
+def p_report_items(s, d):
+    return S.report_items(_notes(s, d), KEY)
+
+
+@query()
+def p_sentences(s, d):
+    lines = N.section_lines(_notes(s, d), KEY).where("bolum = 'Özet'")
+    return lines.select(*KEY, "soru_no", F.explode(S.sentences(F.col("metin"))).alias("cumle"))
+
+
+@query("select kayit_no, len(list_filter(string_split(markdown, chr(10)), lambda l: starts_with(l, '#'))) as n from (select distinct kayit_no, markdown from onbellek where markdown is not null)")
+def p_outline(s, d):
+    return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", F.size(P.outline(F.col("markdown"), 10**6)).alias("n"))
+
+
+@query()
+def p_reader_passages(s, d):
+    pages = table(s, d, "onbellek", "kayit_no", "ok", "markdown").where(_OK.replace(", ' ')", ")")).dropDuplicates(["kayit_no"])
+    return P.with_passages(pages.select("kayit_no", "markdown"))
+
+
+@query()
+def p_vault_passages(s, d):
+    pages = table(s, d, "onbellek", "kayit_no", "ok", "markdown").where("ok and trim(coalesce(markdown, '')) <> ''").dropDuplicates(["kayit_no"])
+    return pages.select("kayit_no", F.posexplode(V.passages(F.col("markdown"))).alias("sira", "metin"))
+
+
+# Text.
+
+
+@query("select run_id, dosya, sira, list_filter(list_transform(regexp_extract_all(metin, '\"([^\"]*)\"', 1), lambda q: trim(q)), lambda q: length(q) between 12 and 320)[1:3] as alintilar from (select distinct run_id, slug, dosya, sira, metin from bulgular)")
+def t_quotes(s, d):
+    f = _findings(s, d)
+    return f.select("run_id", "dosya", "sira", F.slice(T.quotes(F.col("iddia")), 1, T.QUOTE_CAP).alias("alintilar"))
+
+
+@query()
+def t_evidence(s, d):
+    return _findings(s, d).select("run_id", "dosya", "sira", T.evidence(F.col("iddia")).alias("ev")).select("run_id", "dosya", "sira", "ev.*")
+
+
+@query()
+def t_number_variants(s, d):
+    return _findings(s, d).select(F.explode("sayilar").alias("sayi")).distinct().select("sayi", T.number_variants(F.regexp_replace("sayi", " ", "")).alias("bicimler"))
+
+
+@query("select pasaj_no, trim(regexp_replace(regexp_replace(regexp_replace(lower(metin), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' +', ' ', 'g')) as m from (select distinct pasaj_no, metin from pasaj where not regexp_matches(metin, '[İ\\x{2000}-\\x{200f}\\x{2060}]'))")
+def t_copy_norm(s, d):
+    p = table(s, d, "pasaj", "pasaj_no", "metin").where(~F.col("metin").rlike(r"[İ\x{2000}-\x{200f}\x{2060}]")).distinct()
+    return p.select("pasaj_no", T.copy_norm(F.col("metin")).alias("m"))
+
+
+@query("select pasaj_no, len(list_distinct(regexp_extract_all(metin, '[\\p{L}\\p{N}_]{3,}'))) as n, greatest(1, length(metin) // 4) as birim from (select distinct pasaj_no, metin from pasaj)")
+def t_word_set(s, d):
+    p = table(s, d, "pasaj", "pasaj_no", "metin").distinct()
+    return p.select("pasaj_no", F.size(T.word_set(F.col("metin"))).alias("n"), T.token_estimate(F.col("metin")).alias("birim"))
+
+
+@query()
+def t_rare_numbers(s, d):
+    return _findings(s, d).select("run_id", "dosya", "sira", T.rare_numbers(F.col("iddia")).alias("sayilar"))
+
+
+@query()
+def t_concrete_items(s, d):
+    return p_sentences(s, d).select("run_id", "dosya", "soru_no", F.explode(S.items(F.col("cumle"))).alias("i")).select("run_id", "dosya", "soru_no", "i.*")
+
+
+@query("select run_id, dosya, sira, cast(regexp_extract(t, '(\\d{4})-\\d{2}', 1) as int) as yil, cast(regexp_extract(t, '\\d{4}-(\\d{2})', 1) as int) as ay, case when contains(lower(t), 'birincil') then 'primary' else 'secondary' end as tur from (select distinct run_id, dosya, sira, regexp_extract_all(metin, '\\([^()]*(?:birincil|ikincil)[^()]*\\)')[-1] as t from bulgular) where t is not null")
+def t_citation_tag(s, d):
+    rows = _findings(s, d).withColumn("k", T.citation_tag(F.col("iddia"))).where("k is not null")
+    return rows.select("run_id", "dosya", "sira", F.col("k.year").alias("yil"), F.col("k.month").alias("ay"), F.col("k.kind").alias("tur"))
+
+
+@query("select kayit_no, len(regexp_extract_all(lower(markdown), 'ignore (?:all |the )?(?:previous|prior|above) (?:instructions|prompts)|disregard (?:the )?(?:previous|above)|you are now|system prompt|do not tell the user|new instructions:')) as n from (select distinct kayit_no, markdown from onbellek where markdown is not null)")
+def t_injection(s, d):
+    return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", T.injection_count(F.col("markdown")).alias("n"))
+
+
+@query()
+def t_masked(s, d):
+    return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", (T.mask_secrets(F.col("markdown")) != F.col("markdown")).alias("gizli"))
+
+
+# Addresses and trust.
+
+
+@query(f"select distinct istenen_url, {_canon('istenen_url')} as url from onbellek where istenen_url is not null")
+def u_canonical(s, d):
+    return table(s, d, "onbellek", "istenen_url").where("istenen_url is not null").distinct().select("istenen_url", U.canonical(F.col("istenen_url")).alias("url"))
+
+
+@query(f"select {_HOST.format(u='url')} as alan, count(distinct url) as n from sayfa where url is not null group by 1")
+def u_host_counts(s, d):
+    return table(s, d, "sayfa", "url").where("url is not null").groupBy(U.host(F.col("url")).alias("alan")).agg(F.count_distinct("url").alias("n"))
+
+
+@query(
+    "select distinct istenen_url, case when regexp_matches(regexp_extract(istenen_url, '//([^/?#]*)', 1), '^(?:www\\.)?(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 55 else 50 end"
+    " - case when starts_with(istenen_url, 'http://') then 10 else 0 end - case when regexp_matches(lower(regexp_extract(istenen_url, '//[^/?#]*([^?#]*)', 1)), '(?:^|[/-])(best|top-?\\d+|\\d+-best|review|reviews|coupon|coupons|alternatives|cheap|affiliate|ultimate-guide|deals?)(?:[/-]|$)') then 8 else 0 end"
+    " - case when regexp_matches(lower(regexp_extract(istenen_url, '\\?([^#]*)', 1)), '(?:^|&)(utm_[a-z]+|aff[a-z_]*|ref|fbclid|gclid)=') then 3 else 0 end as puan from onbellek where istenen_url is not null"
+)
+def u_trust(s, d):
+    return table(s, d, "onbellek", "istenen_url").where("istenen_url is not null").distinct().select("istenen_url", U.trust_score(F.col("istenen_url")).alias("puan"))
+
+
+@query()
+def u_assessment(s, d):
+    f = _findings(s, d).where(F.size("urls") > 0)
+    best = F.array_max(F.transform("urls", lambda u: U.trust_score(u)))
+    tag = T.citation_tag(F.col("iddia"))
+    flags = F.array_compact(F.array(F.when(best < 50, "weak"), F.when((tag["kind"] == "primary") & (best < 65), "primary-mismatch"), F.when(T.age_months(tag, 2026, 1) >= 18, "stale")))
+    return f.select("run_id", "dosya", "sira", best.alias("puan"), flags.alias("bayrak"))
+
+
+@query()
+def u_planned(s, d):
+    hints = table(s, d, "plan_konu").select("slug", F.explode(F.regexp_extract_all(F.coalesce("kaynaklar", F.lit("")), F.lit(r"(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[\w./%-]*)?"), 0)).alias("h")).select("slug", F.regexp_replace("h", "/.*$", "").alias("hh"), F.regexp_extract("h", "(/.*)$", 1).alias("hp"))
+    rows = _findings(s, d).select(*KEY, "sira", F.explode("urls").alias("url")).join(F.broadcast(hints), "slug")  # one row for each hint of a plan
+    return rows.where(U.hint_matches(F.col("url"), F.col("hh"), F.col("hp"))).select("run_id", "dosya", "sira", "url", "hh").distinct()
+
+
+@query("select host as alan, count(distinct url) as adres, avg(case when starts_with(url, 'http://') then 40.0 else 50.0 end + case when regexp_matches(host, '^(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 5 else 0 end) as ortalama from (select distinct url, regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), '^www\\.', '') host from sayfa where url is not null) group by 1")
+def a_domain_trust(s, d):
+    p = table(s, d, "sayfa", "url").where("url is not null").distinct()
+    return p.groupBy(U.host(F.col("url")).alias("alan")).agg(F.count_distinct("url").alias("adres"), F.avg(U.trust_score(F.col("url"))).alias("ortalama"))
+
+
+# Verdicts.
+
+
+@query()
+def v_verdicts(s, d):
+    return _verdicts(s, d)
+
+
+@query()
+def v_verdict_counts(s, d):
+    return _verdicts(s, d).groupBy("karar").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "karar")
+
+
+@query(
+    f"with p as (select {_canon('istenen_url')} u, markdown, row_number() over (partition by {_canon('istenen_url')} order by coalesce(fetched_at, 0) desc, kayit_no desc) r from onbellek where {_OK} and trim(coalesce(istenen_url, '')) <> ''), "
+    "f as (select distinct run_id, dosya, sira, alintilar, urls from bulgular), q as (select run_id, dosya, sira, unnest(alintilar) q, urls from f), u as (select run_id, dosya, sira, q, unnest(urls[1:2]) url from q where length(q) between 12 and 320), "
+    f"c as (select *, {_canon('url')} cu from u) select run_id, dosya, sira, q as alinti, coalesce(bool_or(contains(lower(p.markdown), lower(q))), false) as var from c left join p on p.u = c.cu and p.r = 1 group by all"
+)
+def v_quote_on_page(s, d):
+    """Whether a quotation stands letter by letter on one of the first two pages cited."""
+    ok = table(s, d, "onbellek", "kayit_no", "istenen_url", "ok", "markdown", "fetched_at").where("ok and trim(coalesce(markdown, '')) <> '' and trim(coalesce(istenen_url, '')) <> ''")
+    p = ok.groupBy(U.canonical(F.col("istenen_url")).alias("cu")).agg(F.lower(F.max_by("markdown", F.struct(F.coalesce("fetched_at", F.lit(0.0)), "kayit_no"))).alias("m"))
+    q = _findings(s, d).select("run_id", "dosya", "sira", F.explode("alintilar").alias("alinti"), F.slice("urls", 1, 2).alias("u")).where(F.length("alinti").between(12, 320)).withColumn("url", F.explode("u"))
+    rows = q.withColumn("cu", U.canonical(F.col("url"))).join(p, "cu", "left")
+    return rows.groupBy("run_id", "dosya", "sira", "alinti").agg(F.coalesce(F.bool_or(F.contains("m", F.lower("alinti"))), F.lit(False)).alias("var"))
+
+
+@query()
+def v_coverage(s, d):
+    return J.coverage(_findings(s, d))
+
+
+@query()
+def v_support(s, d):
+    lines = N.section_lines(_notes(s, d), KEY)
+    return S.support(lines, N.findings(_notes(s, d), KEY), _pages(s, d), KEY)
+
+
+@query()
+def v_support_severity(s, d):
+    return S.severity(v_support(s, d))
+
+
+@query()
+def v_report_check(s, d):
+    return S.check_report(p_report_items(s, d), _pages(s, d), KEY)
+
+
+@query()
+def v_report_extras(s, d):
+    noted = _findings(s, d).select(F.explode("urls").alias("url"))
+    return S.report_extras(p_report_items(s, d), noted, _pages(s, d), KEY)
+
+
+@query()
+def v_contract(s, d):
+    n = _notes(s, d)
+    return N.contract(n, table(s, d, "plan_konu"), N.findings(n, KEY), KEY).groupBy("neden").agg(F.count("*").alias("n"))
+
+
+@query(
+    "with f as (select distinct run_id, slug, dosya, sira, urls from bulgular), n as (select distinct run_id, slug, dosya from f), u as (select run_id, slug, dosya, count(distinct x) a from (select run_id, slug, dosya, unnest(urls) x from f) group by all) "
+    "select n.run_id, n.dosya, coalesce(u.a, 0) as adres, coalesce(p.min_url, p.min_url_required, 8) as en_az from n left join u using (run_id, slug, dosya) left join plan_konu p using (slug) where coalesce(u.a, 0) < coalesce(p.min_url, p.min_url_required, 8)"
+)
+def v_weak_notes(s, d):
+    return N.weak_notes(_findings(s, d), table(s, d, "plan_konu"), KEY).select("run_id", "dosya", "adres", "en_az")
+
+
+@query()
+def v_plan_problems(s, d):
+    return C.plan_problems(table(s, d, "plan_konu"))
+
+
+# Joins.
+
+
+@query(
+    "with k as (select slug, unnest(list_transform(range(len(olgular)), lambda i: {'no': i, 'o': olgular[i + 1]}), recursive := true) from plan_konu where olgular is not null), f as (select distinct slug, run_id, regexp_replace(regexp_replace(metin, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\([^()]*(?:birincil|ikincil)[^()]*\\)', ' ', 'g') t from bulgular) "
+    "select distinct slug, cast(no as int) as no, run_id from k join f using (slug) where trim(ad) <> '' and trim(ara) <> '' and regexp_matches(lower(t), lower(ara))"
+)
+def j_fact_hits(s, d):
+    return C.fact_hits(C.facts(table(s, d, "plan_konu")), _findings(s, d))
+
+
+@query()
+def j_ordered_match(s, d):
+    a = N.findings(_notes(s, d), KEY).withColumn("anahtar", C.claim_key(F.col("iddia"))).select(*KEY, "anahtar", "sira")
+    b = _verdicts(s, d).join(_findings(s, d).select(*KEY, "sira", C.claim_key(F.col("iddia")).alias("anahtar")), [*KEY, "sira"]).select(*KEY, "anahtar", F.col("sira").alias("karar_sira"), "karar")
+    return C.match_in_order(a, b, [*KEY, "anahtar"], ["sira"], ["karar_sira"])
+
+
+@query()
+def j_clean_notes(s, d):
+    v = _verdicts(s, d).join(_findings(s, d).select(*KEY, "sira", C.claim_key(F.col("iddia")).alias("iddia")), [*KEY, "sira"])
+    return N.clean_lines(_notes(s, d), v.select(*KEY, "iddia", "karar", "neden"), KEY)
+
+
+@query()
+def j_leftover_mentions(s, d):
+    gone = _verdicts(s, d).where("karar = 'NOT_FOUND'").join(_findings(s, d).select(*KEY, "sira", "iddia"), [*KEY, "sira"])
+    return N.leftover_mentions(gone, N.section_lines(_notes(s, d), KEY), KEY)
+
+
+@query(
+    "with p as (select url, string_agg(m, chr(10) order by sira) t from (select distinct url, sira, coalesce(metin, '') m from pasaj) group by url), w as (select url, list_filter(string_split(substr(trim(regexp_replace(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')), 1, 6000), ' '), lambda x: x <> '') w from p), "
+    "s as (select distinct url, unnest(case when len(w) = 0 then [] when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end) x from w), n as (select url, count(*) n from s group by url) "
+    "select a.url as a, b.url as b, count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) as benzerlik from s a join s b on a.x = b.x and a.url < b.url join n na on na.url = a.url join n nb on nb.url = b.url group by 1, 2 having count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.85"
+)
+def j_copy_pairs(s, d):
+    return V.copy_pairs(V.page_texts(table(s, d, "pasaj", "url", "sira", "metin")))
+
+
+@query()
+def r_copy_groups(s, d):
+    return V.copy_groups(table(s, d, "sayfa", "url", "alindi"), cut(j_copy_pairs(s, d)))
+
+
+@query(f"select u as url, alindi, kayit_no from (select *, row_number() over (partition by u order by alindi desc, kayit_no) r from (select distinct {_canon('istenen_url')} u, coalesce(fetched_at, 0) alindi, kayit_no from onbellek where {_OK}) where u <> '') where r = 1")
+def r_upsert(s, d):
+    return V.upsert(table(s, d, "onbellek", "istenen_url", "ok", "markdown", "fetched_at", "kayit_no"))
+
+
+@query(
+    f"with r as (select distinct {_canon('istenen_url')} u, coalesce(fetched_at, 0) t, kayit_no from onbellek where {_OK}), b as (select *, max(t) over (partition by u order by kayit_no rows between unbounded preceding and 1 preceding) m from r where u <> '') "
+    "select case when m is null then 'added' when t > m then 'updated' else 'skipped' end as islem, count(*) as n from b group by 1"
+)
+def r_upsert_counts(s, d):
+    return V.upsert_counts(table(s, d, "onbellek", "istenen_url", "ok", "markdown", "fetched_at", "kayit_no"))
+
+
+_CITED = "c as (select distinct run_id, dosya, x url from (select run_id, dosya, unnest(urls) x from bulgular)), g as (select kopya_grubu, count(distinct url) n from sayfa where kopya_grubu is not null group by 1), p as (select url, any_value(host) host, any_value(kopya_grubu) k from sayfa group by url)"
+
+
+@query(
+    f"with {_CITED} select run_id, dosya, count(*) as adres, count(p.url) as okunan, count(distinct regexp_replace(lower(regexp_extract(c.url, '//([^/?#]*)', 1)), '^www\\.', '')) as alan_adi, "
+    "count(distinct case when p.url is not null then regexp_replace(lower(regexp_extract(c.url, '//([^/?#]*)', 1)), '^www\\.', '') end) as okunan_alan_adi, count(distinct case when p.url is not null then case when g.n > 1 then 'g:' || p.k when p.host is not null then 'h:' || p.host end end) as bagimsiz from c left join p using (url) left join g on g.kopya_grubu = p.k group by all"
+)
+def a_independence(s, d):
+    cited = _findings(s, d).select("run_id", "dosya", F.explode("urls").alias("url"))
+    pages = table(s, d, "sayfa").select("url", "host", F.col("kopya_grubu").alias("grup"))
+    return V.independent_sources(cited, pages, ["run_id", "dosya"])
+
+
+@query("select (select count(distinct url) from sayfa) as sayfa, (select count(distinct host) from sayfa) as alan_adi, (select min(alindi) from sayfa) as ilk, (select max(alindi) from sayfa) as son, (select count(distinct pasaj_no) from pasaj) as pasaj, (select count(*) from (select kopya_grubu from sayfa where kopya_grubu is not null group by 1 having count(distinct url) > 1)) as kopya_grubu")
+def a_vault_statistics(s, d):
+    return V.statistics(table(s, d, "sayfa"), table(s, d, "pasaj", "pasaj_no"))
+
+
+_TERMS = ["audit", "log", "archive", "storage"]
+
+
+@query(
+    "with p as (select distinct pasaj_no, list_filter(regexp_extract_all(lower(metin), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_.\\-+%/]*'), lambda t: length(t) > 1 and t not in ("
+    + ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    + ")) t from pasaj where metin is not null), c as (select pasaj_no, len(t) dl, "
+    + ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) f{i}" for i, w in enumerate(sorted(_TERMS)))
+    + " from p), s as (select count(*) n, avg(dl) a, "
+    + ", ".join(f"count(*) filter (f{i} > 0) d{i}" for i in range(4))
+    + " from c) select pasaj_no, round("
+    + " + ".join(f"case when f{i} > 0 then ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.4 / (f{i} + 1.4 * (0.25 + 0.75 * dl / a)) else 0 end" for i in range(4))
+    + ", 6) as skor from c, s where "
+    + " + ".join(f"f{i}" for i in range(4))
+    + " > 0"
+)
+def r_bm25(s, d):
+    rows = table(s, d, "pasaj", "pasaj_no", "metin").where("metin is not null").dropDuplicates(["pasaj_no"])
+    return V.bm25(rows, _TERMS, "pasaj_no", T.search_tokens(F.col("metin"))).select("pasaj_no", F.round("skor", 6).alias("skor"))
+
+
+@query()
+def r_vault_search(s, d):
+    return V.search(table(s, d, "pasaj"), table(s, d, "sayfa"), "audit log archive", 10, AS_OF)
+
+
+@query()
+def r_budget(s, d):
+    """Passages of each page chosen for 'audit log' within 300 tokens, in the page's order."""
+    p = p_reader_passages(s, d).withColumn("id", F.concat_ws(":", "kayit_no", "pasaj"))
+    ranked = V.bm25(p, ["audit", "log"], "id", P.search_text(F.col("baslik"), F.col("metin")), within=["kayit_no"]).join(p.select("id", "pasaj", "metin"), "id")
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("skor")).alias("s"), F.col("pasaj").alias("i"), T.token_estimate(F.col("metin")).alias("tokens")))), lambda x: F.struct(x["i"].alias("i"), x["tokens"].alias("tokens")))
+    return ranked.groupBy("kayit_no").agg(V.budget_choice(order, 300).alias("pasajlar"))
+
+
+# Aggregations.
+
+
+@query()
+def a_fact_coverage(s, d):
+    k = C.facts(table(s, d, "plan_konu"))
+    return C.fact_coverage(k, C.fact_hits(k, _findings(s, d)))
+
+
+@query()
+def a_follow_up(s, d):
+    k = C.facts(table(s, d, "plan_konu"))
+    return C.follow_up(k, C.fact_hits(k, _findings(s, d)))
+
+
+@query(
+    "with f as (select distinct run_id, dosya, sira, urls from bulgular), u as (select run_id, dosya, sira, unnest(case when len(urls) > 0 then urls else [null] end) url from f), h as (select *, case when url is not null then regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\\.', '') end h from u) "
+    "select run_id, dosya, count(distinct sira) as bulgu, count(distinct case when url is null then sira end) as kaynaksiz, count(distinct url) as adres, count(distinct h) as alan_adi, count(distinct regexp_replace(url, '#.*$', '')) as belge, count(distinct sira) >= 3 and count(distinct h) = 1 as tek_kaynak from h group by all"
+)
+def a_note_audit(s, d):
+    return N.audit(_findings(s, d), ["run_id", "dosya"])
+
+
+@query()
+def a_candidates(s, d):
+    rows = _findings(s, d).withColumn("puan", N.candidate_score(F.col("iddia"), F.col("urls"))).where("puan is not null")
+    return rows.orderBy(F.desc("puan"), "run_id", "dosya", "sira").limit(8).select("run_id", "dosya", "sira", "puan")
+
+
+@query("select run_id, dosya, len(list_filter(regexp_split_to_array(metin, '\\s+'), lambda x: x <> '')) as sozcuk, len(list_filter(string_split(metin, chr(10)), lambda l: starts_with(l, '#'))) as baslik, len(list_filter(string_split(metin, chr(10)), lambda l: starts_with(l, '|') and not regexp_matches(l, '^\\|[\\s:|-]+$'))) as tablo_satiri, len(list_distinct(regexp_extract_all(metin, 'https?://[^\\s)<>\\]]+'))) as adres from notlar")
+def a_report_metrics(s, d):
+    return S.report_metrics(_notes(s, d), ["run_id", "dosya"])
+
+
+@query()
+def c_claim_features(s, d):
+    return C.claim_features(_findings(s, d), [*KEY, "sira"])
+
+
+@query()
+def c_same_claims(s, d):
+    f = C.claim_features(_findings(s, d), [*KEY, "sira"])
+    return C.same_claim_pairs(f, [*KEY, "sira"]).select(F.col("a_slug").alias("slug"), "a_run_id", "a_dosya", "a_sira", "b_run_id", "b_dosya", "b_sira")
+
+
+def _clusters(s: SparkSession, d: str):
+    f = cut(C.claim_features(_findings(s, d), ["slug", "run_id", "dosya", "sira"]))
+    return cut(C.clusters(f)), f
+
+
+@query()
+def c_clusters(s, d):
+    return C.cluster_statistics(_clusters(s, d)[0])
+
+
+@query()
+def c_representatives(s, d):
+    return C.representatives(*_clusters(s, d))
+
+
+@query()
+def c_conflicts(s, d):
+    return C.conflicts(*_clusters(s, d))
+
+
+@query()
+def c_nli_pairs(s, d):
+    v = _verdicts(s, d).join(_findings(s, d).select(*KEY, "sira", "iddia"), [*KEY, "sira"])
+    return C.nli_pairs(v, _pages(s, d))
+
+
+# Time.
+
+
+@query("select url, alindi is not null and 1767225600 - alindi > 30 * 86400 as eski from (select distinct url, alindi from sayfa)")
+def w_stale_pages(s, d):
+    p = table(s, d, "sayfa", "url", "alindi").distinct()
+    return p.select("url", F.coalesce(F.lit(AS_OF) - F.col("alindi") > V.STALE_DAYS * 86400, F.lit(False)).alias("eski"))
+
+
+@query("select kayit_no, substr(sha1('v7|' || istenen_url || '|md'), 1, 24) as anahtar, coalesce(1767225600 - fetched_at < 21600, false) as taze from (select distinct kayit_no, istenen_url, fetched_at from onbellek)")
+def w_cache(s, d):
+    p = table(s, d, "onbellek", "kayit_no", "istenen_url", "fetched_at").distinct()
+    return p.select("kayit_no", P.cache_key(F.col("istenen_url")).alias("anahtar"), P.cache_fresh(F.col("fetched_at"), AS_OF).alias("taze"))
+
+
+@query("with o as (select distinct kayit_no, host, fetched_at t from onbellek where host is not null and fetched_at is not null), i as (select *, row_number() over (partition by host order by t, kayit_no) i from o) select kayit_no, round(max(t - i * 0.5) over (partition by host order by i) + i * 0.5, 3) as slot from i")
+def w_host_slots(s, d):
+    p = table(s, d, "onbellek").select("kayit_no", "host", F.col("fetched_at").alias("t")).where("host is not null and t is not null").distinct()
+    return V.host_slots(p).select("kayit_no", F.round("slot", 3).alias("slot"))
+
+
+@query("with w as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id) adim from events) select user_id, cast(adim as bigint) as adim, count(*) as olay, round(sum(value), 2) as deger from w group by 1, 2")
+def l_event_steps(s, d):
+    return L.step_metrics(table(s, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup")

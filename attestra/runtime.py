@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def lazy_udf(kind: str):
+    """A pandas UDF with a DDL return type that is made when first used, so that modules import without a session."""
+
+    def of(f):
+        @functools.wraps(f)
+        def call(*columns):
+            return F.pandas_udf(f, kind)(*columns)
+
+        return call
+
+    return of
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, where it would otherwise be repeated inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
