@@ -65,7 +65,7 @@ def cut_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int
     out, at, room = [], 0, limit
     while n - at > room:
         lo, hi = at + least, at + room
-        mark = lo + int(np.argmin(marks[lo : hi + 1]))
+        mark = hi - int(np.argmin(marks[lo : hi + 1][::-1]))  # of equal ones the last, for the fewest pieces
         place = 0
         for level in ends:
             i, j = np.searchsorted(level, (lo, hi + 1))

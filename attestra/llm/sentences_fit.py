@@ -25,7 +25,7 @@ ROWS, OFTEN, ROUNDS = 20_000, 40, 60
 
 def _key(lang: str, before: str) -> tuple[str, str]:
     if before[-1:].isdigit():
-        return lang, "0" * min(3, len(re.sub(r".*\D", "", before)))
+        return lang, "0" if len(re.sub(r".*\D", "", before)) < 3 else "000"
     return lang, before.lower() if len(before) <= 12 else shape(before)
 
 
