@@ -200,6 +200,7 @@ def _matches(rows: DataFrame) -> DataFrame:
 
 def shared_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (``doc_id``, ``text``): the classes (``doc_id``, ``cid``, ``n``) of documents long enough, and the matched runs of classes."""
+    docs = docs.select("doc_id", "text")
     long = docs.where(F.length("text") >= SPAN).withColumn("cid", F.xxhash64("text"))
     members = cut(long.select("doc_id", "cid", F.length("text").alias("n")).distinct())
     postings = cut(_postings(long).distinct())
