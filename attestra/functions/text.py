@@ -175,14 +175,24 @@ def quote_parts(quote: Column) -> Column:
     return F.when(F.size(long) > 0, long).otherwise(F.array(norm(quote, False)))
 
 
+def holds_parts(page: Column, flat: Column, parts: Column) -> Column:
+    """Whether all parts stand on a page, or without hyphens on the page without them."""
+    return F.forall(parts, lambda p: (p != "") & (F.contains(page, p) | F.contains(flat, F.replace(p, F.lit("-"), F.lit("")))))
+
+
 def has_quote(page: Column, quote: Column) -> Column:
     """Whether all parts of a quotation stand on a normalised page, hyphens apart."""
-    flat = F.regexp_replace(page, "-", "")
-    return F.forall(quote_parts(quote), lambda p: (p != "") & (F.contains(page, p) | F.contains(flat, F.regexp_replace(p, "-", ""))))
+    return holds_parts(page, F.replace(page, F.lit("-"), F.lit("")), quote_parts(quote))
+
+
+def code_pattern(code: Column) -> Column:
+    """A pattern for a code span with no longer name around it; one that nothing matches for an empty span."""
+    c = norm(code, False)
+    return F.when(c == "", r"(?!)").otherwise(F.concat(F.lit(r"(?<![\p{L}\p{N}_-])\Q"), c, F.lit(r"\E(?![\p{L}\p{N}_-])")))
 
 
 def has_code(page: Column, code: Column) -> Column:
-    return F.coalesce(F.regexp(page, F.concat(F.lit(r"(?<![\p{L}\p{N}_-])\Q"), norm(code, False), F.lit(r"\E(?![\p{L}\p{N}_-])"))), F.lit(False)) & (norm(code, False) != "")
+    return F.regexp(page, code_pattern(code))
 
 
 def has_number(page: Column, number: Column) -> Column:

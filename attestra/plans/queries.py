@@ -62,12 +62,21 @@ def _findings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "bulgular").withColumnRenamed("metin", "iddia").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>"))).dropDuplicates([*KEY, "sira"])
 
 
-def _pages(s: SparkSession, d: str) -> DataFrame:
-    return cut(J.best_pages(table(s, d, "onbellek", "kayit_no", "istenen_url", "ok", "markdown", "ham_bayt", "fetched_at")))
+def _pages(s: SparkSession, d: str, cited: DataFrame) -> DataFrame:
+    return cut(J.best_pages(table(s, d, "onbellek", "kayit_no", "istenen_url", "ok", "markdown", "ham_bayt", "fetched_at"), cited))
+
+
+def _item_urls(items: DataFrame) -> DataFrame:
+    return items.select(F.explode(N.bullet_urls(F.col("metin"))).alias("url")).distinct()
+
+
+def _cited(found: DataFrame) -> DataFrame:
+    return found.select(F.explode("urls").alias("url")).distinct()
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    return J.verify(_findings(s, d), _pages(s, d), [*KEY, "sira"])
+    f = _findings(s, d)
+    return J.verify(f, _pages(s, d, _cited(f)), [*KEY, "sira"])
 
 
 # Notes.
@@ -221,10 +230,10 @@ def u_planned(s, d):
     return rows.where(U.hint_matches(F.col("url"), F.col("hh"), F.col("hp"))).select("run_id", "dosya", "sira", "url", "hh").distinct()
 
 
-@query("select host as alan, count(distinct url) as adres, avg(case when starts_with(url, 'http://') then 40.0 else 50.0 end + case when regexp_matches(host, '^(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 5 else 0 end) as ortalama from (select distinct url, regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), '^www\\.', '') host from sayfa where url is not null) group by 1")
+@query("select host as alan, count(distinct url) as adres, round(avg(case when starts_with(url, 'http://') then 40.0 else 50.0 end + case when regexp_matches(host, '^(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 5 else 0 end), 6) as ortalama from (select distinct url, regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), '^www\\.', '') host from sayfa where url is not null) group by 1")
 def a_domain_trust(s, d):
     p = table(s, d, "sayfa", "url").where("url is not null").distinct()
-    return p.groupBy(U.host(F.col("url")).alias("alan")).agg(F.count_distinct("url").alias("adres"), F.avg(U.trust_score(F.col("url"))).alias("ortalama"))
+    return p.groupBy(U.host(F.col("url")).alias("alan")).agg(F.count_distinct("url").alias("adres"), F.round(F.avg(U.trust_score(F.col("url"))), 6).alias("ortalama"))
 
 
 # Verdicts.
@@ -261,8 +270,8 @@ def v_coverage(s, d):
 
 @query()
 def v_support(s, d):
-    lines = N.section_lines(_notes(s, d), KEY)
-    return S.support(lines, N.findings(_notes(s, d), KEY), _pages(s, d), KEY)
+    lines, f = N.section_lines(_notes(s, d), KEY), N.findings(_notes(s, d), KEY)
+    return S.support(lines, f, _pages(s, d, _cited(f)), KEY)
 
 
 @query()
@@ -272,13 +281,15 @@ def v_support_severity(s, d):
 
 @query()
 def v_report_check(s, d):
-    return S.check_report(p_report_items(s, d), _pages(s, d), KEY)
+    items = p_report_items(s, d)
+    return S.check_report(items, _pages(s, d, _item_urls(items)), KEY)
 
 
 @query()
 def v_report_extras(s, d):
     noted = _findings(s, d).select(F.explode("urls").alias("url"))
-    return S.report_extras(p_report_items(s, d), noted, _pages(s, d), KEY)
+    items = p_report_items(s, d)
+    return S.report_extras(items, noted, _pages(s, d, _item_urls(items)), KEY)
 
 
 @query()
@@ -333,10 +344,10 @@ def j_leftover_mentions(s, d):
 @query(
     "with p as (select url, string_agg(m, chr(10) order by sira) t from (select distinct url, sira, coalesce(metin, '') m from pasaj) group by url), w as (select url, list_filter(string_split(substr(trim(regexp_replace(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')), 1, 6000), ' '), lambda x: x <> '') w from p), "
     "s as (select distinct url, unnest(case when len(w) = 0 then [] when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end) x from w), n as (select url, count(*) n from s group by url) "
-    "select a.url as a, b.url as b, count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) as benzerlik from s a join s b on a.x = b.x and a.url < b.url join n na on na.url = a.url join n nb on nb.url = b.url group by 1, 2 having count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.85"
+    "select a.url as a, b.url as b, round(cast(count(*) as double) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) as benzerlik from s a join s b on a.x = b.x and a.url < b.url join n na on na.url = a.url join n nb on nb.url = b.url group by 1, 2 having count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.85"
 )
 def j_copy_pairs(s, d):
-    return V.copy_pairs(V.page_texts(table(s, d, "pasaj", "url", "sira", "metin")))
+    return V.copy_pairs(V.page_texts(table(s, d, "pasaj", "url", "sira", "metin"))).withColumn("benzerlik", F.round("benzerlik", 6))
 
 
 @query()
@@ -478,7 +489,7 @@ def c_conflicts(s, d):
 @query()
 def c_nli_pairs(s, d):
     v = _verdicts(s, d).join(_findings(s, d).select(*KEY, "sira", "iddia"), [*KEY, "sira"])
-    return C.nli_pairs(v, _pages(s, d))
+    return C.nli_pairs(v, _pages(s, d, _cited(_findings(s, d))))
 
 
 # Time.
