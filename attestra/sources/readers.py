@@ -34,7 +34,7 @@ class TablePages:
 def notes(spark: SparkSession, folder: str, run_id: str = "", files: list[str] | None = None) -> DataFrame:
     """Markdown notes of a folder (S01): ``run_id``, ``slug``, ``dosya``, ``metin``, ``mtime``; the list of excluded findings is no note."""
     name = F.col("_metadata.file_name")
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.lit(run_id).alias("run_id"), F.regexp_replace(name, r"\.md$", "").alias("slug"), name.alias("dosya"), F.col("value").alias("metin"), F.col("_metadata.file_modification_time").alias("mtime"))
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.lit(run_id).alias("run_id"), F.regexp_replace(name, r"\.md$", "").alias("slug"), name.alias("dosya"), F.col("value").alias("metin"), F.col("_metadata.file_modification_time").alias("mtime"))
     rows = rows.where(F.col("dosya") != EXCLUDED)
     return rows.where(F.col("dosya").isin(files)) if files is not None else rows
 
@@ -54,7 +54,7 @@ def page_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, path: str, key: str = "dosya") -> DataFrame:
     """Lines of agent logs with their order in each file."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias(key), F.posexplode(F.split("value", "\n")).alias("no", "satir"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias(key), F.posexplode(F.split("value", "\n")).alias("no", "satir"))
     return rows
 
 
