@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.vault import upsert
 
-PLAN = "slug string, konu string, amac string, sorular array<string>, kaynaklar string, kisitlar string, single_publisher_host string, min_url int, min_url_required int, olgular array<struct<ad:string,ara:string>>, _corrupt_record string"
+PLAN = "slug string, konu string, amac string, sorular array<string>, kaynaklar string, kisitlar string, single_publisher_host string, min_url int, min_url_required int, olgular array<struct<ad:string,ara:string>>"
 CACHE = "istenen_url string, url string, ok boolean, baslik string, markdown string, yontem string, durum int, hata string, ham_bayt bigint, fetched_at double, _corrupt_record string"
 EXCLUDED = "DISLANAN.md"
 
@@ -41,8 +41,8 @@ def notes(spark: SparkSession, folder: str, run_id: str = "", files: list[str] |
 
 def plan(spark: SparkSession, path: str) -> DataFrame:
     """A plan's topics (S02); what is no object is dropped."""
-    rows = spark.read.schema(PLAN).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null and slug is not null").drop("_corrupt_record")
+    items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("t"))
+    return items.select(F.from_json("t", PLAN).alias("p")).select("p.*").where("slug is not null")
 
 
 def page_cache(spark: SparkSession, folder: str) -> DataFrame:
