@@ -53,7 +53,8 @@ _PLACEHOLDER = re.compile(r"\{\{\s*[\w.$-]+(?:\s*\|\s*[a-z_]+(?:\([^(){}]*\))?)*
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!(?:DOCTYPE|\[CDATA\[)[^>]*>?|<\?(?:xml|php)[^>]*>?", re.S | re.I)
 _TAG = re.compile(r"<\s*/?\s*" + _NAMES + r"\s*/?\s*>|</?" + _NAMES + r"(?:\s[^<>]*|/)?>", re.I)
-_CUT_TAG = re.compile(r"<" + _NAMES + r"(?=[\s<])(?:\s+[A-Za-z][\w-]*(?:\s*=\s*(?:\"[^\"\n<]*\"?|'[^'\n<]*'?|[^\s<>\"']*))?)*[ \t]*(?=$|<)|</?" + _NAMES + r"\s*\Z|</" + _NAMES + r"(?=\s*$)", re.I | re.M)
+_ATTR = r"\s+[A-Za-z][\w-]*\s*=\s*"
+_CUT_TAG = re.compile(r"<" + _NAMES + r"(?:(?:" + _ATTR + r"(?:\"[^\"\n<]*\"?|'[^'\n<]*'?|[^\s<>\"']*))+[ \t]*(?=$|<)|(?=<))|</?" + _NAMES + r"\s*\Z|</" + _NAMES + r"(?=\s*$)", re.I | re.M)
 _ENTITY = re.compile(r"&(?:amp;)*(?:#\d{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)|&(?:nbsp|amp|lt|gt|quot|copy|reg|mdash|ndash|hellip|laquo|raquo)(?![\w=;&])")
 
 _LINK = re.compile(r"\[\[([^\[\]\n]+)\]\](?![(\[])")

@@ -22,7 +22,26 @@ _EDGES = """
     reached(n, r) as (select a, a from edges union select e.b, g.r from reached g join edges e on g.n = e.a where g.r < e.b),
     roots as (select n, min(r) r from reached group by n)"""
 
+
+
+def _folded(col: str) -> str:
+    """The skeleton of a text in SQL."""
+    quoted = lambda t: "'" + "".join(t).replace("'", "''") + "'"
+    widths, letters = lookalike._widths(), lookalike._letters()
+    plain = f"nfc_normalize(translate({col}, {quoted([*widths, *lookalike.INVISIBLE])}, {quoted(widths.values())}))"
+    return f"translate({plain}, {quoted(letters)}, {quoted(letters.values())})"
+
+
+_PAGES = "select url, string_agg(m, chr(10) order by sira, pasaj_no) t from (select distinct url, sira, pasaj_no, coalesce(metin, '') m from pasaj where url is not null) group by url"
+_RUNS = f"""w as (select url, regexp_extract_all(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+') w from ({_PAGES})),
+    r as (select distinct url, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) x from w where len(w) >= 8), n as (select url, count(*) n from r group by url)"""
+
 ORACLE = {
+    "p2_found": f"with {_RUNS}, c as (select a.url url_a, b.url url_b, count(*) k from r a join r b on a.x = b.x and a.url < b.url group by 1, 2) select url_a, url_b from c join n na on na.url = url_a join n nb on nb.url = url_b where k >= 0.85 * (na.n + nb.n - k)",
+    "p4_found": f"with t as (select distinct 'metin' alan, pasaj_no no, metin m from pasaj where metin is not null union all select distinct 'markdown', kayit_no, markdown from onbellek where markdown is not null), s as (select alan, no, m, {_folded('m')} k from t) "
+    "select distinct a.alan, a.no as no_a, b.no as no_b from s a join s b on a.alan = b.alan and a.k = b.k and a.no < b.no and a.m <> b.m",
+    "p10_found": "with t as (select doc_id, text from documents where length(text) >= 200), g as (select distinct doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: md5(substr(text, i, 200)))) x from t), s as (select x from g group by x having count(*) > 1) "
+    "select distinct a.doc_id as doc_a, b.doc_id as doc_b from (select * from g where x in (from s)) a join (select * from g where x in (from s)) b on a.x = b.x and a.doc_id < b.doc_id",
     "p3_found": "select distinct pasaj_no, case when "
     + _LONGEST.format(r"\n([ \t]*\n)+")
     + " then 'paragraph' when "
