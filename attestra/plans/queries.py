@@ -97,7 +97,11 @@ def p_note_findings(s, d):
     return f.select("run_id", "dosya", "soru_no", "sira", "iddia", F.size(N.bullet_urls(F.col("iddia"))).alias("adres"))
 
 
-@query()
+@query(
+    f"with {_SECTIONS}, p as (select run_id, slug, dosya, soru_no, 4 - count(distinct case when bolum in ('Özet', 'Alıntılı bulgular', 'Çıkarımlar', 'Boşluklar') then bolum end) e from sections group by all), a as (select run_id, slug, dosya, count(*) sorular, sum(e) eksik_bolum from p group by all), "
+    "o as (select run_id, slug, dosya, count(*) maddesiz from sections where bolum = 'Alıntılı bulgular' and trim(metin) not in ('', '-', '- —', '* —', '—') and not regexp_matches(trim(metin), '^(?:```|\\||>)') and not regexp_matches(trim(metin), '^(?:[-*]|\\d+[.)])\\s+') group by all) "
+    "select n.run_id, n.slug, n.dosya, coalesce(sorular, 0) as sorular, coalesce(eksik_bolum, 0) as eksik_bolum, coalesce(maddesiz, 0) as maddesiz, length(trim(n.metin)) < 300 as bos, contains(substr(n.metin, 1, 1500), 'ECONNREFUSED') as aramasiz from notlar n left join a using (run_id, slug, dosya) left join o using (run_id, slug, dosya)"
+)
 def p_note_problems(s, d):
     return N.note_problems(_notes(s, d), KEY)
 
@@ -424,7 +428,11 @@ def r_budget(s, d):
 # Aggregations.
 
 
-@query()
+@query(
+    "with k as (select distinct slug, unnest(list_transform(range(len(olgular)), lambda i: {'no': i, 'o': olgular[i + 1]}), recursive := true) from plan_konu where olgular is not null), e as (select slug, no, ara from k where trim(ad) <> '' and trim(ara) <> ''), "
+    "f as (select distinct slug, regexp_replace(regexp_replace(metin, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\([^()]*(?:birincil|ikincil)[^()]*\\)', ' ', 'g') t from bulgular), h as (select distinct slug, no from e join f using (slug) where regexp_matches(lower(t), lower(ara))), "
+    "c as (select slug, cast(count(*) as int) toplam, cast(count(h.no) as int) kapsanan from e left join h using (slug, no) group by slug) select slug, toplam, kapsanan, cast(floor(100.0 * kapsanan / toplam) as int) as yuzde, kapsanan / toplam >= 0.6 as yeterli from c"
+)
 def a_fact_coverage(s, d):
     k = C.facts(table(s, d, "plan_konu"))
     return C.fact_coverage(k, C.fact_hits(k, _findings(s, d)))
