@@ -345,16 +345,23 @@ def j_leftover_mentions(s, d):
     return N.leftover_mentions(gone, N.section_lines(_notes(s, d), KEY), KEY)
 
 
-@query(
+_COPY_PAIRS = (
     "with p as (select url, string_agg(m, chr(10) order by sira) t from (select distinct url, sira, coalesce(metin, '') m from pasaj) group by url), w as (select url, list_filter(string_split(substr(trim(regexp_replace(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')), 1, 6000), ' '), lambda x: x <> '') w from p), "
     "s as (select distinct url, unnest(case when len(w) = 0 then [] when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end) x from w), n as (select url, count(*) n from s group by url) "
     "select a.url as a, b.url as b, round(cast(count(*) as double) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) as benzerlik from s a join s b on a.x = b.x and a.url < b.url join n na on na.url = a.url join n nb on nb.url = b.url group by 1, 2 having count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.85"
 )
+
+
+@query(_COPY_PAIRS)
 def j_copy_pairs(s, d):
     return V.copy_pairs(V.page_texts(table(s, d, "pasaj", "url", "sira", "metin"))).withColumn("benzerlik", F.round("benzerlik", 6))
 
 
-@query()
+@query(
+    f"with recursive cp as ({_COPY_PAIRS}), e as (select a, b from cp union select b, a from cp), g(n, r) as (select a, a from e union select e.b, g.r from g join e on g.n = e.a where g.r < e.b), m as (select n, min(r) r from g group by n), "
+    "o as (select url, min(coalesce(alindi, 0)) t from sayfa where url is not null group by url), c as (select o.url, t, coalesce(m.r, o.url) r from o left join m on m.n = o.url), f as (select r, arg_min(url, {'t': t, 'u': url}) first from c group by r) "
+    "select c.url, substr(sha1(f.first), 1, 12) as grup from c join f using (r)"
+)
 def r_copy_groups(s, d):
     return V.copy_groups(table(s, d, "sayfa", "url", "alindi"), cut(j_copy_pairs(s, d)))
 
@@ -438,7 +445,11 @@ def a_fact_coverage(s, d):
     return C.fact_coverage(k, C.fact_hits(k, _findings(s, d)))
 
 
-@query()
+@query(
+    "with k as (select distinct slug, unnest(list_transform(range(len(olgular)), lambda i: {'no': i, 'o': olgular[i + 1]}), recursive := true) from plan_konu where olgular is not null), e as (select slug, no, trim(ad) ad, ara from k where trim(ad) <> '' and trim(ara) <> ''), "
+    "f as (select distinct slug, regexp_replace(regexp_replace(metin, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\([^()]*(?:birincil|ikincil)[^()]*\\)', ' ', 'g') t from bulgular), h as (select distinct slug, no from e join f using (slug) where regexp_matches(lower(t), lower(ara))), "
+    "m as (select *, least(row_number() over (partition by slug order by no), 3) soru from e where (slug, no) not in (select (slug, no) from h)) select slug, cast(soru as int) as soru, string_agg(ad, '; ' order by no) as olgular from m group by all"
+)
 def a_follow_up(s, d):
     k = C.facts(table(s, d, "plan_konu"))
     return C.follow_up(k, C.fact_hits(k, _findings(s, d)))

@@ -47,9 +47,17 @@ def ship(spark: SparkSession) -> None:
     sc._attestra_shipped = True
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows where the session has the default of 10,000: texts are long, and a batch is held whole in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One parquet table, pruned to ``columns`` when any are given."""
     ship(spark)
+    _small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
