@@ -45,32 +45,28 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * _grown(1, self.n + 1)[starts])
 
 
+_PLACE = (1 << 24) - 1
+
+
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the last smallest value of every run of ``w`` values, ascending and distinct."""
+    """Positions of the smallest value of every run of ``w`` values, ascending and distinct.
+
+    Values are compared by their upper 40 bits; of equal ones the last counts. So a run's
+    position depends on nothing but the run, wherever it stands.
+    """
     n = len(h)
     if n < w or not n:
         return np.empty(0, np.int64)
+    if n > _PLACE:  # places within a part fit beside the values
+        step = _PLACE - w
+        return np.unique(np.concatenate([window_minima(h[i : i + step + w - 1], w) + i for i in range(0, n - w + 1, step)]))
     # Runs are covered by the suffix of one block and the prefix of the next.
     blocks = -(-n // w)
     padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = h
+    padded[:n] = (h & np.uint64(~_PLACE & ((1 << 64) - 1))) | np.arange(_PLACE, _PLACE - n, -1, dtype=np.uint64)
     grid = padded.reshape(blocks, w)
     before = np.minimum.accumulate(grid, axis=1).ravel()
     after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     low = np.minimum(after[: n - w + 1], before[w - 1 : n])
-    # A value is selected if it is the minimum of a run in which no equal value follows it.
-    chosen = np.zeros(n, bool)
-    change = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    last = np.append(change[1:], len(low)) - 1
-    at = np.flatnonzero(np.isin(h, np.unique(low)))
-    values = h[at]
-    for first_run, last_run in zip(change.tolist(), last.tolist()):
-        value = low[first_run]
-        i, j = np.searchsorted(at, (first_run, last_run + w))
-        hits = at[i:j][values[i:j] == value]
-        if len(hits) == 1:
-            chosen[hits[0]] = True
-        else:
-            ends = np.arange(first_run, last_run + 1) + w - 1
-            chosen[hits[np.searchsorted(hits, ends, "right") - 1]] = True
-    return np.flatnonzero(chosen)
+    places = _PLACE - (low & np.uint64(_PLACE)).astype(np.int64)
+    return places[np.concatenate(([True], places[1:] != places[:-1]))]

@@ -9,12 +9,21 @@ from attestra.llm import neardup as N
 def test_window_minima():
     rng = random.Random(1)
     for k in range(150):
-        h = np.array([rng.randrange(4 if k % 2 else 1 << 60) for _ in range(rng.randrange(1, 60))], np.uint64)
+        h = np.array([rng.randrange(4 if k % 2 else 1 << 36) << 24 | rng.randrange(1 << 24) for _ in range(rng.randrange(1, 60))], np.uint64)
+        top = h >> np.uint64(24)
         w = rng.randrange(1, 12)
-        want = sorted({max(i for i in range(s, s + w) if h[i] == h[s : s + w].min()) for s in range(len(h) - w + 1)}) if len(h) >= w else []
+        want = sorted({max(i for i in range(s, s + w) if top[i] == top[s : s + w].min()) for s in range(len(h) - w + 1)}) if len(h) >= w else []
         assert H.window_minima(h, w).tolist() == want
 
 
+def test_long_inputs_are_taken_in_parts(monkeypatch):
+    h = np.random.default_rng(1).integers(0, 1 << 63, 500, np.uint64)
+    want = H.window_minima(h, 7).tolist()
+    monkeypatch.setattr(H, "_PLACE", (1 << 24) - 1)
+    whole = H.window_minima(h, 7).tolist()
+    assert whole == want and sorted(set(np.concatenate([H.window_minima(h[i : i + 100 + 6], 7) + i for i in range(0, 494, 100)]).tolist())) == want
+
+
 def test_windows_are_content_only():
     a, b = H.Prefix("xxabcdefgh").windows(5), H.Prefix("çabcdefgh").windows(5)
     assert a[2:].tolist() == b[1:].tolist()
