@@ -82,8 +82,8 @@ def page_variants(col: Column, entities: bool = True) -> Column:
 
 
 def copy_norm(col: Column) -> Column:
-    """The form in which pages are compared for copies: no addresses, no marks."""
-    c = F.regexp_replace(F.lower(col), r"https?://\S+|www\.\S+", " ")
+    """The form in which pages are compared for copies: no addresses, which any white space ends, and no marks."""
+    c = F.regexp_replace(F.lower(col), rf"(?:https?://|www\.)[^{S[1:]}+", " ")
     c = F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " ")
     return F.trim(F.regexp_replace(c, r" +", " "))
 

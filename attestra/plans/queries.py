@@ -164,6 +164,12 @@ def t_copy_norm(s, d):
     return p.select("pasaj_no", T.copy_norm(F.col("metin")).alias("m"))
 
 
+@query()
+def t_copy_norm_all(s, d):
+    """Every passage; t_copy_norm has those whose letters and spaces SQL reads alike."""
+    return table(s, d, "pasaj", "pasaj_no", "metin").distinct().select("pasaj_no", T.copy_norm(F.col("metin")).alias("m"))
+
+
 @query("select pasaj_no, len(list_distinct(regexp_extract_all(metin, '[\\p{L}\\p{N}_]{3,}'))) as n, greatest(1, length(metin) // 4) as birim from (select distinct pasaj_no, metin from pasaj)")
 def t_word_set(s, d):
     p = table(s, d, "pasaj", "pasaj_no", "metin").distinct()

@@ -70,6 +70,19 @@ def test_nulls(spark):
     assert df.select(T.norm(F.col("a")).alias("n"), T.copy_norm(F.col("a")).alias("c"), T.citation_tag(F.col("a")).alias("t")).first()[:] == (None, None, None)
 
 
+def test_copies_of_hard_letters_and_spaces(spark, tmp_path):
+    from attestra.plans.queries import QUERIES
+
+    cases = {
+        "İSTANBUL Iğdır": "i stanbul iğdır", "see https://a.example/X\u2003next www.b.example\u00a0too": "see next too", "a\u200bb\u2060c\u200fd": "a b c d", "x\u2009\u2028y": "x y",
+        "ΟΔΟΣ x_1\u3000٣": "οδος x_1 ٣", "http://a.example/\u200bstill": "", None: None,
+    }
+    rows = [(i, t) for i, t in enumerate(cases)]
+    spark.createDataFrame([*rows, rows[0]], "pasaj_no long, metin string").write.parquet(f"{tmp_path}/pasaj.parquet")
+    got = sorted(tuple(r) for r in QUERIES["t_copy_norm_all"](spark, str(tmp_path)).collect())
+    assert got == list(enumerate(cases.values()))
+
+
 def test_citation_tag(spark):
     tag = one(spark, T.citation_tag(F.col("a")), a="x (v2; 2024-09/2026-08, birincil)")
     assert (tag["year"], tag["month"], tag["kind"]) == (2026, 8, "primary")
