@@ -144,9 +144,10 @@ def container_scores(text: str) -> list[tuple[str, int, int]]:
     for m in _PIECE.finditer(masked):
         run = len(masked[at : m.start()].strip()) if stack else 0
         if run:
-            stack[-1][1] += run
-            if any(s[3] for s in stack):
-                stack[-1][2] += run
+            linked = any(s[3] for s in stack)
+            for s in stack:
+                s[1] += run
+                s[2] += run * linked
         at = m.end()
         name = m.group(2).lower()
         if name in _VOID or m.group(4):
@@ -344,7 +345,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
 def with_clean_text(pages: DataFrame) -> DataFrame:
     """``pages`` (with ``host``, ``markdown``) with ``temiz`` and ``turler`` added; such columns are replaced."""
-    votes = cut(host_votes(pages).where("bag > 0.6 * metin or metin = 0").where(F.regexp_extract("path", r"([a-z0-9]+)(?:\.[^>]*)?$", 1).isin(*CHROME)).groupBy("host").agg(F.collect_set("path").alias("__lost")))
+    votes = cut(host_votes(pages).where("bag > 0.6 * metin").where(F.regexp_extract("path", r"([a-z0-9]+)(?:\.[^>]*)?$", 1).isin(*CHROME)).groupBy("host").agg(F.collect_set("path").alias("__lost")))
     signed = F.col("markdown").rlike(SIGN)
     kept = [c for c in pages.columns if c not in ("temiz", "turler")]
 

@@ -34,3 +34,12 @@ def test_hosts_vote(spark):
     got = {r["kayit_no"]: r for r in M.with_clean_text(df).collect()}
     assert "link" not in got[0]["temiz"] and "text" in got[0]["temiz"] and got[3]["temiz"] is None and got[4]["turler"] == ["html"] and got[5]["temiz"] == ""
     assert M.with_clean_text(df.limit(0)).count() == 0
+
+
+def test_wrappers_hold_the_text_of_their_children(spark):
+    text = "long real text " * 8
+    for name in ("aside", "footer", "form", "noscript", "template"):
+        page = f"<{name} class='note'><p>{text}</p></{name}><p>rest</p>"
+        assert (f"{name}.note", len(text.strip()), 0) in M.container_scores(page), name
+        df = spark.createDataFrame([(i, "h.example", page) for i in range(3)], "kayit_no long, host string, markdown string")
+        assert "long real text" in M.with_clean_text(df).first()["temiz"], name
