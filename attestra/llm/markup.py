@@ -3,12 +3,14 @@
 Two passes over the records that hold any sign of foreign markup:
 
 1. Each container of a page (an HTML element with its generalised path of tag names
-   and classes, digits dropped; wiki and LaTeX blocks under their own names) is scored
-   by its text without link text, against its links. Spark sums the scores for each
-   host and path: a path whose links outweigh its text on the host loses.
-2. Records are extracted again: containers on losing paths that are chrome by their
-   nature (navigation, footer, form, script, style) are left out, all others are
-   turned into Markdown: headings, lists, tables, the texts of links, code, formulas.
+   and classes, digits dropped) is scored by its text against the text of its links.
+   Spark sums the scores for each host and path: a path that stands on two records of
+   the host at least and whose text is links for the most part loses.
+2. Records are extracted again: containers on losing paths (navigation, footer, form
+   and the like, and what only groups, as div and section) are left out, scripts and
+   styles always, all others are turned into Markdown: headings, lists, tables, the
+   texts of links, code, formulas. Lists, tables, wiki and LaTeX blocks are content
+   and are not voted on. The kinds of markup are a matter of each record alone.
 
 Everything in fenced or inline code, formulas between dollar signs, autolinks,
 bracketed link texts, unfilled placeholders and bare angle signs are left as they are.
@@ -39,7 +41,12 @@ ELEMENTS = (
     "section select slot small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
 )
 _NAMES = "(?:" + "|".join(sorted(ELEMENTS.split(), key=len, reverse=True)) + ")"
-CHROME = ("nav", "footer", "aside", "form", "script", "style", "noscript", "iframe", "template")
+CHROME = ("nav", "footer", "aside", "form", "noscript", "iframe", "template")
+#: What the vote decides on: chrome and what only groups. Lists and tables are content.
+CONTAINERS = (*CHROME, "div", "section", "header", "article", "main", "details", "fieldset", "center")
+_RAW = ("script", "style")
+#: Records of a host that a path must stand on before it can lose.
+VOTERS = 2
 
 #: What a record must show before it is looked at closely; anything else is Markdown only.
 SIGN = r"<\s*[/!A-Za-z]|&(?:#\d|#[xX]|[A-Za-z])|\[\[|''|\{\{|(?m)^\{\||^\|\}|^=={1,5}[^=\n]|^----|^;|\[https?://|\\[A-Za-z]"
@@ -135,63 +142,95 @@ def _generalised(name: str, attributes: str) -> str:
     return f"{name}.{kind}" if kind else name
 
 
+class _Open:
+    """An element that is open: what its container holds, and whether the text in it is left out."""
+
+    __slots__ = ("name", "path", "text", "links", "lost", "whole")
+
+    def __init__(self, name: str, path: str, lost: bool, whole: bool):
+        self.name, self.path, self.lost, self.whole, self.text, self.links = name, path, lost, whole, 0, 0
+
+
+def _follow(stack: list[_Open], m: re.Match[str], losing: frozenset[str] = frozenset()) -> list[_Open]:
+    """Bring the open elements up to one tag; those that it closes.
+
+    With a lost container of chrome goes all that is in it; in other lost ones the
+    containers within are judged by their own paths.
+    """
+    close, name = m.group(1), m.group(2).lower()
+    if name in _VOID or name in _RAW:
+        return []
+    if close:
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), len(stack))
+        gone = stack[at:]
+        del stack[at:]
+        return gone
+    if not m.group(4) and len(stack) < 64:
+        above = stack[-1] if stack else None
+        path = ">".join(((above.path + ">" if above else "") + _generalised(name, m.group(3))).split(">")[-4:])
+        whole, lost = (above.whole, above.lost) if above else (False, False)
+        if name in CONTAINERS and not whole:
+            # A container that is cut off is kept.
+            lost = path in losing and re.search(rf"</\s*{name}\s*>", m.string[m.end() :], re.I) is not None
+            whole = lost and name in CHROME
+        stack.append(_Open(name, path, lost, whole))
+    return []
+
+
+def _pieces(text: str) -> Iterator[tuple[re.Match[str], bool]]:
+    """The tags of a text without those inside of scripts and styles, and whether what stands before is such."""
+    raw = ""
+    for m in _PIECE.finditer(text):
+        name = m.group(2).lower()
+        if raw and not (m.group(1) and name == raw):
+            continue
+        inside = bool(raw)
+        raw = name if name in _RAW and not m.group(1) and re.search(rf"</\s*{name}\s*>", text[m.end() :], re.I) else ""
+        yield m, inside
+
+
 def container_scores(text: str) -> list[tuple[str, int, int]]:
-    """(path, text characters, link characters) of each HTML container of ``text``."""
-    masked, _ = _mask(text)
-    out: list[tuple[str, int, int]] = []
-    stack: list[list] = []  # path, text, links, in link
+    """(path, text characters, link characters) of each HTML container of ``text``.
+
+    Containers of chrome hold all that is in them, others what no container within them holds.
+    """
+    masked = _COMMENT.sub("", _mask(text)[0])
+    out: list[_Open] = []
+    stack: list[_Open] = []
     at = 0
-    for m in _PIECE.finditer(masked):
-        run = len(masked[at : m.start()].strip()) if stack else 0
-        if run:
-            linked = any(s[3] for s in stack)
-            for s in stack:
-                s[1] += run
-                s[2] += run * linked
+    for m, raw in _pieces(masked):
+        run = 0 if raw else len(masked[at : m.start()].strip())
+        if run and stack:
+            linked = any(s.name == "a" for s in stack)
+            within = False
+            for s in reversed(stack):
+                if s.name in CHROME or not within:
+                    s.text += run
+                    s.links += run * linked
+                within = within or s.name in CONTAINERS
         at = m.end()
-        name = m.group(2).lower()
-        if name in _VOID or m.group(4):
-            continue
-        if m.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][4] == name:
-                    for s in stack[i:]:
-                        out.append((s[0], s[1], s[2]))
-                    del stack[i:]
-                    break
-        elif len(stack) < 64:
-            above = stack[-1][0] + ">" if stack else ""
-            path = ">".join((above + _generalised(name, m.group(3))).split(">")[-4:])
-            stack.append([path, 0, 0, name == "a", name])
-    out += [(s[0], s[1], s[2]) for s in stack]
-    return out
+        out += _follow(stack, m)
+    return [(s.path, s.text, s.links) for s in out + stack]
 
 
 def _html(text: str, losing: frozenset[str]) -> str:
     text = _COMMENT.sub("", text)
     parts: list[str] = []
-    skip: list[str] = []
+    stack: list[_Open] = []
     lists: list[str] = []
-    path: list[str] = []
     cells = 0
     at = 0
-    for m in _PIECE.finditer(text):
-        if not skip:
+    for m, raw in _pieces(text):
+        close, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
+        lost = bool(stack) and stack[-1].lost
+        if not lost and not raw:
             parts.append(text[at : m.start()])
         at = m.end()
-        close, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
-        if skip:
-            if close and name == skip[-1]:
-                skip.pop()
+        _follow(stack, m, losing)
+        if lost or (stack and stack[-1].lost):
+            if lost != (bool(stack) and stack[-1].lost):
+                parts.append("\n\n")
             continue
-        if not close and name not in _VOID:
-            path.append(_generalised(name, attributes))
-            if name in ("script", "style") or (name in CHROME and ">".join(path[-4:]) in losing):
-                if re.search(rf"</\s*{name}\s*>", text[at:], re.I):
-                    skip.append(name)
-                    continue
-        elif close and path:
-            path.pop()
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             parts.append("\n\n" if close else "\n\n" + "#" * int(name[1]) + " ")
         elif name in ("ul", "ol", "menu"):
@@ -223,7 +262,7 @@ def _html(text: str, losing: frozenset[str]) -> str:
             parts.append(alt)
         elif name in ("p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "blockquote", "figure", "dl", "dd", "dt", "form"):
             parts.append("\n\n")
-    if not skip:
+    if not (stack and stack[-1].lost):
         parts.append(text[at:])
     text = _TAG.sub("", "".join(parts))
     text = _CUT_TAG.sub("", text)
@@ -327,7 +366,9 @@ def clean(text: str | None, losing: frozenset[str] = frozenset()) -> tuple[str |
     if "html" in kinds:
         m = _html(m, losing)
     out = _unmask(m, kept)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", out, flags=re.M)).strip(), kinds
+    out = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", out, flags=re.M)).strip()
+    # A record that is nothing but lost containers is kept.
+    return clean(text) if losing and not out else (out, kinds)
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
@@ -335,17 +376,19 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = [(h, *s) for h, t in zip(pdf["host"], pdf["markdown"]) if t for s in container_scores(t)]
-            yield pd.DataFrame(out, columns=["host", "path", "metin", "bag"])
+            out = [(h, r, *s) for h, t, r in zip(pdf["host"], pdf["markdown"], pdf["kayit"]) if t for s in container_scores(t)]
+            yield pd.DataFrame(out, columns=["host", "kayit", "path", "metin", "bag"])
 
-    tagged = pages.where(F.col("markdown").rlike(r"<\s*/?\s*[A-Za-z]")).select("host", "markdown")
-    rows = tagged.mapInPandas(score, "host string, path string, metin bigint, bag bigint")
-    return rows.groupBy("host", "path").agg(F.sum("metin").alias("metin"), F.sum("bag").alias("bag"), F.count("*").alias("sayfa"))
+    tagged = pages.where(F.col("markdown").rlike(r"<\s*/?\s*[A-Za-z]")).select("host", "markdown", F.xxhash64(*pages.columns).alias("kayit"))
+    rows = tagged.mapInPandas(score, "host string, kayit bigint, path string, metin bigint, bag bigint")
+    # Summed by record first, so that the rows of a path are counted without a second copy of them; identical rows are one record.
+    each = rows.groupBy("host", "path", "kayit").agg(F.sum("metin").alias("metin"), F.sum("bag").alias("bag"))
+    return each.groupBy("host", "path").agg(F.sum("metin").alias("metin"), F.sum("bag").alias("bag"), F.count("*").alias("sayfa"))
 
 
 def with_clean_text(pages: DataFrame) -> DataFrame:
     """``pages`` (with ``host``, ``markdown``) with ``temiz`` and ``turler`` added; such columns are replaced."""
-    votes = cut(host_votes(pages).where("bag > 0.6 * metin").where(F.regexp_extract("path", r"([a-z0-9]+)(?:\.[^>]*)?$", 1).isin(*CHROME)).groupBy("host").agg(F.collect_set("path").alias("__lost")))
+    votes = cut(host_votes(pages).where((F.col("bag") > 0.6 * F.col("metin")) & (F.col("sayfa") >= VOTERS)).where(F.regexp_extract("path", r"([a-z0-9]+)(?:\.[^>]*)?$", 1).isin(*CONTAINERS)).groupBy("host").agg(F.collect_set("path").alias("__lost")))
     signed = F.col("markdown").rlike(SIGN)
     kept = [c for c in pages.columns if c not in ("temiz", "turler")]
 

@@ -43,3 +43,15 @@ def test_wrappers_hold_the_text_of_their_children(spark):
         assert (f"{name}.note", len(text.strip()), 0) in M.container_scores(page), name
         df = spark.createDataFrame([(i, "h.example", page) for i in range(3)], "kayit_no long, host string, markdown string")
         assert "long real text" in M.with_clean_text(df).first()["temiz"], name
+    assert ("nav", 8, 8) in M.container_scores("<nav><ul><li><a href='x'>one</a></li><li><a href='y'>three</a></li></ul><script>var x = '<b>';</script></nav>")
+
+
+def test_winning_paths_are_extracted(spark):
+    links = "<a href='x'>menu entry</a> " * 5
+    page = f"<div class='page9'>own words <div class='menu7'><div>{links}</div>{links}</div><div class='body'><p>{'text ' * 30}</p><nav>{links}<nav>{links}</nav> inner</nav></div><div class='menu8'>{links}</div></div><p>end"
+    rows = [(1, "h.example", page), (2, "h.example", page), (3, "once.example", page), (3, "once.example", page), (4, "list.example", f"<div>{links}</div>"), (5, "list.example", f"<div>{links}</div>")]
+    df = spark.createDataFrame(rows, "kayit_no long, host string, markdown string")
+    got = {r["kayit_no"]: r["temiz"] for r in M.with_clean_text(df).collect()}
+    assert "menu entry" not in got[1] and "inner" not in got[1] and all(x in got[1] for x in ("own words", "text text", "end")) and got[1] == got[2]
+    assert got[3].count("menu entry") == 25  # one record, though it is there twice, is no vote
+    assert "menu entry" in got[4]  # nothing else would be left
