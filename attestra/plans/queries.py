@@ -224,20 +224,29 @@ def u_trust(s, d):
     return table(s, d, "onbellek", "istenen_url").where("istenen_url is not null").distinct().select("istenen_url", U.trust_score(F.col("istenen_url")).alias("puan"))
 
 
+def _with_hints(s: SparkSession, d: str, f: DataFrame) -> DataFrame:
+    """Findings with ``ipucu``, the sources their plan names (J02): those of all plans where the plan has no text for them; an empty text names none."""
+    plan = table(s, d, "plan_konu", "slug", "kaynaklar").where("kaynaklar is not null").select("slug", U.hints(F.col("kaynaklar")).alias("__own"))  # as few rows as there are topics
+    every = plan.agg(F.array_distinct(F.flatten(F.collect_list("__own"))).alias("__every"))
+    return f.join(F.broadcast(plan), "slug", "left").crossJoin(F.broadcast(every)).withColumn("ipucu", F.coalesce("__own", "__every")).drop("__own", "__every")
+
+
 @query()
 def u_assessment(s, d):
-    f = _findings(s, d).where(F.size("urls") > 0)
-    best = F.array_max(F.transform("urls", lambda u: U.trust_score(u)))
+    f = _with_hints(s, d, _findings(s, d).where(F.size("urls") > 0))
+    planned = lambda u: F.exists("ipucu", lambda x: U.hint_matches(u, x["h"], x["p"]))
+    f = f.withColumn("k", F.transform("urls", lambda u: F.struct(u.alias("u"), planned(u).alias("p")))).withColumn("k", F.transform("k", lambda x: F.struct(U.trust_score(x["u"], x["p"]).alias("n"), x["p"].alias("p"))))
+    best, named = F.array_max("k.n"), F.exists("k", lambda x: x["p"])
     tag = T.citation_tag(F.col("iddia"))
-    flags = F.array_compact(F.array(F.when(best < 50, "weak"), F.when((tag["kind"] == "primary") & (best < 65), "primary-mismatch"), F.when(T.age_months(tag, 2026, 1) >= 18, "stale")))
+    flags = F.array_compact(F.array(F.when(best < 50, "weak"), F.when((tag["kind"] == "primary") & (best < 65) & ~named, "primary-mismatch"), F.when(T.age_months(tag, 2026, 1) >= 18, "stale")))
     return f.select("run_id", "dosya", "sira", best.alias("puan"), flags.alias("bayrak"))
 
 
 @query()
 def u_planned(s, d):
-    hints = table(s, d, "plan_konu").select("slug", F.explode(F.regexp_extract_all(F.coalesce("kaynaklar", F.lit("")), F.lit(r"(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[\w./%-]*)?"), 0)).alias("h")).select("slug", F.regexp_replace("h", "/.*$", "").alias("hh"), F.regexp_extract("h", "(/.*)$", 1).alias("hp"))
-    rows = _findings(s, d).select(*KEY, "sira", F.explode("urls").alias("url")).join(F.broadcast(hints), "slug")  # one row for each hint of a plan
-    return rows.where(U.hint_matches(F.col("url"), F.col("hh"), F.col("hp"))).select("run_id", "dosya", "sira", "url", "hh").distinct()
+    rows = _with_hints(s, d, _findings(s, d)).select("run_id", "dosya", "sira", F.explode("urls").alias("url"), "ipucu")
+    hits = rows.withColumn("i", F.explode(F.filter("ipucu", lambda x: U.hint_matches(F.col("url"), x["h"], x["p"]))))
+    return hits.select("run_id", "dosya", "sira", "url", F.col("i.h").alias("hh")).distinct()
 
 
 @query("select host as alan, count(distinct url) as adres, round(avg(case when starts_with(url, 'http://') then 40.0 else 50.0 end + case when regexp_matches(host, '^(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 5 else 0 end), 6) as ortalama from (select distinct url, regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), '^www\\.', '') host from sayfa where url is not null) group by 1")
