@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..runtime import lazy_udf
+from . import verdict as J
 
 # Month names (Turkish, English), documents' series, common abbreviations.
 MONTHS_TR = "ocak şubat mart nisan mayıs haziran temmuz ağustos eylül ekim kasım aralık".split()
@@ -174,17 +175,71 @@ def complete_urls(col: Column) -> Column:
     return c
 
 
-def check_report(items_: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
-    """Quotations and numbers of a report's items against their own pages (V10): quotations that stand on none are errors, numbers warnings; items without an address are ``no_url``."""
+def _subject_words(text: Column, quotes: Column) -> Column:
+    """Words of an item's own sentence as structs (t, caps, tech): without general ones and those of its quotations."""
+    quoted = F.array_join(F.transform(quotes, lambda q: T.norm(q, False)), " ")
+    words = F.transform(F.regexp_extract_all(T.claim_prose(text), F.lit(J._ANCHOR), 0), lambda t: F.struct(F.lower(t).alias("t"), t.rlike("^[A-Z][A-Z0-9-]{2,}$").alias("caps"), (F.contains(t, F.lit("-")) | t.rlike(r"\d")).alias("tech")))
+    return F.array_distinct(F.filter(words, lambda w: ~w["t"].isin(*J.ANCHOR_STOP) & ~F.contains(quoted, w["t"])))
+
+
+def _nearest_subject(words: Column, base: Column, url: Column, at: Column, length: Column) -> Column:
+    """How far the nearest rare word of an item (T12) stands from the places ``at`` of a number; null if the page has none."""
+    labels = F.split(U.host(url), r"[^a-z0-9]+")
+    rare = F.filter(words, lambda w: ((F.length(w["t"]) >= 5) | w["caps"]) & ~F.array_contains(labels, w["t"]))
+    places = F.transform(rare, lambda w: T.starts_of(base, F.concat(F.lit(r"(?<![\p{L}\p{N}_-])\Q"), w["t"], F.lit(r"\E(?![\p{L}\p{N}_-])"))))
+    hits = F.flatten(F.filter(places, lambda p: F.size(p).between(1, J.ANCHOR_MOST)))
+    return F.array_min(F.flatten(F.transform(hits, lambda h: F.transform(at, lambda p: F.when(h < J.TITLE_ZONE, 0).otherwise(F.greatest(F.lit(0), p - h, h - p - length))))))
+
+
+def check_report(items_: DataFrame, pages: DataFrame, key: list[str], pool: bool = False) -> DataFrame:
+    """Quotations and numbers of a report's items against pages.
+
+    An item with addresses is held against its own pages: quotations that stand on none
+    are errors, numbers warnings. With ``pool``, an item without is held against all readable
+    pages of its report: what is ``missing`` there is a warning, a number that is there
+    ``uncited``, unless the item names the page's host. A number is ``far`` from its subject if
+    no rare word of the item stands near it on any page, and ``other_subject`` if the
+    item's technical terms (T13) stand on other pages of the report only. Without ``pool``,
+    and where no page of the report is readable, an item without an address is ``no_url``.
+    """
+    item = [*key, "satir"]
     rows = items_.withColumn("urls", F.array_distinct(F.transform(F.regexp_extract_all("metin", F.lit(r"https?://[^\s)<>\]]+"), 0), lambda u: F.regexp_replace(u, r"[.,;:`'\"*>]+$", ""))))
-    ev = rows.withColumn("q", T.quotes(F.col("metin"))).withColumn("n", F.filter(T.numbers(F.col("metin")), lambda x: ~_document_number(F.col("metin"), x)))
-    met = ev.withColumn("url", F.explode_outer("urls")).withColumn("sayfa_url", U.canonical(F.col("url"))).join(pages.select("sayfa_url", "sayfa"), "sayfa_url", "left")
+    rows = rows.select(*item, "metin", "urls").withColumn("q", T.quotes(F.col("metin"))).withColumn("n", T.numbers(F.col("metin"))).withColumn("w", _subject_words(F.col("metin"), F.col("q")))
+    cited = rows.select(*key, F.explode("urls").alias("url")).withColumn("sayfa_url", U.canonical(F.col("url")))
+    readable = cited.groupBy(*key, "sayfa_url").agg(F.min("url").alias("url")).join(pages.select("sayfa_url", "sayfa"), "sayfa_url")
+    # The pages on which each technical term of a report stands, with or without hyphens.
+    tech = rows.select(*item, F.explode(F.filter("w", lambda w: w["tech"] & (F.length(w["t"]) >= 6))["t"]).alias("t")).distinct()
+    bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    on = tech.select(*key, "t").distinct().join(readable, key).where(F.contains("sayfa", F.col("t")) | F.contains(bare(F.col("sayfa")), bare(F.col("t")))).groupBy(*key, "t").agg(F.collect_set("sayfa_url").alias("yer"))
+    terms = tech.join(on, [*key, "t"], "left").groupBy(*item).agg(F.collect_list(F.coalesce("yer", F.array().cast("array<string>"))).alias("yerler"))
+
+    own = rows.where(F.size("urls") > 0).withColumn("url", F.explode("urls")).drop("urls").withColumn("sayfa_url", U.canonical(F.col("url"))).join(pages.select("sayfa_url", "sayfa"), "sayfa_url", "left").withColumn("adresli", F.lit(True))
+    none = rows.where(F.size("urls") == 0).drop("urls")
+    none = none.join(readable, key, "left") if pool else none.withColumns({c: F.lit(None).cast("string") for c in ("url", "sayfa_url", "sayfa")})
+    met = own.unionByName(none.withColumn("adresli", F.lit(False))).join(terms, item, "left")
     wanted = F.concat(F.transform("q", lambda q: F.struct(F.lit("quote").alias("tur"), q.alias("oge"))), F.transform("n", lambda n: F.struct(F.lit("number").alias("tur"), n.alias("oge"))))
-    each = met.withColumn("o", F.explode(wanted)).withColumn("var", F.when(F.col("o.tur") == "quote", T.has_quote(F.col("sayfa"), F.col("o.oge"))).otherwise(T.has_number(F.col("sayfa"), F.col("o.oge"))))
-    by = each.groupBy(*key, "satir", "o.tur", "o.oge").agg(F.bool_or(F.coalesce("var", F.lit(False))).alias("var"), F.bool_or(F.col("url").isNotNull()).alias("adresli"), F.bool_or(F.col("sayfa").isNotNull()).alias("okundu"))
-    issue = F.when(~F.col("adresli"), "no_url").when(~F.col("okundu"), "unreadable").when(~F.col("var"), "missing")
-    level = F.when(issue == "no_url", "info").when(issue == "unreadable", "info").when((issue == "missing") & (F.col("tur") == "quote"), "error").otherwise("warning")
-    return by.withColumn("sorun", issue).where("sorun is not null").select(*key, "satir", "tur", "oge", "sorun", level.alias("seviye"))
+    each = met.withColumn("o", F.explode(wanted)).withColumn("var", F.coalesce(F.when(F.col("o.tur") == "quote", T.has_quote(F.col("sayfa"), F.col("o.oge"))).otherwise(T.has_number(F.col("sayfa"), F.col("o.oge"))), F.lit(False)))
+    # Only numbers that stand on a page that is the item's own or that it names are held against their subject there.
+    named = F.col("adresli") | F.coalesce(F.contains(F.lower("metin"), U.host_label(U.host(F.col("url")))), F.lit(False))
+    each = each.withColumn("yargi", F.col("var") & (F.col("o.tur") == "number") & named)
+    base = F.substring_index("sayfa", "\n", 1)  # the page without the variants of divided words
+    at = T.starts_of(base, T.number_pattern(T.norm(F.col("o.oge"), False)))
+    each = each.withColumn("uzak", F.when(F.col("yargi"), _nearest_subject(F.col("w"), base, F.col("url"), at, F.length("o.oge"))))
+    absent = F.coalesce(F.forall("yerler", lambda y: ~F.array_contains(y, F.col("sayfa_url"))) & F.exists("yerler", lambda y: F.size(y) > 0), F.lit(False))
+    far, other = F.col("yargi") & (F.col("uzak") > J.CONTEXT_WINDOW), F.col("yargi") & F.col("uzak").isNull() & absent
+    each = each.withColumns({"uzakta": F.coalesce(far, F.lit(False)), "baska": other})
+    any_ = lambda c, name: F.bool_or(c).alias(name)
+    by = each.groupBy(*item, "metin", "o.tur", "o.oge").agg(
+        any_(F.col("var"), "var"), any_(F.col("adresli"), "adresli"), any_(F.col("sayfa").isNotNull(), "okundu"), any_(F.col("yargi"), "yargi"),
+        any_(F.col("yargi") & ~F.col("uzakta") & ~F.col("baska"), "yakin"), any_(F.col("uzakta"), "uzakta"),
+    )
+    number = F.col("tur") == "number"
+    lost = F.when(~number | ~_document_number(F.col("metin"), F.col("oge")), "missing")
+    placed = F.when(number & ~F.col("yargi"), "uncited").when(number & ~F.col("yakin"), F.when(F.col("uzakta"), "far").otherwise("other_subject"))
+    unread = F.when(~number | ~_document_number(F.col("metin"), F.col("oge")), F.when(F.col("adresli"), "unreadable").otherwise("no_url"))
+    issue = F.when(~F.col("okundu"), unread).when(~F.col("var"), lost).otherwise(placed)
+    level = F.when(issue.isin("no_url", "unreadable", "uncited"), "info").when((issue == "missing") & ~number & F.col("adresli"), "error").otherwise("warning")
+    return by.withColumn("sorun", issue).where("sorun is not null").select(*item, "tur", "oge", "sorun", level.alias("seviye"))
 
 
 def _document_number(text: Column, number: Column) -> Column:

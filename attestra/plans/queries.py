@@ -301,7 +301,7 @@ def v_support_severity(s, d):
 @query()
 def v_report_check(s, d):
     items = p_report_items(s, d)
-    return S.check_report(items, _pages(s, d, _item_urls(items)), KEY)
+    return S.check_report(items, _pages(s, d, _item_urls(items)), KEY, pool=True)
 
 
 @query()

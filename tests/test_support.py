@@ -72,6 +72,23 @@ def test_report_check(spark):
     assert got == [(1, "number", "missing", "warning"), (2, "quote", "missing", "error"), (3, "number", "no_url", "info")]
 
 
+def test_report_check_on_the_pool_and_subjects(spark):
+    a, b = "https://alpha.example/", "https://b.example/"
+    items = [
+        (1, f"Cites {a}"), (2, f"Cites {b}"), (3, 'Says "words that no page has here"'), (4, 'Says "words that one page has"'), (5, "It took 5555 ms"), (6, "It took 4711 ms"), (7, "By alpha it took 4711 ms"), (8, "RFC 9110 is known"),
+        (9, f"Zebrafish took 4711 ms {a}"), (10, f"Zebrafish took 8888 ms {a}"), (11, f"drag-and-drop took 4711 ms {a}"), (12, f"hand-in-glove took 4711 ms {a}"), (13, f"drag-and-drop took 3333 ms {b}"), (14, "By alpha zebrafish took 4711 ms"),
+    ]
+    rows = [("r", i, m) for i, m in items] + [("other", 1, "It took 4711 ms"), ("other", 2, "Cites https://gone.example/")]
+    df = spark.createDataFrame(rows, "id string, satir int, metin string")
+    page = "x " * 300 + "4711 ms and words that one page has " + "x " * 1000 + "zebrafish 8888 ms"
+    pages = spark.createDataFrame([(a, page), (b, "x " * 300 + "draganddrop and 3333 ms")], "sayfa_url string, sayfa string")
+    got = {(r["id"], r["satir"]): (r["tur"], r["sorun"], r["seviye"]) for r in S.check_report(df, pages, ["id"], pool=True).collect()}
+    assert got == {
+        ("r", 3): ("quote", "missing", "warning"), ("r", 5): ("number", "missing", "warning"), ("r", 6): ("number", "uncited", "info"), ("r", 9): ("number", "far", "warning"),
+        ("r", 11): ("number", "other_subject", "warning"), ("r", 14): ("number", "far", "warning"), ("other", 1): ("number", "no_url", "info"),
+    }
+
+
 def test_collapsed_messages(spark):
     df = spark.createDataFrame([(1, "m", "w", "t", "x", "5"), (2, "m", "w", "t", "x", "6"), (3, "m", "w", "t", "x", "5")], "o int, madde string, seviye string, tur string, mesaj string, sayi string")
     assert S.collapse_messages(df, "o").first()["sayilar"] == ["5", "6"]
