@@ -7,6 +7,8 @@ script (``sentences_model.json``; :mod:`attestra.llm.sentences_fit` trains it on
 boundaries that are reliable: ends of lines and texts, and points that the next word
 shows to be none). Two rules of writing come before the model: there is no boundary
 inside a quotation, and scripts with a closing mark of their own end at that mark.
+Where no language is given, every paragraph, and every stretch of it in another script,
+is told its own. A token's features are those of its last 24 characters.
 
 Offsets are code points of the stored text. Defined results: null and empty texts
 give no sentence; blank texts give none; white space belongs to no sentence; a text
@@ -45,6 +47,7 @@ _THAI = re.compile("[฀-๿]")
 _WORD = re.compile(r"[^\s\"“”„«»「」『』()（）\[\]…!?.,;:、，]+(?:['’.][^\s\"“”„«»「」『』()（）\[\]…!?.,;:、，]+)*\Z")
 _UNCASED = ("ar", "hi")
 _TOKEN = re.compile(r"[^\s]+")
+_GAP = re.compile(r"\s*")
 _BLOCK = re.compile(r"\s*(?:#{1,6}\s|[-*+]\s|\||>\s|```|~~~|\d{1,3}[.)]\s)")
 
 
@@ -60,8 +63,7 @@ def _quotation_depth(text: str) -> list[int]:
         elif c == "\n" and text[i + 1 : i + 2] == "\n":
             stack.clear()  # a quotation that is never closed ends with its paragraph
         elif c in PAIRS and not (c in "([" and not stack and i and text[i - 1] == "]"):
-            if len(stack) < 8:
-                stack.append((PAIRS[c], i))
+            stack.append((PAIRS[c], i))
     return out
 
 
@@ -90,23 +92,88 @@ _COMMON_OF = {w: [k for k, v in _COMMON.items() if w in v.split()] for v in _COM
 
 def language(text: str) -> str:
     """The most likely of the languages known here."""
-    head = text[:3000]
-    n = max(1, sum(ch.isalpha() for ch in head))
-    if len(_THAI.findall(head)) > 0.2 * n:
+    n = max(1, sum(ch.isalpha() for ch in text))
+    if len(_THAI.findall(text)) > 0.2 * n:
         return "th"
-    kana = sum("぀" <= ch <= "ヿ" for ch in head)
-    han = sum("一" <= ch <= "鿿" for ch in head)
+    kana = sum("぀" <= ch <= "ヿ" for ch in text)
+    han = sum("一" <= ch <= "鿿" for ch in text)
     if kana > 0.05 * n:
         return "ja"
     if han > 0.2 * n:
         return "zh"
     score: dict[str, int] = {}
-    for w in head.lower().split():
+    for w in text.lower().split():
         for k in _COMMON_OF.get(w, ()):
             score[k] = score.get(k, 0) + 1
     return max(score, key=score.get) if score else "en"
 
 
+_FAMILY = re.compile(r"(?P<thai>[\u0e00-\u0e7f])|(?P<east>[\u3040-\u30ff\u3400-\u9fff])|(?P<arabic>[\u0600-\u06ff])|(?P<indic>[\u0900-\u097f])|(?P<cyrillic>[\u0400-\u052f])|(?P<latin>[A-Za-z\u00c0-\u024f])")
+#: Characters of words of another script that do not end a stretch of one script: names and terms within it.
+GUESTS = 40
+
+
+def zones(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, language) of the stretches of ``text``, which meet and cover it.
+
+    A stretch is a paragraph, or a part of one in scripts of one family; up to ``GUESTS``
+    characters of another script between words of one do not divide it. Each has the
+    language of its own words, or where these do not tell, that of the whole text.
+    """
+    whole = None
+    out: list[tuple[int, int, str]] = []
+    for m in re.finditer(r"(?:(?!\n[ \t]*\n).)+(?:\n[ \t]*(?=\n))?|\n", text, re.S):
+        runs: list[list] = []  # family, start, end, characters of words
+        for w in _TOKEN.finditer(text, *m.span()):
+            seen: dict[str, int] = {}
+            for f in _FAMILY.finditer(w.group()):
+                seen[f.lastgroup] = seen.get(f.lastgroup, 0) + 1
+            family = max(seen, key=seen.get) if seen else None
+            if runs and family in (None, runs[-1][0]):
+                runs[-1][2], runs[-1][3] = w.end(), runs[-1][3] + len(w.group())
+            elif family is not None or not runs:
+                runs.append([family, w.start(), w.end(), len(w.group())])
+        if runs and runs[0][0] is None and len(runs) > 1:
+            runs[1][1] = runs[0][1]
+            del runs[0]
+        i = 1
+        while i + 1 < len(runs):
+            if runs[i][3] <= GUESTS and runs[i - 1][0] == runs[i + 1][0]:
+                runs[i - 1][2], runs[i - 1][3] = runs[i + 1][2], runs[i - 1][3] + runs[i][3] + runs[i + 1][3]
+                del runs[i : i + 2]
+            else:
+                i += 1
+        # A few words at the edge of a paragraph belong to what they stand beside.
+        while len(runs) > 1 and min(runs[0][3], runs[-1][3]) <= GUESTS // 2 and max(runs[0][3], runs[-1][3]) > GUESTS // 2:
+            if runs[0][3] <= GUESTS // 2:
+                runs[1][1] = runs[0][1]
+                del runs[0]
+            else:
+                runs[-2][2] = runs[-1][2]
+                del runs[-1]
+        for k, (family, start, _, _) in enumerate(runs):
+            end = m.end() if k + 1 == len(runs) else runs[k + 1][1]
+            part = text[start:end]
+            fixed = {"thai": "th", "arabic": "ar", "indic": "hi", "cyrillic": "ru"}.get(family)
+            if not fixed and (family == "east" or any(x in _COMMON_OF for x in part.lower().split())):
+                fixed = language(part)
+            if not fixed:
+                whole = fixed = whole or language(text)
+            out.append((start, end, fixed))
+    # What stands between is white space and belongs to what it follows; stretches of one language that meet are one.
+    merged: list[tuple[int, int, str]] = []
+    for start, end, lang in out:
+        if merged and merged[-1][2] == lang:
+            merged[-1] = (merged[-1][0], end, lang)
+        else:
+            if merged:
+                merged[-1] = (merged[-1][0], start, merged[-1][2])
+            merged.append((start if merged else 0, end, lang))
+    if merged:
+        merged[-1] = (merged[-1][0], len(text), merged[-1][2])
+    return merged or [(0, len(text), "en")]
+
+
 def features(lang: str, before: str, stop: str, gap: str, after: str, closed: str) -> list[str]:
     """Features of a candidate: the token before, its mark, white space, the token after, the quotation closed by it."""
     first = after.lstrip("\"“„«「『(¿¡‘'[")[:1]
@@ -141,21 +208,32 @@ class Candidate:
         self.end, self.start, self.kind, self.features = end, start, kind, feats
 
 
-def candidates(text: str, lang: str) -> list[Candidate]:
-    """Places where a sentence may end: ``sure`` and ``no`` by rule, ``open`` ones for the model."""
+def candidates(text: str, lang: str | list[tuple[int, int, str]]) -> list[Candidate]:
+    """Places where a sentence may end: ``sure`` and ``no`` by rule, ``open`` ones for the model. ``lang`` is a language, or :func:`zones`."""
+    if isinstance(lang, str):
+        lang = [(0, len(text), lang)]
+    out: list[Candidate] = []
+    inside: list[int] = []
+    for start, end, code in lang:
+        if code == "th":
+            out += [Candidate(m.start(), m.end(), "sure") for m in re.compile(r"\s+").finditer(text, start, end)]
+        else:
+            inside = inside or _quotation_depth(text)
+            out += _candidates(text, start, end, code, inside)
+    return out
+
+
+def _candidates(text: str, at: int, limit: int, lang: str, inside: list[int]) -> list[Candidate]:
+    """The candidates of ``text`` between ``at`` and ``limit``."""
     out: list[Candidate] = []
-    if lang == "th":
-        return [Candidate(m.start(), m.end(), "sure") for m in re.finditer(r"\s+", text)]
-    inside = _quotation_depth(text)
     n = len(text)
-    at = 0
-    while m := _CANDIDATE.search(text, at):
+    while (m := _CANDIDATE.search(text, at)) and m.start() < limit:
         i, j = m.span()
         at = j
         if text[i] == "\n":
             if inside[i]:
                 continue
-            k = j + len(text[j:]) - len(text[j:].lstrip())
+            k = _GAP.match(text, j).end()
             blank = text[i:k].count("\n") > 1
             block = bool(_BLOCK.match(text, k)) or bool(_BLOCK.match(text, text.rfind("\n", 0, i) + 1))
             if blank or block:
@@ -165,15 +243,17 @@ def candidates(text: str, lang: str) -> list[Candidate]:
         closed = "-"
         if inside[i]:
             close = inside[i]
-            rest = text[j : close - 1]
-            if rest.strip():  # not the last mark of the quotation
+            if _GAP.match(text, j).end() < close - 1:  # not the last mark of the quotation
                 continue
             if text[close - 1] in ")）]】":
                 continue
             opened = close - 1
             while opened > 0 and inside[opened - 1] == close:
                 opened -= 1
-            lead = text[:opened].rstrip()
+            before = opened
+            while before and text[before - 1].isspace():
+                before -= 1
+            lead = text[before - 1 : before]
             closed = "start" if not lead or lead[-1] in STOPS + "\n" + "".join(CLOSE) + '"' and (out and out[-1].kind == "sure" or lead[-1] in STOPS) else "colon" if lead[-1] in ":：" else "run"
             j = at = close
         while j < n and text[j] in "\"'”’»)」』）]" and not inside[j] and text[j] not in '"':
@@ -229,7 +309,7 @@ def spans(text: str | None, lang: str | None = None, model: np.ndarray | None =
     w = weights() if model is None else model
     out = []
     start = len(text) - len(text.lstrip())
-    for c in candidates(text, lang or language(text)):
+    for c in candidates(text, lang or zones(text)):
         take = c.kind == "sure" or (c.kind == "open" and w[[bucket(f) for f in c.features]].sum() > 0)
         if take and c.start > start and c.start < len(text):
             out.append((start, c.end))

@@ -44,3 +44,38 @@ def test_defined_results(spark):
     got = sorted((r["pasaj_no"], r["bas"]) for r in S.with_sentences(df).collect())
     assert got == [(4, 2), (5, 0)]
     assert S.with_sentences(df.limit(0)).count() == 0
+
+
+THAI = ["ดร.Gearkยืนยันตัวเลข93.18ในปี2005", "รายงานของKreandระบุว่าร้อยละ17.57มาจากGaiker", "Roatendรอ86.6วินาทีแล้วสัญญาจึงเปิด"]
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\n\n"])
+def test_language_changes_within_a_text(gap):
+    english = ["The report by Dr. Kalm counts 67.5 units of the index in this year."] * 60
+    russian = "Kab пишет о том, что «Мы сверили 22 дел. Никто не спорил.»"
+    parts = english + THAI + english + [russian]
+    text = gap.join(parts)
+    assert [text[a:b] for a, b in S.spans(text)] == parts
+    z = S.zones(text)
+    assert [x[2] for x in z] == ["en", "th", "en", "ru"] and z[0][0] == 0 and z[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(z, z[1:]))
+
+
+def test_zones_cover_every_text():
+    for text in ("", " ", "\n\n", "a", "12 34\n\n. .", "名 a b c d e f g h i j", "\n\nx\n\n\ny z\n"):
+        z = S.zones(text)
+        assert z[0][0] == 0 and z[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(z, z[1:])), text
+
+
+def test_deep_brackets():
+    opened = "".join("([{"[i % 2] for i in range(40))
+    closed = "".join(")]"[i % 2] for i in reversed(range(40)))
+    text = f"It said {opened}one. Two.{closed} and went on. Then it ended."
+    assert S.starts(text, "en") == [0, text.index("Then")]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = 'Word (a) "b. c." Then it ended there. ' * 20_000 + '"' + "Inside it. " * 20_000 + '"'
+    began = time.time()
+    assert len(S.spans(text)) > 20_000 and time.time() - began < 60
