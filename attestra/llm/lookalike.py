@@ -2,12 +2,15 @@
 
 ``skeleton``   every text in the form used for comparing: full-width forms as
                plain ones, every space of one width as U+0020, invisible
-               characters removed, letters of Greek and Cyrillic that look like
-               Latin ones as these, accents composed. Two texts look the same if
-               and only if their skeletons are equal. Case, digits, accents and
+               characters removed, letters of other scripts that look like Latin
+               ones as these, accents composed. Two texts look the same if and
+               only if their skeletons are equal. Case, digits, accents, dots and
                raised digits are kept, so different texts stay different.
-``canonical``  the same, but words of Greek or Cyrillic keep their own letters;
-               only letters that stand among Latin ones are replaced.
+``canonical``  the same, but words of another script keep their own letters; only
+               letters that stand among Latin ones are replaced.
+
+Which letters look the same is Unicode's own mapping of confusable characters, asked
+once for each session from the library that Spark ships (:func:`letter_table`).
 
 ASCII texts are their own form and stay in the JVM. Of the others, composition is
 needed only where the normalization quick check says no or maybe; there the unstable
@@ -20,7 +23,9 @@ characters only becomes empty; line breaks and tabs are kept.
 
 from __future__ import annotations
 
+import itertools
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,31 +36,80 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, table
 
-# Letters that look the same, by Unicode's visual confusables.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜһасԁеіјӏорԛѕԝхуѵ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXYGQWhacdeijlopqswxyv"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳον"
-GREEK_AS = "ABEZHIKMNOPTYXjov"
-# Characters that take no room.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁪⁫⁬⁭⁮⁯﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
+# Characters that take no room (Default_Ignorable_Code_Point), as ranges.
+INVISIBLE_RANGES = (
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164),
+    (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+INVISIBLE = "".join(chr(c) for a, b in INVISIBLE_RANGES for c in range(a, b + 1))
 # Spaces other than U+0020.
 SPACES = "               　"
 
 
-@lru_cache(1)
-def _letters() -> dict[str, str]:
-    """Look-alike letters, with those composed of one and accents."""
-    plain = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
-    out = dict(plain)
+# Letters of the Latin script itself that look like another one, and what the mapping leaves out or reads with a dot.
+LATIN_TWINS = "ɑɡﬀﬁﬂﬃﬄﬆ"
+ALSO = {"ӏ": "l", "Ү": "Y", "ү": "y"}
+DOTTED = "іјϳ"
+
+_known: dict[int, dict[str, str]] = {}
+
+
+def _single_letters() -> list[str]:
+    """Letters that run from left to right and are not wide: those that could stand for a Latin one."""
+    blocks = [range(0xB5, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000)]
+    return [c for c in map(chr, itertools.chain(*blocks)) if unicodedata.category(c)[0] in "LN" and unicodedata.category(c) not in ("Nd", "No") and unicodedata.bidirectional(c) not in ("R", "AL") and unicodedata.east_asian_width(c) not in "WF"]
+
+
+def confusable_letters(skeletons: dict[str, str]) -> dict[str, str]:
+    """Letters and the Latin ones they look like, from the skeletons of Unicode's mapping.
+
+    A letter stands for a Latin one of its case. Left out are letters of the Latin
+    script, those that only lack the dot of i and j, and of two letters of one script
+    with the same look the later, as texts in that script must stay apart.
+    """
+    latin: dict[str, list[str]] = {}
+    for c in string.ascii_letters:
+        latin.setdefault(skeletons[c], []).append(c)
+    out: dict[str, str] = {}
+    taken: set[tuple[str, str]] = set()
+    for c, look in skeletons.items():
+        if c.isascii() or c in ALSO:
+            continue
+        name, plain = unicodedata.name(c, ""), unicodedata.normalize("NFKC", c)
+        script = name.split(" ")[0]
+        if plain != c and plain.isascii() and plain.isalpha() and "".join(skeletons[x] for x in plain) == look:
+            out[c] = plain  # mathematical letters, ligatures, Roman numerals
+            continue
+        if look not in latin or (script in ("LATIN", "SMALL", "MODIFIER") and c not in LATIN_TWINS):
+            continue
+        same = [x for x in latin[look] if x.isupper() == (c.isupper() or not c.islower() and look == "l")] or latin[look]
+        if same[0] in "ij" and c not in DOTTED:
+            continue
+        if c not in LATIN_TWINS and (script, same[0]) in taken:
+            continue
+        taken.add((script, same[0]))
+        out[c] = same[0]
+    out.update(ALSO)
+    # Letters composed of one of these and accents.
     for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
         parts = unicodedata.normalize("NFD", c)
-        if len(parts) > 1 and parts[0] in plain:
-            whole = unicodedata.normalize("NFC", plain[parts[0]] + parts[1:])
+        if len(parts) > 1 and parts[0] in out:
+            whole = unicodedata.normalize("NFC", out[parts[0]] + parts[1:])
             if len(whole) == 1:
                 out[c] = whole
     return out
 
 
+def letter_table(spark: SparkSession) -> dict[str, str]:
+    """:func:`confusable_letters` by the mapping that comes with Spark: a table of bounded size, asked once."""
+    key = id(spark.sparkContext)
+    if key not in _known:
+        asked = [*string.ascii_letters, *_single_letters()]
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        _known[key] = confusable_letters(dict(zip(asked, checker.getSkeleton("\n".join(asked)).split("\n"), strict=True)))
+    return _known[key]
+
+
 @lru_cache(1)
 def _widths() -> dict[str, str]:
     """Full-width and half-width forms and spaces."""
@@ -71,11 +125,13 @@ def _widths() -> dict[str, str]:
 def unstable_class() -> str:
     """A character class of what the quick check for composed form does not pass: characters that change, that combine, or that compose with one before."""
     after = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    for c in range(0xC0, 0x11960):
+    # Ideographs, syllables of Hangul, surrogates and private characters are stable.
+    every = [*range(0xC0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FB00), *range(0xE0000, 0xE1000)]
+    for c in every:
         d = unicodedata.normalize("NFD", chr(c))
-        if len(d) > 1 and unicodedata.normalize("NFC", chr(c)) == chr(c) and not 0xAC00 <= c < 0xD7A4:
+        if len(d) > 1 and unicodedata.normalize("NFC", chr(c)) == chr(c):
             after.update(map(ord, d[1:]))
-    hits = [c for c in [*range(0xC0, 0xAC00), *range(0xF900, 0xFE00), *range(0x10000, 0x12000), *range(0x1D100, 0x1D200), *range(0x1E000, 0x1E960), *range(0x2F800, 0x2FA20)] if c in after or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    hits = [c for c in every if c in after or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
     out, start = [], hits[0]
     for a, b in zip(hits, [*hits[1:], -1]):
         if b != a + 1:
@@ -96,40 +152,49 @@ def compose(text: str) -> str:
 
 
 @lru_cache(1)
-def _tables() -> tuple[dict[int, str | None], dict[int, str], re.Pattern[str]]:
-    fold: dict[int, str | None] = {ord(c): p for c, p in _widths().items()}
-    fold.update({ord(c): None for c in INVISIBLE})
-    letters = _letters()
-    alike = "[" + "".join(letters) + "]"
-    mixed = re.compile(r"[^\W\d_]*(?:[A-Za-zÀ-ɏ]" + alike + "|" + alike + r"[A-Za-zÀ-ɏ])[^\W\d_]*")
-    return fold, {ord(c): p for c, p in letters.items()}, mixed
+def _fold() -> dict[int, str | None]:
+    return {ord(c): p for c, p in _widths().items()} | {ord(c): None for c in INVISIBLE}
 
 
 def folded(text: str) -> str:
     """Widths, spaces and invisible characters folded; composed only where the quick check does not pass."""
-    text = text.translate(_tables()[0])
+    text = text.translate(_fold())
     return text if unicodedata.is_normalized("NFC", text) else compose(text)
 
 
-def skeleton_of(text: str) -> str:
-    """The form of ``text`` to compare by."""
-    return text if text.isascii() else folded(text).translate(_tables()[1])
+_WORDS = re.compile(r"[^\W\d_]{2,}")
+
+
+class Forms:
+    """The forms of texts by one table of letters."""
+
+    def __init__(self, letters: dict[str, str]):
+        self.letters = {ord(c): p for c, p in letters.items()}
+        alike = "[" + "".join(letters) + "]"
+        latin = "[A-Za-zÀ-ɏ]"
+        self.mixed = re.compile(f"{latin}{alike}|{alike}{latin}").search
 
+    def skeleton(self, text: str) -> str:
+        """The form of ``text`` to compare by. Letters are replaced before and after composition, as accents may stand on them."""
+        if text.isascii():
+            return text
+        plain = folded(text).translate(self.letters)
+        return plain if unicodedata.is_normalized("NFC", plain) else compose(plain)
 
-def canonical_of(text: str) -> str:
-    """The form of ``text`` to keep: as the skeleton, but only words that mix scripts get other letters."""
-    if text.isascii():
-        return text
-    _, letters, mixed = _tables()
-    return mixed.sub(lambda m: m.group().translate(letters), folded(text))
+    def canonical(self, text: str) -> str:
+        """The form of ``text`` to keep: as the skeleton, but only words that mix scripts get other letters."""
+        if text.isascii():
+            return text
+        text = folded(text)
+        return _WORDS.sub(lambda m: m.group().translate(self.letters) if self.mixed(m.group()) else m.group(), text) if self.mixed(text) else text
 
 
-def _apply(col: Column, name: str) -> Column:
+def _apply(col: Column, name: str, letters: dict[str, str]) -> Column:
     """ASCII texts are their own form and never leave the JVM."""
-    change = {"skeleton": skeleton_of, "canonical": canonical_of}[name]
 
     @F.pandas_udf("string")
     def form(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        change = getattr(Forms(letters), name)
         for s in parts:
             yield s.map(lambda t: None if t is None else change(t))
 
@@ -139,7 +204,8 @@ def _apply(col: Column, name: str) -> Column:
 def with_forms(df: DataFrame, text: str, skeleton: str | None = "skeleton", canonical: str | None = None) -> DataFrame:
     """``df`` with one or both forms of ``text``; columns of those names are replaced."""
     col = F.col(f"`{text}`")
-    made = {out: _apply(col, kind) for kind, out in (("skeleton", skeleton), ("canonical", canonical)) if out}
+    letters = letter_table(df.sparkSession)
+    made = {out: _apply(col, kind, letters) for kind, out in (("skeleton", skeleton), ("canonical", canonical)) if out}
     return df.withColumns(made)
 
 

@@ -23,13 +23,17 @@ _EDGES = """
     roots as (select n, min(r) r from reached group by n)"""
 
 
+# The SQL of problem 4 knows the forms by itself. Full-width ASCII by its rule, spaces and invisible characters, look-alike letters of Cyrillic and Greek.
+_SQL_SPACES = "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_SQL_NOTHING = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}]"
+_SQL_ALIKE = "АВЕЅІЈКМНОРСТУХҮԌԚԜһасԁеіјӏорԛѕԝхуѵ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳον" + "ЁЇёї"
+_SQL_LATIN = "ABESIJKMHOPCTYXYGQWhacdeijlopqswxyv" + "ABEZHIKMNOPTYXjov" + "ËÏëï"
+
 
 def _folded(col: str) -> str:
-    """The skeleton of a text in SQL."""
-    quoted = lambda t: "'" + "".join(t).replace("'", "''") + "'"
-    widths, letters = lookalike._widths(), lookalike._letters()
-    plain = f"nfc_normalize(translate({col}, {quoted([*widths, *lookalike.INVISIBLE])}, {quoted(widths.values())}))"
-    return f"translate({plain}, {quoted(letters)}, {quoted(letters.values())})"
+    """The form of a text to compare by, in SQL."""
+    wide = f"translate({col}, '{''.join(map(chr, range(0xFF01, 0xFF5F))) + _SQL_SPACES}', '{''.join(map(chr, range(0x21, 0x7F))).replace(chr(39), chr(39) * 2) + ' ' * len(_SQL_SPACES)}')"
+    return f"nfc_normalize(translate(nfc_normalize(regexp_replace({wide}, '{_SQL_NOTHING}', '', 'g')), '{_SQL_ALIKE}', '{_SQL_LATIN}'))"
 
 
 _PAGES = "select url, string_agg(m, chr(10) order by sira, pasaj_no) t from (select distinct url, sira, pasaj_no, coalesce(metin, '') m from pasaj where url is not null) group by url"
