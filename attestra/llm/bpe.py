@@ -21,10 +21,12 @@ output replaces.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +119,8 @@ class Encoder:
         key = (left, right)
         got = self.pair_memo.get(key)
         if got is None:
+            if len(self.pair_memo) >= _CACHE_LIMIT:
+                self.pair_memo.clear()
             got = self.pair_memo[key] = self._compatible(left, right)
         return got
 
@@ -219,11 +223,19 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return got
 
 
-def encode_batches(path: str, text_at: int, out: str, counts: bool):
+def shipped(spark: SparkSession, path: str) -> str | None:
+    """The name under which the vocabulary at ``path`` reaches the executors; None if the driver has no such file, so that they must."""
+    if not os.path.isfile(path):
+        return None
+    spark.sparkContext.addFile(path)  # served by the driver; the same file again changes nothing
+    return os.path.basename(path)
+
+
+def encode_batches(path: str, name: str | None, text_at: int, out: str, counts: bool):
     """A ``mapInArrow`` function that replaces column ``text_at`` by ids or by their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name) if name else path)
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             kept = [i for i in range(batch.num_columns) if i != text_at]
@@ -245,7 +257,7 @@ def _map(df: DataFrame, text: str, out: str, path: str, counts: bool) -> DataFra
     kept = [c for c in df.columns if c not in (text, out)]
     kind: T.DataType = T.IntegerType() if counts else T.ArrayType(T.IntegerType())
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, kind)])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`")).mapInArrow(encode_batches(path, len(kept), out, counts), schema)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`")).mapInArrow(encode_batches(path, shipped(df.sparkSession, path), len(kept), out, counts), schema)
 
 
 def with_token_ids(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY) -> DataFrame:
