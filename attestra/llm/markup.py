@@ -1,27 +1,34 @@
 """Clean text from Markdown that still carries other markup (problem 1).
 
-Two passes over the records that hold any sign of foreign markup:
-
-1. Each container of a page (an HTML element with its generalised path of tag names
-   and classes, digits dropped) is scored by its text against the text of its links.
-   Spark sums the scores for each host and path: a path that stands on two records of
-   the host at least and whose text is links for the most part loses.
-2. Records are extracted again: containers on losing paths (navigation, footer, form
-   and the like, and what only groups, as div and section) are left out, scripts and
-   styles always, all others are turned into Markdown: headings, lists, tables, the
-   texts of links, code, formulas. Lists, tables, wiki and LaTeX blocks are content
-   and are not voted on. The kinds of markup are a matter of each record alone.
+Consensus over the records of a host, in two passes over those that hold any sign of
+foreign markup:
+
+1. Each container of a record is scored: HTML elements that group, by the generalised
+   path of their tag names and classes (digits dropped), wiki templates and LaTeX
+   environments by their name. A score is the running text of a container less what is
+   links, parameters or commands. In Spark every record of a host votes for or against
+   each path by the sum of its scores; a path on which ``VOTERS`` records at least have
+   voted wins or loses by the majority.
+2. Records are extracted again by the paths of their host: containers on losing paths are
+   left out, the values of templates on winning paths are kept as text, scripts and
+   styles always go, all else is turned into Markdown: headings, lists, tables, the texts
+   of links, code, formulas. Lists and tables are content and are not voted on.
+
+The kinds of foreign markup are those of which the extraction has used something up.
 
 Everything in fenced or inline code, formulas between dollar signs, autolinks,
 bracketed link texts, unfilled placeholders and bare angle signs are left as they are.
 
 Defined results: null markdown gives null text and no kinds; empty and blank give
-empty text; identical rows give one row; a fence that is never closed runs to the
-end; markup that is cut off is removed to where it was cut off.
+empty text; identical rows give one row and one vote; a fence that is never closed runs
+to the end; markup that is cut off is removed to where it was cut off; a container that
+is never closed is kept; a record that is nothing but lost containers is kept. Nesting
+of any depth is followed, and rules are repeated until nothing changes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import html.entities
 import re
@@ -45,8 +52,14 @@ CHROME = ("nav", "footer", "aside", "form", "noscript", "iframe", "template")
 #: What the vote decides on: chrome and what only groups. Lists and tables are content.
 CONTAINERS = (*CHROME, "div", "section", "header", "article", "main", "details", "fieldset", "center")
 _RAW = ("script", "style")
-#: Records of a host that a path must stand on before it can lose.
+#: Records of a host that must vote on a path before it wins or loses.
 VOTERS = 2
+#: What a character of a link weighs against one of running text.
+LINK_WEIGHT = 5 / 3
+#: Rows of paths up to which the votes are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+# Environments whose content has a form of its own in Markdown.
+FORMED = frozenset("itemize enumerate description tabular table equation align displaymath gather multline verbatim lstlisting quote quotation abstract document center figure".split())
 
 #: What a record must show before it is looked at closely; anything else is Markdown only.
 SIGN = r"<\s*[/!A-Za-z]|&(?:#\d|#[xX]|[A-Za-z])|\[\[|''|\{\{|(?m)^\{\||^\|\}|^=={1,5}[^=\n]|^----|^;|\[https?://|\\[A-Za-z]"
@@ -66,7 +79,7 @@ _ENTITY = re.compile(r"&(?:amp;)*(?:#\d{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][
 
 _LINK = re.compile(r"\[\[([^\[\]\n]+)\]\](?![(\[])")
 _OUTER = re.compile(r"(?<!\])\[(https?://[^\s\]]+)[ \t]+([^\]\n]+)\](?![(\[])")
-_QUOTES = re.compile(r"(?<![A-Za-z0-9'])('{2,5})(?!')([^'\n]+(?:'[^'\n]+)*)'{2,5}(?!')")
+_QUOTES = re.compile(r"(?<![A-Za-z0-9'=])('{2,5})(?!')([^'\n]+(?:'[^'\n]+)*)'{2,5}(?!')")
 _HEADING = re.compile(r"^(={2,6})[ \t]*([^=\n](?:[^\n]*[^=\n])?)[ \t]*=={1,5}[ \t]*$", re.M)
 _RULE = re.compile(r"^-{4,}[ \t]*$", re.M)
 _TERM = re.compile(r"^;[ \t]*([^:\n]+?)[ \t]*:[ \t]+(.+)$", re.M)
@@ -109,11 +122,28 @@ def _is_entity(s: str) -> bool:
     return not bare.endswith(";") or bare in html.entities.html5
 
 
-def _has_entity(text: str) -> bool:
-    if "&" not in text:
-        return False
-    plain = _URL.sub(" ", text)
-    return any(_is_entity(m.group()) for m in _ENTITY.finditer(plain)) or "&amp;" in plain
+def _count(rules: tuple[re.Pattern[str], ...], text: str) -> int:
+    return sum(1 for r in rules for _ in r.finditer(text))
+
+
+def _html_marks(text: str) -> int:
+    found = _count((_TAG, _COMMENT, _CUT_TAG), text) if "<" in text else 0
+    if "&" in text:
+        plain = _URL.sub(" ", text)
+        found += sum(_is_entity(m.group()) for m in _ENTITY.finditer(plain)) + ("&amp;" in plain)
+    return found
+
+
+def _wiki_marks(text: str) -> int:
+    return _count((_LINK, _QUOTES, _HEADING, _TABLE, _TEMPLATE, _TERM, _OUTER, _RULE), text)
+
+
+def _latex_marks(text: str) -> int:
+    return _count((_TEX,), text) if "\\" in text else 0
+
+
+#: How many marks of each kind of foreign markup a text holds.
+MARKS = (("html", _html_marks), ("wiki", _wiki_marks), ("latex", _latex_marks))
 
 
 def foreign_kinds(text: str | None) -> list[str]:
@@ -121,14 +151,7 @@ def foreign_kinds(text: str | None) -> list[str]:
     if not text:
         return []
     m, _ = _mask(text)
-    out = []
-    if ("<" in m and (_TAG.search(m) or _COMMENT.search(m) or _CUT_TAG.search(m))) or _has_entity(m):
-        out.append("html")
-    if any(r.search(m) for r in (_LINK, _QUOTES, _HEADING, _TABLE, _TEMPLATE, _TERM, _OUTER)) or _RULE.search(m):
-        out.append("wiki")
-    if "\\" in m and _TEX.search(m):
-        out.append("latex")
-    return out
+    return [kind for kind, marks in MARKS if marks(m)]
 
 
 _ATTRIBUTE = re.compile(r"""\b(class|id|href|alt|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))""", re.I)
@@ -143,92 +166,146 @@ def _generalised(name: str, attributes: str) -> str:
 
 
 class _Open:
-    """An element that is open: what its container holds, and whether the text in it is left out."""
+    """An element that is open: where its container began, what containers within it hold, and whether the text in it is left out."""
 
-    __slots__ = ("name", "path", "text", "links", "lost", "whole")
+    __slots__ = ("name", "path", "text", "links", "inner", "lost", "whole")
 
-    def __init__(self, name: str, path: str, lost: bool, whole: bool):
-        self.name, self.path, self.lost, self.whole, self.text, self.links = name, path, lost, whole, 0, 0
+    def __init__(self, name: str, path: str, text: int, links: int, lost: bool, whole: bool):
+        self.name, self.path, self.text, self.links, self.inner, self.lost, self.whole = name, path, text, links, (0, 0), lost, whole
 
 
-def _follow(stack: list[_Open], m: re.Match[str], losing: frozenset[str] = frozenset()) -> list[_Open]:
-    """Bring the open elements up to one tag; those that it closes.
+class _Elements:
+    """The open elements while a text is read, with the running totals of text and of links; every step takes constant time.
 
     With a lost container of chrome goes all that is in it; in other lost ones the
     containers within are judged by their own paths.
     """
-    close, name = m.group(1), m.group(2).lower()
-    if name in _VOID or name in _RAW:
+
+    def __init__(self, text: str, losing: frozenset[str] = frozenset()):
+        self.losing, self.stack, self.places = losing, [], {}
+        self.text = self.links = 0
+        self.closes = {m.group(2).lower(): m.start() for m in _PIECE.finditer(text) if m.group(1)} if losing else {}
+
+    @property
+    def lost(self) -> bool:
+        return bool(self.stack) and self.stack[-1].lost
+
+    def read(self, run: int) -> None:
+        self.text += run
+        if self.places.get("a"):
+            self.links += run
+
+    def step(self, m: re.Match[str]) -> list[tuple[str, int, int]]:
+        """Take one tag; the scores (path, text, links) of the containers that it closes."""
+        name = m.group(2).lower()
+        if name in _VOID or name in _RAW:
+            return []
+        if m.group(1):
+            places = self.places.get(name)
+            return self._close(places[-1]) if places else []
+        if not m.group(4):
+            above = self.stack[-1] if self.stack else None
+            step = _generalised(name, m.group(3))
+            path = f"{above.path}>{step}" if above else step
+            if len(path) > 500:  # deep paths keep their identity by a digest of what is above
+                path = f"#{hashlib.md5(above.path.encode()).hexdigest()}>{step}"
+            whole, lost = (above.whole, above.lost) if above else (False, False)
+            if name in CONTAINERS and not whole:
+                # A container that is cut off is kept.
+                lost = path in self.losing and self.closes.get(name, -1) >= m.end()
+                whole = lost and name in CHROME
+            self.places.setdefault(name, []).append(len(self.stack))
+            self.stack.append(_Open(name, path, self.text, self.links, lost, whole))
         return []
-    if close:
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), len(stack))
-        gone = stack[at:]
-        del stack[at:]
-        return gone
-    if not m.group(4) and len(stack) < 64:
-        above = stack[-1] if stack else None
-        path = ">".join(((above.path + ">" if above else "") + _generalised(name, m.group(3))).split(">")[-4:])
-        whole, lost = (above.whole, above.lost) if above else (False, False)
-        if name in CONTAINERS and not whole:
-            # A container that is cut off is kept.
-            lost = path in losing and re.search(rf"</\s*{name}\s*>", m.string[m.end() :], re.I) is not None
-            whole = lost and name in CHROME
-        stack.append(_Open(name, path, lost, whole))
-    return []
+
+    def end(self) -> list[tuple[str, int, int]]:
+        return self._close(0)
+
+    def _close(self, at: int) -> list[tuple[str, int, int]]:
+        out = []
+        while len(self.stack) > at:
+            s = self.stack.pop()
+            self.places[s.name].pop()
+            text, links = self.text - s.text, self.links - s.links
+            if s.name in CONTAINERS:
+                # Chrome holds all that is in it, others what no container within them holds.
+                own = (text, links) if s.name in CHROME else (text - s.inner[0], links - s.inner[1])
+                out.append((s.path, *own))
+            within = (text, links) if s.name in CONTAINERS else s.inner
+            if self.stack:
+                up = self.stack[-1]
+                up.inner = (up.inner[0] + within[0], up.inner[1] + within[1])
+        return out
 
 
 def _pieces(text: str) -> Iterator[tuple[re.Match[str], bool]]:
     """The tags of a text without those inside of scripts and styles, and whether what stands before is such."""
+    closes = {m.group(2).lower(): m.start() for m in _PIECE.finditer(text) if m.group(1) and m.group(2).lower() in _RAW}
     raw = ""
     for m in _PIECE.finditer(text):
         name = m.group(2).lower()
         if raw and not (m.group(1) and name == raw):
             continue
         inside = bool(raw)
-        raw = name if name in _RAW and not m.group(1) and re.search(rf"</\s*{name}\s*>", text[m.end() :], re.I) else ""
+        raw = name if name in _RAW and not m.group(1) and closes.get(name, -1) >= m.end() else ""
         yield m, inside
 
 
+def _values(body: str) -> list[str]:
+    """The values of a template: what its parameters hold."""
+    return [v.split("=", 1)[-1].strip() if re.match(r"\s*[\w .-]{1,40}=", v) else v.strip() for v in body.strip("{}").split("|")[1:]]
+
+
+def _template_path(body: str) -> str:
+    return "wiki:" + re.sub(r"[\d_]+", " ", body.strip("{}").split("|", 1)[0]).strip().lower()[:60]
+
+
+_ENVIRONMENT = re.compile(r"\\begin\s*\{([A-Za-z]+)\*?\}(.*?)\\end\s*\{\1\*?\}", re.S)
+
+
 def container_scores(text: str) -> list[tuple[str, int, int]]:
-    """(path, text characters, link characters) of each HTML container of ``text``.
+    """(path, characters of text, of these links or the like) of each container of ``text``.
 
-    Containers of chrome hold all that is in them, others what no container within them holds.
+    Of a template, values of fewer than five words count as the like of links; of an
+    environment, commands and numbers.
     """
     masked = _COMMENT.sub("", _mask(text)[0])
-    out: list[_Open] = []
-    stack: list[_Open] = []
-    at = 0
-    for m, raw in _pieces(masked):
-        run = 0 if raw else len(masked[at : m.start()].strip())
-        if run and stack:
-            linked = any(s.name == "a" for s in stack)
-            within = False
-            for s in reversed(stack):
-                if s.name in CHROME or not within:
-                    s.text += run
-                    s.links += run * linked
-                within = within or s.name in CONTAINERS
-        at = m.end()
-        out += _follow(stack, m)
-    return [(s.path, s.text, s.links) for s in out + stack]
+    out = []
+    for m in _TEMPLATE.finditer(masked):
+        values = _values(m.group())
+        out.append((_template_path(m.group()), sum(map(len, values)), sum(len(v) for v in values if len(v.split()) < 5)))
+    for m in _ENVIRONMENT.finditer(masked):
+        if m.group(1) not in FORMED:
+            body = m.group(2).strip()
+            words = sum(len(w) for w in re.findall(r"(?<![\\A-Za-z])[^\W\d_]{2,}", body))
+            out.append((f"latex:{m.group(1)}", len(body), len(body) - min(len(body), 2 * words)))
+    if "<" in masked:
+        elements, at = _Elements(masked), 0
+        for m, raw in _pieces(masked):
+            if not raw:
+                elements.read(len(masked[at : m.start()].strip()))
+            at = m.end()
+            out += elements.step(m)
+        out += elements.end()
+    return out
 
 
 def _html(text: str, losing: frozenset[str]) -> str:
     text = _COMMENT.sub("", text)
     parts: list[str] = []
-    stack: list[_Open] = []
+    elements = _Elements(text, losing)
     lists: list[str] = []
     cells = 0
     at = 0
     for m, raw in _pieces(text):
         close, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
-        lost = bool(stack) and stack[-1].lost
+        lost = elements.lost
         if not lost and not raw:
             parts.append(text[at : m.start()])
         at = m.end()
-        _follow(stack, m, losing)
-        if lost or (stack and stack[-1].lost):
-            if lost != (bool(stack) and stack[-1].lost):
+        elements.step(m)
+        if lost or elements.lost:
+            if lost != elements.lost:
                 parts.append("\n\n")
             continue
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -262,11 +339,11 @@ def _html(text: str, losing: frozenset[str]) -> str:
             parts.append(alt)
         elif name in ("p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "blockquote", "figure", "dl", "dd", "dt", "form"):
             parts.append("\n\n")
-    if not (stack and stack[-1].lost):
+    if not elements.lost:
         parts.append(text[at:])
     text = _TAG.sub("", "".join(parts))
     text = _CUT_TAG.sub("", text)
-    for _ in range(3):  # references may be escaped more than once
+    while True:  # references may be escaped more than once; each round makes the text shorter
         new = _ENTITY.sub(lambda m: html.unescape(m.group() if m.group().endswith(";") else m.group() + ";") if _is_entity(m.group()) else m.group(), text)
         if new == text:
             break
@@ -293,11 +370,11 @@ def _wiki_table(m: re.Match[str]) -> str:
     return "\n".join(out)
 
 
-def _wiki(text: str) -> str:
-    for _ in range(4):
-        new = _TEMPLATE.sub("", text)
-        if new == text:
-            break
+def _wiki(text: str, winning: frozenset[str] = frozenset()) -> str:
+    def template(m: re.Match[str]) -> str:
+        return "\n".join(v for v in _values(m.group()) if len(v.split()) >= 5) if _template_path(m.group()) in winning else ""
+
+    while (new := _TEMPLATE.sub(template, text)) != text:
         text = new
     text = _TABLE.sub(_wiki_table, text)
     text = _HEADING.sub(lambda m: "#" * len(m.group(1)) + " " + m.group(2).strip(), text)
@@ -336,71 +413,79 @@ _TEX_RULES = [
 ]
 
 
-def _latex(text: str, kept: list[str]) -> str:
-    for _ in range(2):
+def _latex(text: str, kept: list[str], losing: frozenset[str] = frozenset()) -> str:
+    if any(p.startswith("latex:") for p in losing):
+        text = _ENVIRONMENT.sub(lambda m: "\n\n" if f"latex:{m.group(1)}" in losing else m.group(), text)
+    before = None
+    while before != text:
+        before = text
         for rule, to in _TEX_RULES:
             text = rule.sub(to, text)
     # Formulas made above are kept as they are.
     text = re.sub(r"\$\$\n.*?\n\$\$", lambda m: (kept.append(m.group()), f"\ue000{len(kept) - 1}\ue001")[1], text, flags=re.S)
-    for _ in range(3):
-        new = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if new == text:
-            break
+    while (new := re.sub(r"\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", text)) != text:
         text = new
     text = _TEX.sub(lambda m: "", text)
     return re.sub(r"\\([%&_#$])", r"\1", text).replace("~§", " §").replace("\\\\\n", "\n")
 
 
-def clean(text: str | None, losing: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
-    """The clean text of ``text`` and the kinds of foreign markup it had."""
+def clean(text: str | None, winning: frozenset[str] = frozenset(), losing: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
+    """The clean text of ``text`` by the winning and losing paths of its host, and the kinds of foreign markup that were used up for it."""
     if text is None:
         return None, []
-    kinds = foreign_kinds(text)
-    if not kinds:
-        return text.strip(), []
     m, kept = _mask(text)
-    if "latex" in kinds:
-        m = _latex(m, kept)
-    if "wiki" in kinds:
-        m = _wiki(m)
-    if "html" in kinds:
+    before = {kind: marks(m) for kind, marks in MARKS}
+    if not any(before.values()):
+        return text.strip(), []
+    if before["latex"]:
+        m = _latex(m, kept, losing)
+    if before["wiki"]:
+        m = _wiki(m, winning)
+    if before["html"]:
         m = _html(m, losing)
+    kinds = [kind for kind, marks in MARKS if before[kind] and marks(m) < before[kind]]
     out = _unmask(m, kept)
     out = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", out, flags=re.M)).strip()
     # A record that is nothing but lost containers is kept.
-    return clean(text) if losing and not out else (out, kinds)
+    return clean(text, winning) if losing and not out else (out, kinds)
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """(``host``, ``path``, ``metin``, ``bag``, ``sayfa``): what the containers of each path hold on each host, summed over all its records."""
+    """(``host``, ``path``, ``lehte``, ``aleyhte``, ``kazandi``): how many records of each host voted for and against each path, and whether it won, lost (false) or was not decided (null).
+
+    A record's scores are summed before it votes; identical rows are one record.
+    """
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = [(h, r, *s) for h, t, r in zip(pdf["host"], pdf["markdown"], pdf["kayit"]) if t for s in container_scores(t)]
             yield pd.DataFrame(out, columns=["host", "kayit", "path", "metin", "bag"])
 
-    tagged = pages.where(F.col("markdown").rlike(r"<\s*/?\s*[A-Za-z]")).select("host", "markdown", F.xxhash64(*pages.columns).alias("kayit"))
-    rows = tagged.mapInPandas(score, "host string, kayit bigint, path string, metin bigint, bag bigint")
-    # Summed by record first, so that the rows of a path are counted without a second copy of them; identical rows are one record.
-    each = rows.groupBy("host", "path", "kayit").agg(F.sum("metin").alias("metin"), F.sum("bag").alias("bag"))
-    return each.groupBy("host", "path").agg(F.sum("metin").alias("metin"), F.sum("bag").alias("bag"), F.count("*").alias("sayfa"))
+    tagged = pages.where(F.col("markdown").rlike(r"<\s*/?\s*[A-Za-z]|\{\{|\\begin")).select("host", "markdown", F.md5(F.to_json(F.struct(*pages.columns))).alias("kayit"))
+    rows = tagged.mapInPandas(score, "host string, kayit string, path string, metin bigint, bag bigint")
+    each = rows.groupBy("host", "path", "kayit").agg((F.sum("metin") - LINK_WEIGHT * F.sum("bag")).alias("skor"))
+    votes = each.groupBy("host", "path").agg(F.count_if(F.col("skor") > 0).alias("lehte"), F.count_if(F.col("skor") < 0).alias("aleyhte"))
+    decided = (F.col("lehte") + F.col("aleyhte") >= VOTERS) & (F.col("lehte") != F.col("aleyhte"))
+    return votes.withColumn("kazandi", F.when(decided, F.col("lehte") > F.col("aleyhte")))
 
 
 def with_clean_text(pages: DataFrame) -> DataFrame:
     """``pages`` (with ``host``, ``markdown``) with ``temiz`` and ``turler`` added; such columns are replaced."""
-    votes = cut(host_votes(pages).where((F.col("bag") > 0.6 * F.col("metin")) & (F.col("sayfa") >= VOTERS)).where(F.regexp_extract("path", r"([a-z0-9]+)(?:\.[^>]*)?$", 1).isin(*CONTAINERS)).groupBy("host").agg(F.collect_set("path").alias("__lost")))
+    votes = cut(host_votes(pages).where("kazandi is not null"))
+    paths = votes.groupBy("host").agg(F.collect_set(F.when(F.col("kazandi"), F.col("path"))).alias("__won"), F.collect_set(F.when(~F.col("kazandi"), F.col("path"))).alias("__lost"))
+    if votes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        paths = F.broadcast(paths)
     signed = F.col("markdown").rlike(SIGN)
     kept = [c for c in pages.columns if c not in ("temiz", "turler")]
 
     @F.pandas_udf("struct<temiz:string,turler:array<string>>")
-    def extract(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lost in parts:
-            made = [clean(t, frozenset(p) if p is not None else frozenset()) for t, p in zip(text, lost)]
+    def extract(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        chosen = lambda p: frozenset(p) if p is not None else frozenset()
+        for texts, won, lost in parts:
+            made = [clean(t, chosen(w), chosen(x)) for t, w, x in zip(texts, won, lost)]
             yield pd.DataFrame(made, columns=["temiz", "turler"])
 
-    voted = pages.select(*kept).join(votes, "host", "left") if votes.limit(1).count() else pages.select(*kept).withColumn("__lost", F.lit(None).cast("array<string>"))
-    looked = extract(F.when(signed, F.col("markdown")), F.col("__lost"))
-    made = voted.withColumn("__e", looked)
+    made = pages.select(*kept).join(paths, "host", "left").withColumn("__e", extract(F.when(signed, F.col("markdown")), F.col("__won"), F.col("__lost")))
     return made.select(*kept, F.when(signed, F.col("__e.temiz")).otherwise(F.trim("markdown")).alias("temiz"), F.coalesce(F.when(signed, F.col("__e.turler")), F.array().cast("array<string>")).alias("turler"))
 
 
@@ -413,3 +498,8 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's clean text and the foreign markup it had."""
     made = with_clean_text(table(spark, sf_dir, "onbellek", "kayit_no", "host", "markdown"))
     return made.groupBy("kayit_no").agg(F.first("temiz").alias("temiz"), F.first("turler").alias("turler"))
+
+
+def p1_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes of each host on the paths of its containers."""
+    return host_votes(table(spark, sf_dir, "onbellek", "kayit_no", "host", "markdown"))

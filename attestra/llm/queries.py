@@ -7,7 +7,7 @@ from . import bpe, chunks, components, lookalike, markup, neardup, packing, resi
 QUERIES = {
     f.__name__: f
     for f in (
-        markup.p1_found, markup.p1_clean, neardup.p2_found, neardup.p2_groups, chunks.p3_found, chunks.p3_pieces, lookalike.p4_found, lookalike.p4_canonical,
+        markup.p1_found, markup.p1_clean, markup.p1_votes, neardup.p2_found, neardup.p2_groups, chunks.p3_found, chunks.p3_pieces, lookalike.p4_found, lookalike.p4_canonical,
         residue.p5_found, residue.p5_kept, components.p6_found, components.p6_groups, sentences.p7_found, sentences.p7_sentences, bpe.p8_ids,
         packing.p9_containers, packing.p9_report, spans.p10_found, spans.p10_coverage, spans.p10_trimmed,
     )
