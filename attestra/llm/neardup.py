@@ -138,8 +138,8 @@ def _signatures(pages: DataFrame, key: str, level, words: int, least: float) ->
     return pages.select(key, "text").mapInPandas(sign, f"{key} string, set binary, n int, run array<bigint>")
 
 
-def _other_prefixes(pages: DataFrame, key: str, level, words: int, least: float) -> DataFrame:
-    """(``key``, ``n``, ``p1``, ...): the longer prefixes of each page under the orders after the first, by the lower halves of their hashes."""
+def _compared(pages: DataFrame, key: str, level, words: int, least: float) -> DataFrame:
+    """(``key``, ``n``, ``runs``, ``p1``, ...): the runs of each page, and its longer prefixes under the orders after the first, by the lower halves of their hashes."""
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lv = level.value
@@ -148,52 +148,51 @@ def _other_prefixes(pages: DataFrame, key: str, level, words: int, least: float)
             for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
                 h = runs(t, words)
                 keep = _shortest(len(h), least) + int(LONGER * len(h))
-                out.append((k, len(h), *(_prefix(h, lv, i, keep).astype(np.uint32).view(np.int32) for i in range(1, ORDERS))))
-            yield pd.DataFrame(out, columns=[key, "n", *(f"p{i}" for i in range(1, ORDERS))])
+                out.append((k, len(h), h.view(np.int64), *(_prefix(h, lv, i, keep).astype(np.uint32).view(np.int32) for i in range(1, ORDERS))))
+            yield pd.DataFrame(out, columns=[key, "n", "runs", *(f"p{i}" for i in range(1, ORDERS))])
 
-    schema = f"{key} string, n int, " + ", ".join(f"p{i} array<int>" for i in range(1, ORDERS))
+    schema = f"{key} string, n int, runs array<bigint>, " + ", ".join(f"p{i} array<int>" for i in range(1, ORDERS))
     return pages.select(key, "text").mapInPandas(sets, schema)
 
 
-def _run_sets(pages: DataFrame, key: str, words: int) -> DataFrame:
-    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({key: pdf.iloc[:, 0], "runs": [runs(t, words).view(np.int64) for t in pdf.iloc[:, 1]]})
-
-    return pages.select(key, "text").mapInPandas(sets, f"{key} string, runs array<bigint>")
-
-
 def similar_classes(passages: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """Classes of pages with the same runs, (``url``, ``cls``), and pairs of similar classes, (``a``, ``b``, ``benzerlik``) with ``a < b``; a class id is the smallest url of the class."""
     level = passages.sparkSession.sparkContext.broadcast(_levels(frequency_sketch(passages, "metin", words)))
     signed = cut(_signatures(page_texts(passages), "url", level, words, least))
     heads = cut(signed.groupBy("set").agg(F.min("url").alias("cls")))
-    members = signed.select("url", "set").join(heads, "set").select("url", "cls")
+    members = cut(signed.select("url", "set").join(heads, "set").select("url", "cls"))
     classes = signed.join(heads.select(F.col("cls").alias("url")), "url", "left_semi")
     posting = cut(classes.select(F.explode("run").alias("run"), F.xxhash64("url").alias("cid"), "n"))
+    free(signed)
     shared = posting.groupBy("run").agg(F.count("*").alias("df")).where("df > 1").select("run")
     lists = cut(posting.join(shared, "run"))
+    free(posting)
     a, b = lists.alias("a"), lists.alias("b")
     fits = (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9) & (F.col("a.cid") < F.col("b.cid"))
     hits = a.join(b, (F.col("a.run") == F.col("b.run")) & fits).groupBy(F.col("a.cid").alias("ca"), F.col("b.cid").alias("cb")).agg(F.count("*").alias("hits"), F.min(F.least("a.n", "b.n")).alias("n"))
     met = cut(hits.where(F.col("hits") >= F.least(F.lit(FIRST_LONGER + 1), F.ceil(F.col("n") * least - 1e-9))).select("ca", "cb"))
-    free(posting)
+    free(lists)
     wanted = met.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct()
+    # Classes whose hashed ids are equal, should there ever be some, all stay candidates.
     named = cut(heads.select(F.col("cls").alias("url"), F.xxhash64("cls").alias("cid")).join(wanted, "cid"))
+    free(heads)
     texts = page_texts(passages.join(_bounded(named.select("url")), "url", "left_semi"))
-    short = cut(_other_prefixes(texts, "url", level, words, least).join(_bounded(named), "url"))
+    known = cut(_compared(texts, "url", level, words, least).join(_bounded(named), "url"))
+    short = known.drop("runs")
     both = met.join(short.select(*(F.col(c).alias(f"{c}_a") for c in short.columns)), F.col("ca") == F.col("cid_a"))
     both = both.join(short.select(*(F.col(c).alias(f"{c}_b") for c in short.columns)), F.col("cb") == F.col("cid_b"))
     need = F.floor(F.least("n_a", "n_b") * LONGER)  # one less than the filter's bound, for runs with the same lower half
     for i in range(1, ORDERS):
         both = both.where(F.size(F.array_intersect(f"p{i}_a", f"p{i}_b")) >= need)
     pairs = cut(both.select(F.least("url_a", "url_b").alias("a"), F.greatest("url_a", "url_b").alias("b")))
-    urls = cut(pairs.select(F.explode(F.array("a", "b")).alias("url")).distinct())
-    full = cut(_run_sets(page_texts(passages.join(_bounded(urls), "url", "left_semi")), "url", words))
+    full = known.select("url", "runs")
     joined = pairs.join(full.toDF("a", "ra"), "a").join(full.toDF("b", "rb"), "b")
     common = F.size(F.array_intersect("ra", "rb"))
     scored = joined.select("a", "b", (common / (F.size("ra") + F.size("rb") - common)).alias("benzerlik"))
-    return members, cut(scored.where(F.col("benzerlik") >= least))
+    out = cut(scored.where(F.col("benzerlik") >= least))
+    for done in (met, named, known, pairs):
+        free(done)
+    return members, out
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
