@@ -37,10 +37,20 @@ _SPACE = re.compile(r"\s+")
 _LEVELS = (_PARAGRAPH, _LINE, _SENTENCE, _SPACE)
 
 
-def coarsest_boundary(text: str, limit: int = LIMIT) -> str:
-    """The coarsest kind of boundary at which every stretch of ``text`` is within ``limit``."""
-    for name, parts in (("paragraph", _PARAGRAPH.split(text)), ("line", text.split("\n")), ("space", text.split())):
-        if all(len(p) <= limit for p in parts):
+def boundaries(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of the boundaries of each kind in ``text``: blank lines, line breaks, sentence ends, white space."""
+    out = []
+    for level in _LEVELS:
+        found = np.array([m.span() for m in level.finditer(text)], np.int64).reshape(-1, 2)
+        out.append((found[:, 0], found[:, 1]))
+    return out
+
+
+def coarsest_boundary(text: str, limit: int = LIMIT, found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> str:
+    """The coarsest kind of boundary that suffices to cut ``text``: every stretch between two of it is within ``limit``."""
+    paragraph, line, _, space = found or boundaries(text)
+    for name, (starts, ends) in (("paragraph", paragraph), ("line", line), ("space", space)):
+        if int((np.append(starts, len(text)) - np.concatenate(([0], ends))).max()) <= limit:
             return name
     return "none"
 
@@ -55,13 +65,13 @@ def _landmarks(text: str) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def cut_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[int]:
+def cut_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST, found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[int]:
     """Where the bodies of the pieces of ``text`` end; the last is its length."""
     n = len(text)
     if n <= limit:
         return [n]
     marks = _landmarks(text)
-    ends = [np.array([m.end() for m in level.finditer(text)], np.int64) for level in _LEVELS]
+    ends = [e for _, e in found or boundaries(text)]
     out, at, room = [], 0, limit
     while n - at > room:
         lo, hi = at + least, at + room
@@ -83,10 +93,10 @@ def cut_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int
     return out
 
 
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int, int]]:
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST, found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[int, int, int]]:
     """(start, body start, end) of each piece."""
     out, at = [], 0
-    for end in cut_places(text, limit, overlap, least):
+    for end in cut_places(text, limit, overlap, least, found):
         start = max(0, at - overlap)
         if 0 < start < at:  # the repeated part begins after white space, where it has any
             space = _SPACE.search(text, start, at)
@@ -113,8 +123,9 @@ def with_pieces(df: DataFrame, text: str = "metin", limit: int = LIMIT, overlap:
                 if t is None:
                     out.append(None)
                     continue
-                kind = coarsest_boundary(t, limit)
-                out.append([{"parca": i, "bas": a, "govde": b, "metin": t[a:e], "sinir": kind} for i, (a, b, e) in enumerate(pieces(t, limit, overlap, least))])
+                found = boundaries(t)
+                kind = coarsest_boundary(t, limit, found)
+                out.append([{"parca": i, "bas": a, "govde": b, "metin": t[a:e], "sinir": kind} for i, (a, b, e) in enumerate(pieces(t, limit, overlap, least, found))])
             yield pd.Series(out, dtype=object)
 
     col = F.col(f"`{text}`")
@@ -135,3 +146,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages as numbered pieces, in the order of ``sira``; identical rows once."""
     made = with_pieces(table(spark, sf_dir, "pasaj").dropDuplicates(["pasaj_no"]))
     return made.select("pasaj_no", "url", "sira", "parca", "bas", "govde", "metin")
+
+
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each passage keep their promises: sizes, overlaps, and a digest of the bodies put together again."""
+    made = with_pieces(table(spark, sf_dir, "pasaj", "pasaj_no", "metin").dropDuplicates(["pasaj_no"]))
+    own = F.col("metin").substr(F.col("govde") - F.col("bas") + 1, F.length("metin"))
+    rows = made.withColumn("own", own).groupBy("pasaj_no").agg(
+        F.max(F.length("metin")).alias("en_uzun"), F.max(F.col("govde") - F.col("bas")).alias("ortusme"), F.array_sort(F.collect_list(F.struct("parca", "own"))).alias("p"), F.count("*").alias("n")
+    )
+    right = (F.col("en_uzun") <= LIMIT) & (F.col("ortusme") <= OVERLAP) & (F.col("p.parca") == F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: i - 1))
+    return rows.select("pasaj_no", right.alias("tutar"), (F.col("n") > 1).alias("bolundu"), F.md5(F.array_join("p.own", "")).alias("ozet"))

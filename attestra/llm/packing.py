@@ -198,3 +198,12 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = used.groupBy("kap").agg(F.sum("uzunluk").alias("u"), F.sum(F.col("kova") - F.col("uzunluk")).alias("dolgu"), (F.min("kova") == F.max("kova")).alias("tek"))
     full = each.agg(F.count("*").alias("kaplar"), F.count_if("tek").alias("tek_kova"), F.coalesce(F.sum("u"), F.lit(0)).alias("birim"), F.coalesce(F.sum("dolgu"), F.lit(0)).alias("dolgu"))
     return full.select("kaplar", "tek_kova", "birim", (F.col("kaplar") * CAPACITY - F.col("birim")).alias("bos"), "dolgu", F.ceil(F.col("birim") / CAPACITY).alias("en_az"))
+
+
+def p9_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document with text: tokens that are missing from its pieces (``fazla``, 0 if it is whole) and its containers that are over the capacity (``asan``)."""
+    sizes = cut(_sizes(spark, sf_dir))
+    used = fill(sizes)
+    over = used.groupBy("kap").agg(F.sum("uzunluk").alias("u")).select("kap", (F.col("u") > CAPACITY).cast("int").alias("over"))
+    each = used.join(over, "kap").groupBy("doc_id").agg(F.sum("uzunluk").alias("u"), F.sum("over").alias("asan"))
+    return each.join(sizes, "doc_id").select("doc_id", (F.col("tokens") - F.col("u")).alias("fazla"), F.col("asan"))

@@ -7,9 +7,9 @@ from . import bpe, chunks, components, lookalike, markup, neardup, packing, resi
 QUERIES = {
     f.__name__: f
     for f in (
-        markup.p1_found, markup.p1_clean, markup.p1_votes, neardup.p2_found, neardup.p2_groups, chunks.p3_found, chunks.p3_pieces, lookalike.p4_found, lookalike.p4_canonical,
+        markup.p1_found, markup.p1_clean, markup.p1_votes, neardup.p2_found, neardup.p2_groups, chunks.p3_found, chunks.p3_pieces, chunks.p3_rebuilt, lookalike.p4_found, lookalike.p4_canonical,
         residue.p5_found, residue.p5_kept, components.p6_found, components.p6_groups, sentences.p7_found, sentences.p7_sentences, bpe.p8_ids,
-        packing.p9_containers, packing.p9_report, spans.p10_found, spans.p10_coverage, spans.p10_trimmed,
+        packing.p9_containers, packing.p9_report, packing.p9_sizes, spans.p10_found, spans.p10_coverage, spans.p10_trimmed,
     )
 }
 
@@ -53,6 +53,10 @@ ORACLE = {
     + " then 'line' when "
     + _LONGEST.format(_WHITE)
     + " then 'space' else 'none' end as sinir from pasaj where length(metin) > 800",
+    "p3_rebuilt": "select distinct pasaj_no, true as tutar, coalesce(length(metin), 0) > 800 as bolundu, md5(coalesce(metin, '')) as ozet from pasaj",
     "p6_found": f"with recursive {_EDGES} select r as kok_url, n as url from roots where n <> r",
+    "p9_sizes": "select distinct doc_id, 0 as fazla, 0 as asan from documents where text is not null and text <> ''",
+    "p10_coverage": "with t as (select distinct doc_id, text from documents where length(text) >= 200), g as (select doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: {'i': i, 'x': md5(substr(text, i, 200))}), recursive := true) from t), s as (select x from g group by x having count(distinct doc_id) > 1), "
+    "h as (select doc_id, i, lag(i) over (partition by doc_id order by i) p from (select distinct doc_id, i from g where x in (from s))), c as (select doc_id, sum(least(200, i - coalesce(p, -1000))) n from h group by doc_id) select d.doc_id, cast(coalesce(c.n, 0) as bigint) as ortak from (select distinct doc_id from documents) d left join c using (doc_id)",
     "p6_groups": f"with recursive {_EDGES}, pages as (select distinct url from sayfa where url is not null) select coalesce(p.url, r.n) as url, coalesce(r.r, p.url) as grup from pages p full join roots r on p.url = r.n",
 }
