@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,125 +19,173 @@ PASSAGE_WORDS, MAIN_LEAST, LINK_SHARE, REPEAT, THIN = 110, 400, 0.6, 120, 200
 SILENT = frozenset("script style noscript svg iframe canvas button select template annotation annotation-xml".split())
 AROUND = frozenset("nav footer aside header".split())
 BLOCK = frozenset("h1 h2 h3 h4 h5 h6 p div section li tr blockquote dd dt figcaption details summary ul ol table pre main article body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OWN_KIND = HEADINGS | {"li", "pre", "tr"}
+KEPT = frozenset("html body main article".split())
 VOID = frozenset("br hr img meta link input source wbr area base col embed param track".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|menu|footer|header|sidebar|side-bar|aside|cookie|consent|banner|advert|ads?|promo|share|social|breadcrumb|related|recommend|newsletter|subscribe|popup|modal|comment|toc|skip)(?:[\s_-]|$)", re.I)
 
 
-class _Reader(HTMLParser):
-    """Collects blocks (kind, text, characters of links, in the main part) while it reads."""
+class Element:
+    """A node of a page's tree; children are elements or runs of text."""
 
-    def __init__(self, hints: bool):
+    __slots__ = ("name", "attributes", "children")
+
+    def __init__(self, name: str, attributes: dict[str, str | None] | None = None):
+        self.name, self.attributes, self.children = name, attributes or {}, []
+
+
+class _Tree(HTMLParser):
+    """Builds the tree. End tags close the nearest open element of their name, and all within it."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.hints, self.blocks, self.title = hints, [], ""
-        self.open: list[tuple[str, bool]] = []  # name, whether its content is left out
-        self.text: list[str] = []
-        self.kind, self.links, self.main, self.silent, self.link = "p", 0, 0, 0, 0
-        self.in_title = self.pre = False
-
-    def _flush(self) -> None:
-        raw = "".join(self.text)
-        text = raw.strip("\n") if self.kind == "pre" else re.sub(r"\s+", " ", raw).strip()
-        if text.strip():
-            self.blocks.append((self.kind, text, self.links, self.main > 0))
-        self.text, self.links = [], 0
-
-    def _left_out(self, tag: str, attrs: dict) -> bool:
-        if tag in SILENT or (tag in AROUND and not self.main) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-            return True
-        if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-            return True
-        names = " ".join(filter(None, (attrs.get("class"), attrs.get("id"), attrs.get("role"))))
-        return self.hints and tag not in ("html", "body", "main", "article") and bool(NOISE.search(names))
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "title":
-            self.in_title = True
-        if tag in VOID:
-            if tag == "br" and not self.silent:
-                self.text.append("\n" if self.pre else " ")
-            return
-        if tag in BLOCK and not self.silent:
-            self._flush()
-            self.kind = tag if tag[0] == "h" and tag != "header" or tag in ("li", "pre", "tr") else "p"
-            self.pre = self.pre or tag == "pre"
-        if tag in ("td", "th") and self.text and not self.silent:
-            self.text.append(" | ")
-        out = self._left_out(tag, {k: v for k, v in attrs})
-        self.open.append((tag, out))
-        self.silent += out
-        self.main += tag in ("main", "article")
-        self.link += tag == "a"
+        self.root = Element("#page")
+        self.path = [self.root]
+        self.title: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        made = Element(tag, dict(attrs))
+        self.path[-1].children.append(made)
+        if tag not in VOID:
+            self.path.append(made)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = False
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None:
-            return
-        if tag in BLOCK and not self.silent:
-            self._flush()
-            self.kind = "p"
-        for name, out in self.open[at:]:
-            self.silent -= out
-            self.main -= name in ("main", "article")
-            self.link -= name == "a"
-            self.pre = self.pre and name != "pre"
-        del self.open[at:]
+        for depth in range(len(self.path) - 1, 0, -1):
+            if self.path[depth].name == tag:
+                del self.path[depth:]
+                return
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title += data
-        elif not self.silent:
-            self.text.append(data)
-            if self.link:
-                self.links += len(data.strip())
-
-    def done(self) -> list[tuple[str, str, int, bool]]:
-        self.close()
-        self._flush()
-        return self.blocks
-
-
-def _kept(blocks: list[tuple[str, str, int, bool]]) -> list[tuple[str, str, int, bool]]:
-    if sum(len(t) for _, t, _, main in blocks if main) >= MAIN_LEAST:
-        blocks = [b for b in blocks if b[3] or b[0][0] == "h"]
-    out, seen, listing = [], set(), False
-    for kind, text, links, main in blocks:
-        linky = links > LINK_SHARE * len(text) and len(text) < 600 and kind[0] != "h" and kind != "pre"
-        follows = kind == "li" and listing
-        if kind != "li":
-            listing = len(text) >= 70 and text.rstrip("¶").endswith(":")
-        if (linky and not (main and len(text) >= 40) and not follows) or (text in seen and len(text) < REPEAT):
+        at = self.path[-1]
+        if at.name == "title":
+            self.title.append(data)
+        elif at.name == "script" and at.attributes.get("type") == "text/template" and len(self.path) > 1 and self.path[-2].attributes.get("itemprop") == "articleBody":
+            # A page builder that ships its article as a template: it is read as one.
+            inner = parse(data)
+            article = Element("article")
+            article.children = inner.root.children
+            self.path[-2].children.append(article)
+        else:
+            at.children.append(data)
+
+
+def parse(page: str) -> _Tree:
+    tree = _Tree()
+    tree.feed(page)
+    tree.close()
+    return tree
+
+
+class Block(NamedTuple):
+    """A stretch of text between block elements: its kind, how many of its characters are links, and whether it stands in the main part."""
+
+    kind: str
+    text: str
+    links: int
+    main: bool
+
+
+def _unseen(e: Element, main: bool, hints: bool) -> bool:
+    """Whether readers do not see an element, or it only surrounds the content."""
+    style = re.sub(r"\s", "", e.attributes.get("style") or "").lower()
+    if e.name in SILENT or "hidden" in e.attributes or e.attributes.get("aria-hidden") == "true" or "display:none" in style:
+        return True
+    if e.name in AROUND:
+        return not main
+    named = [e.attributes.get(k) for k in ("class", "id", "role")]
+    return hints and e.name not in KEPT and any(NOISE.search(n) for n in named if n)
+
+
+def blocks(root: Element, hints: bool) -> list[Block]:
+    """The visible blocks of a tree in order. Walks with its own stack, so depth does not matter."""
+    out: list[Block] = []
+    text: list[str] = []
+    links = 0
+    kind = "p"
+
+    def close(main: bool) -> None:
+        nonlocal links
+        raw = "".join(text)
+        made = raw.strip("\n") if kind == "pre" else " ".join(raw.split())
+        if made.strip():
+            out.append(Block(kind, made, links, main))
+        text.clear()
+        links = 0
+
+    # (element or text, in the main part, in a link, in pre, whether it is left)
+    todo: list[tuple] = [(root, False, False, False, False)]
+    while todo:
+        node, main, link, pre, leaving = todo.pop()
+        if isinstance(node, str):
+            text.append(node)
+            links += len(node.strip()) if link else 0
+            continue
+        name = node.name
+        if leaving:
+            if name in BLOCK:
+                close(main)
+                kind = "p"
             continue
-        seen.add(text)
-        out.append((kind, text, links, main))
+        if name == "br":
+            text.append("\n" if pre else " ")
+        if name in VOID or _unseen(node, main, hints):
+            continue
+        if name in BLOCK:
+            close(main)
+            kind = name if name in OWN_KIND else "p"
+        elif name in ("td", "th") and text:
+            text.append(" | ")
+        inside = (main or name in ("main", "article"), link or name == "a", pre or name == "pre")
+        todo.append((node, *inside, True))
+        todo += [(c, *inside, False) for c in reversed(node.children)]
+    close(False)
     return out
 
 
-def extract(page: str) -> tuple[str, list[tuple[str, str, int, bool]]]:
-    """Title and content blocks of a page (P09). Class names that mean noise are heeded unless that leaves little and half of the text goes."""
-    page = re.sub(r"(itemprop=['\"]articleBody['\"][^>]*>\s*)<script[^>]*type=['\"]text/template['\"][^>]*>(.*?)</script>", r"\1<article>\2</article>", page, flags=re.I | re.S)
+def _long(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found)
+
+
+def content(found: list[Block]) -> list[Block]:
+    """The blocks that are content: of the main part if that is long enough, without menus and short repetitions."""
+    if _long([b for b in found if b.main]) >= MAIN_LEAST:
+        found = [b for b in found if b.main or b.kind in HEADINGS]
+    announced = [False] * len(found)  # items of a list that a long sentence with a colon announces
+    for i, b in enumerate(found[1:], 1):
+        before = found[i - 1]
+        if b.kind == "li":
+            announced[i] = announced[i - 1] if before.kind == "li" else len(before.text) >= 70 and before.text.rstrip("¶").endswith(":")
+    out: list[Block] = []
+    short: set[str] = set()
+    for b, listed in zip(found, announced):
+        menu = b.kind not in HEADINGS and b.kind != "pre" and len(b.text) < 600 and b.links > LINK_SHARE * len(b.text)
+        if menu and not listed and not (b.main and len(b.text) >= 40):
+            continue
+        if len(b.text) < REPEAT:
+            if b.text in short:
+                continue
+            short.add(b.text)
+        out.append(b)
+    return out
+
+
+def extract(page: str) -> tuple[str, list[Block]]:
+    """Title and content blocks of a page (P09). Names that mean noise are heeded unless that leaves little and half of the text goes."""
+    tree = parse(page)
+    strict = content(blocks(tree.root, True))
+    if _long(strict) < MAIN_LEAST:
+        loose = content(blocks(tree.root, False))
+        strict = loose if _long(loose) > 2 * _long(strict) else strict
+    return "".join(tree.title).strip(), strict
 
-    def read(hints: bool) -> tuple[str, list]:
-        r = _Reader(hints)
-        r.feed(page)
-        return r.title.strip(), _kept(r.done())
 
-    title, blocks = read(True)
-    size = sum(len(b[1]) for b in blocks)
-    if size < MAIN_LEAST:
-        _, more = read(False)
-        if sum(len(b[1]) for b in more) > 2 * size:
-            blocks = more
-    return title, blocks
+_MARKDOWN = {"li": "- {}", "pre": "```\n{}\n```"} | {h: "#" * int(h[1]) + " {}" for h in sorted(HEADINGS)}
 
 
-def to_markdown(blocks: list[tuple[str, str, int, bool]]) -> str:
+def to_markdown(found: list[Block]) -> str:
     """Blocks as Markdown (P10)."""
-    out = []
-    for kind, text, _, _ in blocks:
-        out.append("#" * int(kind[1]) + " " + text if re.fullmatch("h[1-6]", kind) else f"- {text}" if kind == "li" else f"```\n{text}\n```" if kind == "pre" else text)
-    return "\n\n".join(out)
+    return "\n\n".join(_MARKDOWN.get(b.kind, "{}").format(b.text) for b in found)
 
 
 @lazy_udf("struct<baslik:string,markdown:string,ok:boolean>")
@@ -154,40 +203,46 @@ def page_markdown(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["baslik", "markdown", "ok"])
 
 
-def _windows(paragraph: str, target: int) -> list[str]:
-    """A paragraph above twice the target as runs of sentences, longer sentences as runs of words."""
-    words = paragraph.split()
-    if len(words) <= 2 * target or paragraph.startswith("```"):
+def _packed(units: list[str], target: int, glue: str) -> Iterator[str]:
+    """Units joined in order as long as a run stays within ``target`` words."""
+    run: list[str] = []
+    size = 0
+    for u in units:
+        n = len(u.split())
+        if run and size and size + n > target:
+            yield glue.join(run)
+            run, size = [], 0
+        run.append(u)
+        size += n
+    if run:
+        yield glue.join(run)
+
+
+def _split_long(paragraph: str, target: int) -> list[str]:
+    """A paragraph above twice the target as runs of sentences, sentences above it as runs of words."""
+    if paragraph.startswith("```") or len(paragraph.split()) <= 2 * target:
         return [paragraph]
-    out: list[list[str]] = [[]]
+    out: list[str] = []
+    run: list[str] = []
     for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-        w = sentence.split()
-        if len(w) > 2 * target:
-            out += [w[i : i + target] for i in range(0, len(w), target)] + [[]]
-        elif out[-1] and len(out[-1]) + len(w) > target:
-            out.append(w)
-        else:
-            out[-1] = out[-1] + w
-    return [" ".join(x) for x in out if x]
+        words = sentence.split()
+        if len(words) <= 2 * target:
+            run.append(" ".join(words))
+            continue
+        out += [*_packed(run, target, " "), *(" ".join(words[i : i + target]) for i in range(0, len(words), target))]
+        run = []
+    return [x for x in [*out, *_packed(run, target, " ")] if x]
 
 
 def reader_passages(markdown: str, target: int = PASSAGE_WORDS) -> list[tuple[str, str]]:
-    """(heading, text) of a page in passages of about ``target`` words."""
-    out: list[tuple[str, list[str], int]] = []
-    heading, fresh = "", True
+    """(heading, text) of a page in passages of about ``target`` words (P11); a passage never goes past a heading."""
+    parts: list[tuple[str, list[str]]] = [("", [])]
     for paragraph in markdown.split("\n\n"):
         if paragraph.startswith("#"):
-            heading, fresh = paragraph.lstrip("# ").strip(), True
-            continue
-        for part in _windows(paragraph, target):
-            n = len(part.split())
-            if fresh or (out[-1][2] and out[-1][2] + n > target):
-                out.append((heading, [part], n))
-                fresh = False
-            else:
-                out[-1][1].append(part)
-                out[-1] = (out[-1][0], out[-1][1], out[-1][2] + n)
-    return [(h, t) for h, parts, _ in out if (t := "\n".join(parts).strip())]
+            parts.append((paragraph.lstrip("# ").strip(), []))
+        else:
+            parts[-1][1].extend(_split_long(paragraph, target))
+    return [(heading, text.strip()) for heading, units in parts for text in _packed(units, target, "\n") if text.strip()]
 
 
 @lazy_udf("array<struct<baslik:string,metin:string>>")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..runtime import lazy_udf
+from ..runtime import let
 from . import verdict as J
 
 # Month names (Turkish, English), documents' series, common abbreviations.
@@ -23,59 +19,66 @@ HTTP_STATUS = "400 401 403 404 410 429 500 502 503 504".split()
 GENERIC = "2024 2025 2026 2027 2028".split()
 
 _MONTH = "|".join(sorted(MONTHS_TR + MONTHS_EN, key=len, reverse=True))
-_DATE = re.compile(
-    rf"(?P<d1>\d{{1,2}})\s+(?P<m1>{_MONTH})\w*\s+(?P<y1>(?:19|20)\d\d)|(?P<m2>{_MONTH})\w*\s+(?P<d2>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y2>(?:19|20)\d\d)"
-    rf"|(?P<m3>{_MONTH})\w*\s+(?P<y3>(?:19|20)\d\d)|(?P<y4>(?:19|20)\d\d)-(?P<n4>0[1-9]|1[0-2])(?:-(?P<d4>\d\d))?(?!\d)",
-    re.I,
+_YEAR, _VALUE = r"(?:19|20)\d\d", r"\d+(?:[.,]\d+)?"
+# What is set aside, and the forms of dates, documents, identifiers, abbreviations and amounts.
+_AWAY = rf'(?iU){T.LINK}|https?://\S+|\([^()]*\b(?:birincil|ikincil)\b[^()]*\)|"[^"]*"|[“«][^”»]*[”»]|`[^`]*`'
+_DATE = (
+    rf"(?iu)\d{{1,2}}\s+(?:{_MONTH}){T.W}*\s+{_YEAR}|(?:{_MONTH}){T.W}*\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+{_YEAR}|(?:{_MONTH}){T.W}*\s+{_YEAR}"
+    rf"|{_YEAR}-(?:0[1-9]|1[0-2])(?:-\d\d)?(?!\d)"
+)
+_DOCUMENT = rf"(?i)(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(SERIES)})[\s-]*\d+(?:[.-]\d+)*"
+_IDENTIFIER = r"(?<![\p{L}\p{N}_.-])(?=[\p{L}\p{N}_-]*\d)(?=[\p{L}\p{N}_-]*[A-Za-z])[A-Za-z0-9][\p{L}\p{N}_-]*(?![\p{L}\p{N}_])"
+_ACRONYM = r"(?<![\p{L}\p{N}_-])[A-Z][A-Z0-9]{2,}(?:-[A-Z0-9]+)*(?![\p{L}\p{N}_-])"
+_AMOUNT = (
+    rf"(?i:{_VALUE}\s?(?:KB|MB|GB)(?!{T.W}))|%\s?{_VALUE}(?:\s?[-–]\s?{_VALUE})?|{_VALUE}\s?[-–]\s?{_VALUE}\s?%?|\d+(?:[.,]\d+)+|\d{{3,}}"
+    rf"|\d+\s?(?:x|×|%|kat|ms|sn|saniye|TL|USD|EUR)(?!{T.W})"
 )
-_DOCUMENT = re.compile(r"(?<![\w-])(?:" + "|".join(SERIES) + r")[\s-]*\d+(?:[.-]\d+)*", re.I)
-_IDENTIFIER = re.compile(r"(?<![\w.-])(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z0-9][\w-]*(?!\w)")
-_ACRONYM = re.compile(r"(?<![\w-])[A-Z][A-Z0-9]{2,}(?:-[A-Z0-9]+)*(?![\w-])")
-_AMOUNT = re.compile(r"(?i:\d+(?:[.,]\d+)?\s?(?:KB|MB|GB)(?!\w))|%\s?\d+(?:[.,]\d+)?(?:\s?[-–]\s?\d+(?:[.,]\d+)?)?|\d+(?:[.,]\d+)?\s?[-–]\s?\d+(?:[.,]\d+)?\s?%?|\d+(?:[.,]\d+)+|\d{3,}|\d+\s?(?:x|×|%|kat|ms|sn|saniye|TL|USD|EUR)(?!\w)")
-_AWAY = re.compile(r"\[[^\]]*\]\((?:[^()]|\([^()]*\))*\)|https?://\S+|\([^()]*\b(?:birincil|ikincil)\b[^()]*\)|\"[^\"]*\"|[“«][^”»]*[”»]|`[^`]*`", re.I)
-ITEM = "struct<tur:string,etiket:string,ara:string,y:string,m:int,d:int>"
-
-
-def concrete_items(sentence: str) -> list[dict]:
-    """Dates, document numbers, identifiers, abbreviations and amounts of a sentence (T14); what one kind takes, later kinds do not see."""
-    out: list[dict] = []
-    seen = set()
-
-    def put(kind: str, label: str, key: str, y=None, m=None, d=None) -> None:
-        if (kind, key) not in seen:
-            seen.add((kind, key))
-            out.append({"tur": kind, "etiket": label, "ara": key, "y": y, "m": m, "d": d})
-
-    def date(match: re.Match[str]) -> str:
-        g = match.groupdict()
-        y = g["y1"] or g["y2"] or g["y3"] or g["y4"]
-        name = (g["m1"] or g["m2"] or g["m3"] or "").lower()
-        m = int(g["n4"]) if g["n4"] else (MONTHS_TR.index(name) if name in MONTHS_TR else MONTHS_EN.index(name)) + 1
-        d = g["d1"] or g["d2"] or g["d4"]
-        put("date", match.group().strip(), f"{y}-{m:02d}-{d or ''}", y, m, int(d) if d else None)
-        return " " * len(match.group())
-
-    def named(match: re.Match[str]) -> str:
-        label = re.sub(r"\s+", " ", match.group())
-        put("identifier", label, label)
-        return " " * len(match.group())
-
-    rest = _DATE.sub(date, _AWAY.sub(" ", sentence))
-    rest = _IDENTIFIER.sub(named, _DOCUMENT.sub(named, rest))
-    for m in _ACRONYM.finditer(rest):
-        if m.group() not in COMMON_ACRONYMS:
-            put("acronym", m.group(), m.group())
-    for m in _AMOUNT.finditer(rest):
-        key = re.sub(r"\s+", "", m.group().lower().replace("–", "-").replace("×", "x"))
-        if key not in GENERIC and key not in HTTP_STATUS:
-            put("number", m.group().strip(), key)
-    return out
-
-
-@lazy_udf(f"array<{ITEM}>")
-def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda t: None if t is None else concrete_items(t))
+
+
+def items(sentence: Column) -> Column:
+    """Dates, document numbers, identifiers, abbreviations and amounts of a sentence (T14), as structs (tur, etiket, ara, y, m, d).
+
+    What one kind takes is blanked for the kinds after it; of items with the same key the first counts.
+    """
+    kinds, rest = [], F.regexp_replace(sentence, _AWAY, " ")
+
+    def take(pattern: str, name: str, key, keep=None) -> None:
+        nonlocal rest
+        found = F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), key)
+        made = F.transform(found, lambda x: F.struct(F.lit(name).alias("tur"), x["etiket"].alias("etiket"), x["ara"].alias("ara"), x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d")))
+        kinds.append(F.filter(made, keep) if keep else made)
+        if name in ("date", "identifier"):
+            rest = F.regexp_replace(rest, pattern, " ")
+
+    def item(label: Column, key: Column, y=None, m=None, d=None) -> Column:
+        none = F.lit(None)
+        return F.struct(label.alias("etiket"), key.alias("ara"), (none.cast("string") if y is None else y).alias("y"), (none.cast("int") if m is None else m).alias("m"), (none.cast("int") if d is None else d).alias("d"))
+
+    def date(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, rf"(?iu)({_MONTH})", 1))
+        place = lambda names: F.array_position(F.lit(names), name)
+        iso = F.regexp_extract(t, r"^\d{4}-(\d\d)", 1)
+        m = F.when(iso != "", iso.cast("int")).otherwise(F.greatest(place(MONTHS_TR), place(MONTHS_EN)).cast("int"))
+        y = F.when(iso != "", F.substring(t, 1, 4)).otherwise(F.regexp_extract(t, rf"({_YEAR})$", 1))
+        day = F.when(iso != "", F.regexp_extract(t, r"^\d{4}-\d\d-(\d\d)$", 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,2})\s", 1), F.lit("")), F.regexp_extract(t, r"\s(\d{1,2})(?:st|nd|rd|th)?,?\s", 1)))
+        return item(F.trim(t), F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), day), y, m, F.nullif(day, F.lit("")).cast("int"))
+
+    def named(t: Column) -> Column:
+        label = F.regexp_replace(t, r"\s+", " ")
+        return item(label, label)
+
+    take(_DATE, "date", date)
+    take(_DOCUMENT, "identifier", named)
+    take(_IDENTIFIER, "identifier", named)
+    take(_ACRONYM, "acronym", lambda t: item(t, t), lambda x: ~x["ara"].isin(*COMMON_ACRONYMS))
+    take(_AMOUNT, "number", lambda t: item(F.trim(t), F.regexp_replace(F.translate(F.lower(t), "–×", "-x"), r"\s+", "")), lambda x: ~x["ara"].isin(*GENERIC, *HTTP_STATUS))
+    return let(F.concat(*kinds), lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~F.exists(F.slice(all_, 1, i), lambda y: (y["tur"] == x["tur"]) & (y["ara"] == x["ara"]))))
+
+
+def of_day(item: Column, day: Column) -> Column:
+    """Whether a date is the day of a run or a note, or its month where it names no day (T15); such items are not checked."""
+    same = (item["y"] == F.year(day).cast("string")) & (item["m"] == F.month(day))
+    return F.coalesce((item["tur"] == "date") & same & (item["d"].isNull() | (item["d"] == F.dayofmonth(day))), F.lit(False))
 
 
 def sentences(col: Column) -> Column:

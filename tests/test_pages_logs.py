@@ -6,20 +6,38 @@ from attestra.operators import logs as L
 from attestra.operators import pages as P
 
 LONG = "This is a real sentence of the article that has something to say about its subject. " * 6
-HTML = f"""<html><head><title>T &amp; t</title></head><body class="nav-sidebar"><nav>Menu item</nav><div class="cookie-banner">We use cookies</div><main><h2>Part</h2><p>{LONG}</p>
+LIST = "<p>Of the many parts that the kit comes with, these are the ones to keep at hand while building:</p><ul><li><a href='#'>Screwdriver</a></li><li><a href='#'>Clamp</a></li></ul>"
+HTML = f"""<html><head><title>T &amp; t</title></head><body id="skip-link"><nav>Menu item</nav><div role="share">Tell a friend</div><main><h2>Part</h2><p>{LONG}</p>
 <p hidden>secret</p><p style="display: none">gone</p><pre>code
- line</pre><table><tr><td>a</td><td>b</td></tr></table><p>The response contains at least the following fields, each of which is described below:</p><ul><li><a href="#">Cache-Control</a></li></ul><p>open <b>tag</main><footer>Foot</footer><script>x()</script></body></html>"""
+ line</pre><table><tr><td>a</td><td>b</td></tr></table>{LIST}<p>open <b>tag</main><footer>Foot</footer><script>x()</script></body></html>"""
+
+
+def markdown(page):
+    return P.to_markdown(P.extract(page)[1])
 
 
 def test_extract():
-    title, blocks = P.extract(HTML)
-    md = P.to_markdown(blocks)
-    assert title == "T & t" and "## Part" in md and "```\ncode\n line\n```" in md and "a | b" in md and "- Cache-Control" in md and "open tag" in md
-    assert not any(x in md for x in ("Menu", "cookies", "secret", "gone", "Foot", "x()"))
+    md = markdown(HTML)
+    assert P.extract(HTML)[0] == "T & t" and "## Part" in md and "```\ncode\n line\n```" in md and "a | b" in md and "- Screwdriver" in md and "- Clamp" in md and "open tag" in md
+    assert not any(x in md for x in ("Menu", "friend", "secret", "gone", "Foot", "x()"))
 
 
 def test_noise_names_are_ignored_where_they_hold_everything():
-    assert "real sentence" in P.to_markdown(P.extract(f"<div class='content-header'><p>{LONG}</p></div>")[1])
+    assert "real sentence" in markdown(f"<div id='related'><p>{LONG}</p></div>")
+
+
+def test_menus_and_repetitions_go():
+    links = "<p>" + "<a href='#'>link text</a> " * 6 + "</p>"
+    assert "link" not in markdown(links + f"<p>{LONG}</p>") and "link" in markdown(f"<main>{links}<p>{LONG}</p></main>")
+    assert markdown("<p>again</p><p>again</p><p>other</p>") == "again\n\nother"
+
+
+def test_articles_in_templates():
+    assert markdown(f"<div itemprop='articleBody'><script type='text/template'><h3>In</h3><p>{LONG}</p></script></div><script type='text/template'>out</script>").startswith("### In\n\nThis is")
+
+
+def test_deep_pages():
+    assert "real sentence" in markdown("<div>" * 20_000 + LONG)
 
 
 def test_page_column(spark):

@@ -4,15 +4,22 @@ from attestra.functions import text as T
 from attestra.operators import support as S
 
 
-def kinds(text):
-    return [(i["tur"], i["ara"]) for i in S.concrete_items(text)]
+def test_items(spark):
+    cases = [
+        ("Uses X25519 here", [("identifier", "X25519")]), ("and ML-KEM-768", [("identifier", "ML-KEM-768")]), ("see PEP 703", [("identifier", "PEP 703")]), ("in 2026, the API gave 404", []),
+        ("24 Mart 2026 and March 24, 2026 and 2026-03-24", [("date", "2026-03-24")]), ("May 2025 and Ağustos 2024", [("date", "2025-05-"), ("date", "2024-08-")]),
+        ("it took 12 ms", [("number", "12ms")]), ("%5–10 faster", [("number", "%5-10")]), ("NATO said OK", [("acronym", "NATO")]),
+        ('quoted "4711" `9999` (2026-08, birincil) [x](https://a.example/1234)', []), ("RFC 9309, then 12 ms and again 12 ms, CVE-2024-3094", [("identifier", "RFC 9309"), ("identifier", "CVE-2024-3094"), ("number", "12ms")]), ("", []), (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "n int, t string")
+    got = [r["i"] for r in df.select("n", S.items(F.col("t")).alias("i")).orderBy("n").collect()]
+    assert [None if g is None else [(i["tur"], i["ara"]) for i in g] for g in got] == [w for _, w in cases]
+    assert [(i["y"], i["m"], i["d"]) for i in got[5]] == [("2025", 5, None), ("2024", 8, None)] and got[4][0]["d"] == 24 and got[4][0]["etiket"] == "24 Mart 2026"
 
 
-def test_items():
-    assert ("identifier", "X25519") in kinds("Uses X25519 here") and ("identifier", "ML-KEM-768") in kinds("and ML-KEM-768") and kinds("see PEP 703") == [("identifier", "PEP 703")]
-    assert [i["m"] for i in S.concrete_items("24 Mart 2026 and March 24, 2026 and 2026-03-24")] == [3] and kinds("in 2026, the API gave 404") == []
-    assert ("number", "12ms") in kinds("it took 12 ms") and ("number", "%5-10") in kinds("%5-10 faster") and ("acronym", "NATO") in kinds("NATO said")
-    assert kinds('quoted "4711" `9999` (2026-08, birincil) [x](https://a.example/1234)') == []
+def test_days_of_the_run_are_skipped(spark):
+    df = spark.createDataFrame([("24 Mart 2026",), ("Mart 2026",), ("25 Mart 2026",), ("Mart 2025",), ("12 ms",)], "t string").withColumn("i", F.explode(S.items(F.col("t"))))
+    assert [r[0] for r in df.select(S.of_day(F.col("i"), F.lit("2026-03-24").cast("date"))).collect()] == [True, True, False, False, False]
 
 
 def on(spark, sentence, page):
