@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..runtime import cut
+from ..runtime import bounded, cut
 from .vault import roots
 
 SAME, SAME_PAGE, MIN_RUNS, LEAST_COVERAGE, QUESTIONS = 0.6, 0.35, 2, 0.6, 3
@@ -36,7 +36,7 @@ def fact_hits(known: DataFrame, claims: DataFrame, claim: str = "iddia") -> Data
     """Facts named in claims of their topic (J03): ``slug``, ``no``, ``run_id``; found in the claim's own text or its normal form, never in addresses."""
     text = claims.select("slug", "run_id", T.fact_text(F.col(claim)).alias("t")).withColumn("n", T.norm(F.col("t"), False)).distinct()
     desen = F.concat(F.lit("(?iu)"), "desen")
-    return text.join(F.broadcast(known), "slug").where(F.regexp("t", desen) | F.regexp("n", desen)).select("slug", "no", "run_id").distinct()
+    return text.join(bounded(known), "slug").where(F.regexp("t", desen) | F.regexp("n", desen)).select("slug", "no", "run_id").distinct()
 
 
 def fact_coverage(known: DataFrame, hits: DataFrame) -> DataFrame:
@@ -75,13 +75,18 @@ def same_claim(a: str, b: str) -> Column:
     return F.coalesce(~apart & ((share >= SAME) | page), F.lit(False))
 
 
+def _id(key: list[str]) -> Column:
+    """One name for a key, by a 128-bit digest."""
+    return F.md5(F.to_json(F.struct(*key)))
+
+
 def same_claim_pairs(features: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of claims of one topic and different runs that are the same.
 
     Lossless candidates: a claim that shares ``SAME`` of the smaller one's words holds one
     of that one's rarest words (a prefix in the order of frequency); all others share a page.
     """
-    f = cut(features.withColumn("id", F.xxhash64(*key)))
+    f = cut(features.withColumn("id", _id(key)))
     words = f.select("slug", "id", F.size("kelimeler").alias("n"), F.explode("kelimeler").alias("x"))
     df = words.groupBy("slug", "x").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
@@ -105,7 +110,7 @@ def clusters(features: DataFrame) -> DataFrame:
     key = ["run_id", "dosya", "sira"]
     pairs = cut(same_claim_pairs(features, ["slug", *key]).select("ia", "ib"))
     root = roots(pairs, "ia", "ib").withColumnRenamed("k", "id")
-    rows = features.withColumn("id", F.xxhash64("slug", *key)).join(root, "id", "left").withColumn("kok", F.coalesce("kok", "id"))
+    rows = features.withColumn("id", _id(["slug", *key])).join(root, "id", "left").withColumn("kok", F.coalesce("kok", "id"))
     schema = "slug string, kume string, run_id string, dosya string, sira int"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..runtime import bounded
 
 # The sections of a note, in its language.
 SECTIONS = ("Özet", "Alıntılı bulgular", "Çıkarımlar", "Boşluklar")
@@ -124,7 +125,7 @@ def weak_notes(found: DataFrame, plan: DataFrame, key: list[str]) -> DataFrame:
     """Notes with fewer distinct sources than their plan asks for."""
     urls = found.select(*key, F.explode("urls").alias("url")).groupBy(*key).agg(F.count_distinct("url").alias("adres"))
     least = plan.select("slug", F.coalesce("min_url", "min_url_required", F.lit(8)).alias("en_az"))
-    all_ = found.select(*key).distinct().join(urls, key, "left").join(F.broadcast(least), "slug", "left")
+    all_ = found.select(*key).distinct().join(urls, key, "left").join(bounded(least), "slug", "left")
     return all_.select(*key, F.coalesce("adres", F.lit(0)).alias("adres"), F.coalesce("en_az", F.lit(8)).alias("en_az")).where("adres < en_az")
 
 

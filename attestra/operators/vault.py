@@ -9,16 +9,21 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..runtime import cut, let
 
-PASSAGE, SHINGLE, CAP, COPY, GROUP_ID, STALE_DAYS = 800, 8, 6000, 0.85, 12, 30
+PASSAGE, SHINGLE, COPY, GROUP_ID, STALE_DAYS = 800, 8, 0.85, 12, 30
+#: Fixed value: how much of a page, in copy form, a comparison like the earlier tooling's reads. The engine reads whole pages.
+PARITY_CAP = 6000
 
 
-def upsert(records: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Newest record of each canonical address, strictly newer replacing (R04). Columns: ``url``, ``alindi``, ``kayit_no``."""
+def upsert(records: DataFrame, existing: DataFrame | None = None, text: str | None = None) -> DataFrame:
+    """Newest record of each canonical address, strictly newer replacing (R04). Columns: ``url``, ``alindi``, ``kayit_no``, and ``metin`` where ``text`` names the column of texts."""
     ok = records.where("ok and trim(coalesce(markdown, '')) <> ''").withColumn("url", U.canonical(F.col("istenen_url"))).where("url <> ''")
-    rows = ok.select("url", F.coalesce("fetched_at", F.lit(0.0)).alias("alindi"), "kayit_no").distinct()
+    more = [F.col(text).alias("metin")] if text else []
+    rows = ok.select("url", F.coalesce("fetched_at", F.lit(0.0)).alias("alindi"), "kayit_no", *more).withColumn("__new", F.lit(1))
     if existing is not None:
-        rows = rows.unionByName(existing.select("url", "alindi", "kayit_no"))
-    return rows.groupBy("url").agg(F.max_by(F.struct("alindi", "kayit_no"), F.struct("alindi", -F.col("kayit_no"))).alias("r")).select("url", "r.*")
+        rows = rows.unionByName(existing.withColumn("__new", F.lit(0)).select(rows.columns))
+    # The newest; of equally new ones that which was there, then the first.
+    least = F.min(F.struct(-F.col("alindi"), "__new", "kayit_no", *(["metin"] if text else []))).alias("r")
+    return rows.groupBy("url").agg(least).select("url", (-F.col("r.col1")).alias("alindi"), "r.kayit_no", *(["r.metin"] if text else []))
 
 
 def upsert_counts(records: DataFrame, order: str = "kayit_no") -> DataFrame:
@@ -53,9 +58,10 @@ def page_texts(rows: DataFrame, key: str = "url", order: str = "sira", text: str
     return p.select(key, F.array_join("p.m", "\n").alias("metin"))
 
 
-def shingles(text: Column, n: int = SHINGLE, cap: int = CAP) -> Column:
-    """Distinct runs of ``n`` words of the first ``cap`` characters of the copy form (T03); a shorter text is one run, an empty one none."""
-    words = F.filter(F.split(F.substring(T.copy_norm(text), 1, cap), " "), lambda w: w != "")
+def shingles(text: Column, n: int = SHINGLE, cap: int | None = None) -> Column:
+    """Distinct runs of ``n`` words of the copy form (T03), of its first ``cap`` characters if given; a shorter text is one run, an empty one none."""
+    plain = T.copy_norm(text)
+    words = F.filter(F.split(F.substring(plain, 1, cap) if cap else plain, " "), lambda w: w != "")
 
     def runs(w: Column) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
@@ -64,13 +70,13 @@ def shingles(text: Column, n: int = SHINGLE, cap: int = CAP) -> Column:
     return let(words, runs)
 
 
-def copy_pairs(pages: DataFrame, key: str = "url", least: float = COPY) -> DataFrame:
-    """Pairs of pages whose runs overlap by ``least`` (J08), (``a``, ``b``, ``benzerlik``) with ``a < b``; exact.
+def copy_classes(pages: DataFrame, key: str = "url", least: float = COPY, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Classes of pages with the same runs, (``k``, ``cls``), and the pairs of classes that overlap by ``least``, (``ca``, ``cb``, ``benzerlik``); exact.
 
-    Pages with the same runs are one class. Runs held by one class are dropped before
-    prefixes are taken in the order of frequency: they cannot be shared, but count.
+    Runs held by one class are dropped before prefixes are taken in the order of
+    frequency: they cannot be shared, but count.
     """
-    base = cut(pages.select(key, shingles(F.col("metin")).alias("s")).where(F.size("s") > 0).select(F.col(key).alias("k"), F.array_sort(F.transform("s", lambda x: F.xxhash64(x))).alias("s")))
+    base = cut(pages.select(key, shingles(F.col("metin"), cap=cap).alias("s")).where(F.size("s") > 0).select(F.col(key).alias("k"), F.array_sort(F.transform("s", lambda x: F.xxhash64(x))).alias("s")))
     base = base.withColumn("set", F.md5(F.concat_ws(",", "s")))
     heads = cut(base.groupBy("set").agg(F.min("k").alias("cls"), F.first("s").alias("s")))
     rows = heads.select("cls", F.size("s").alias("n"), F.explode("s").alias("x"))
@@ -85,11 +91,16 @@ def copy_pairs(pages: DataFrame, key: str = "url", least: float = COPY) -> DataF
     sets = heads.select("cls", "s")
     full = met.join(sets.toDF("ca", "sa"), "ca").join(sets.toDF("cb", "sb"), "cb")
     common = F.size(F.array_intersect("sa", "sb"))
-    near = full.select("ca", "cb", (common / (F.size("sa") + F.size("sb") - common)).alias("benzerlik")).where(F.col("benzerlik") >= least)
-    near = cut(near.unionByName(heads.select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.lit(1.0).alias("benzerlik"))))
-    m = base.select("k", "set").join(heads.select("set", "cls"), "set").select("k", "cls")
-    out = near.join(m.toDF("x", "ca"), "ca").join(m.toDF("y", "cb"), "cb").where("x <> y")
-    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "benzerlik").distinct()
+    near = cut(full.select("ca", "cb", (common / (F.size("sa") + F.size("sb") - common)).alias("benzerlik")).where(F.col("benzerlik") >= least))
+    return cut(base.select("k", "set").join(heads.select("set", "cls"), "set").select("k", "cls")), near
+
+
+def copy_pairs(pages: DataFrame, key: str = "url", least: float = COPY, cap: int | None = None) -> DataFrame:
+    """Pairs of pages whose runs overlap by ``least`` (J08), (``a``, ``b``, ``benzerlik``) with ``a < b``: the listing of :func:`copy_classes`."""
+    m, near = copy_classes(pages, key, least, cap)
+    same = m.toDF("x", "c").join(m.toDF("y", "c"), "c").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("benzerlik"))
+    apart = near.join(m.toDF("x", "ca"), "ca").join(m.toDF("y", "cb"), "cb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "benzerlik")
+    return same.unionByName(apart)
 
 
 def roots(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -108,8 +119,13 @@ def roots(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return label
 
 
+def class_edges(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) that hold all copies together: each page to the head of its class, and similar classes; never all pairs."""
+    return members.where("k <> cls").select(F.col("cls").alias("a"), F.col("k").alias("b")).unionByName(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
 def copy_groups(pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``url``, ``grup``: group id is the start of the SHA-1 of the group's oldest page (R05); pages alone have one too. ``pages``: ``url``, ``alindi``."""
+    """``url``, ``grup``: group id is the start of the SHA-1 of the group's oldest page (R05); pages alone have one too. ``pages``: ``url``, ``alindi``; ``pairs``: links as of :func:`class_edges`."""
     one = pages.groupBy("url").agg(F.min(F.coalesce("alindi", F.lit(0.0))).alias("alindi"))
     rows = one.join(roots(pairs).withColumnRenamed("k", "url"), "url", "left").withColumn("kok", F.coalesce("kok", "url"))
     oldest = rows.groupBy("kok").agg(F.min_by("url", F.struct("alindi", "url")).alias("ilk"))
@@ -119,7 +135,7 @@ def copy_groups(pages: DataFrame, pairs: DataFrame) -> DataFrame:
 def independent_sources(cited: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """Independent sources among the addresses of each key (A07, A08): copies of one text count once, other pages by host.
 
-    ``cited``: key, ``url``; ``pages``: ``url``, ``host``, ``grup``. Totals (A09) are sums of the result.
+    ``cited``: key, ``url``; ``pages``: ``url``, ``host``, ``grup``. For totals see :func:`independence_totals`.
     """
     size = pages.where("grup is not null").groupBy("grup").agg(F.count_distinct("url").alias("uye"))
     known = pages.select("url", "host", "grup").dropDuplicates(["url"]).join(size, "grup", "left")
@@ -131,6 +147,16 @@ def independent_sources(cited: DataFrame, pages: DataFrame, key: list[str]) -> D
     )
 
 
+def independence_totals(cited: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+    """One row of totals over all notes (A09): sums of :func:`independent_sources`, and copy groups, a group with the same cited members counting once."""
+    sums = independent_sources(cited, pages, key).agg(
+        F.count("*").alias("not_"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("alan_adi", "okunan_alan_adi")), F.coalesce(F.sum(F.col("adres") - F.col("okunan")), F.lit(0)).alias("okunamayan"), F.coalesce(F.sum("bagimsiz"), F.lit(0)).alias("bagimsiz")
+    )
+    known = pages.where("grup is not null").select("url", "grup").dropDuplicates(["url"])
+    groups = cited.select(*key, "url").distinct().join(known, "url").groupBy(*key, "grup").agg(F.array_sort(F.collect_set("url")).alias("uyeler")).where(F.size("uyeler") > 1)
+    return sums.crossJoin(groups.agg(F.count_distinct("uyeler").alias("kopya_grubu")))  # two single rows
+
+
 def statistics(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """One row about the vault."""
     groups = pages.where("kopya_grubu is not null").groupBy("kopya_grubu").agg(F.count_distinct("url").alias("n")).where("n > 1").agg(F.count("*").alias("kopya_grubu"))
@@ -146,17 +172,17 @@ def bm25(items: DataFrame, terms: list[str], key: str, tokens: Column, k1: float
     """
     terms = sorted(set(terms))
     within = within or []
-    t = items.select(*within, F.col(key).alias("k"), tokens.alias("t"))
-    counts = [F.size(F.filter("t", _equals(q))) for q in terms]
-    rows = t.select(*within, "k", F.size("t").alias("dl"), F.array(*counts).alias("tf") if terms else F.array().cast("array<int>").alias("tf"))
-    stats = rows.groupBy(*within).agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
-    joined = rows.join(F.broadcast(stats), within) if within else rows.crossJoin(F.broadcast(stats))  # one row of statistics
+    t = items.select(*within, F.col(key).alias("__k"), tokens.alias("__t"))
+    counts = [F.size(F.filter("__t", _equals(q))) for q in terms]
+    rows = t.select(*within, "__k", F.size("__t").alias("__dl"), F.array(*counts).alias("__tf") if terms else F.array().cast("array<int>").alias("__tf"))
+    stats = rows.groupBy(*within).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(terms))))
+    joined = rows.join(stats, within) if within else rows.crossJoin(F.broadcast(stats))  # without `within`, one row of statistics
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        tf = F.col("tf")[i]
-        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.greatest("avg", F.lit(1e-9))))).otherwise(0.0)
-    return joined.select(*within, F.col("k").alias(key), score.alias("skor"), F.size(F.filter("tf", lambda x: x > 0)).alias("terim")).where("skor > 0")
+        idf = F.log(1 + (F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5))
+        tf = F.col("__tf")[i]
+        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / F.greatest("__avg", F.lit(1e-9))))).otherwise(0.0)
+    return joined.select(*within, F.col("__k").alias(key), score.alias("skor"), F.size(F.filter("__tf", lambda x: x > 0)).alias("terim")).where("skor > 0")
 
 
 def _equals(term: str):
@@ -197,12 +223,20 @@ def budget_choice(ranked: Column, budget: int) -> Column:
     return F.array_sort(F.aggregate(ranked, zero, step)["out"])
 
 
-def host_slots(fetches: DataFrame, gap: float = 0.5) -> DataFrame:
-    """When each fetch of a host may start: in order, ``gap`` seconds apart at least.
+def host_slots(fetches: DataFrame, gap: float = 0.5, bucket: float = 600.0) -> DataFrame:
+    """When each fetch of a host may start (ST4): in order, ``gap`` seconds apart at least.
 
-    slot_i = max over j <= i of (t_j + (i - j) * gap), a running maximum.
+    slot_i = max over j <= i of (t_j + (i - j) * gap), a running maximum. It is taken in
+    two levels, within ``bucket`` seconds of a host and over its buckets, so a host with
+    any part of all fetches is spread over as many tasks as it has buckets.
     """
-    w = Window.partitionBy("host").orderBy("t", "kayit_no")
-    i = F.row_number().over(w)
-    return fetches.withColumn("i", i).withColumn("slot", F.max(F.col("t") - F.col("i") * gap).over(w) + F.col("i") * gap).drop("i")
-
+    rows = fetches.withColumn("__b", F.floor(F.col("t") / bucket))
+    sizes = rows.groupBy("host", "__b").agg(F.count("*").alias("__n"))
+    before = lambda c: c.over(Window.partitionBy("host").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("host", "__b", F.coalesce(before(F.sum("__n")), F.lit(0)).alias("__from"))
+    own = Window.partitionBy("host", "__b").orderBy("t", "kayit_no")
+    rows = cut(rows.withColumn("__i", F.row_number().over(own)).join(offsets, ["host", "__b"]).withColumn("__i", F.col("__i") + F.col("__from")).withColumn("__m", F.col("t") - F.col("__i") * gap))
+    tops = rows.groupBy("host", "__b").agg(F.max("__m").alias("__top"))
+    earlier = tops.select("host", "__b", before(F.max("__top")).alias("__before"))
+    made = rows.join(earlier, ["host", "__b"]).withColumn("slot", F.greatest(F.max("__m").over(own), F.col("__before")) + F.col("__i") * gap)
+    return made.select(*fetches.columns, "slot")

@@ -14,12 +14,14 @@ from ..operators import pages as P
 from ..operators import support as S
 from ..operators import vault as V
 from ..operators import verdict as J
-from ..runtime import cut, table
+from ..operators import reports as R
+from ..runtime import bounded, cut, table
+from . import vectors
 
 KEY = ["run_id", "slug", "dosya"]
 AS_OF = 1767225600.0  # 2026-01-01, so that no result depends on the day it is made
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = dict(vectors.QUERIES)
+ORACLE: dict[str, str] = dict(vectors.ORACLE)
 
 
 def query(sql: str | None = None):
@@ -37,9 +39,10 @@ _CANON = """
   case when regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) = '' then '' else
   case when lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) in ('', 'http') then 'https' else lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) end || '://' || {h}
   || case when regexp_replace(regexp_extract({u}, '//[^/?#]*([^?#]*)', 1), '/+$', '') = '' then '/' else regexp_replace(regexp_extract({u}, '//[^/?#]*([^?#]*)', 1), '/+$', '') end
-  || case when len({q}) = 0 then '' else '?' || array_to_string(list_sort({q}), '&') end end"""
+  || case when len({q}) = 0 then '' else '?' || array_to_string({q}, '&') end end"""
 _HOST = "regexp_replace(regexp_replace(lower(regexp_extract({u}, '//([^/?#]*)', 1)), ':\\d*$', ''), '^www\\.', '')"
-_PARAMS = "list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(string_split(p, '=')[1]), 'utm_|^aff') and lower(string_split(p, '=')[1]) not in ('fbclid', 'gclid', 'ref'))"
+_PAIRS = "list_transform(list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'k': url_decode(replace(string_split(p, '=')[1], '+', ' ')), 'v': url_decode(replace(regexp_replace(p, '^[^=]*=?', ''), '+', ' '))}})"
+_PARAMS = "list_transform(list_sort(list_filter(" + _PAIRS + ", lambda p: not regexp_matches(lower(p.k), 'utm_|^aff') and lower(p.k) not in ('fbclid', 'gclid', 'ref'))), lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+'))"
 
 
 def _canon(u: str) -> str:
@@ -153,20 +156,23 @@ def t_evidence(s, d):
     return _findings(s, d).select("run_id", "dosya", "sira", T.evidence(F.col("iddia")).alias("ev")).select("run_id", "dosya", "sira", "ev.*")
 
 
-@query()
+_V = "case when starts_with(sayi, '%') then substr(sayi, 2) else sayi end"
+_THOUSANDS = "reverse(regexp_replace(reverse(regexp_replace(c, '[.,]', '', 'g')), '(\\d{{3}})', '\\1{}', 'g'))"
+
+
+@query(
+    f"with s as (select distinct replace(unnest(sayilar), ' ', '') r, unnest(sayilar) sayi0 from bulgular), t as (select sayi0, r as sayi, {_V.replace('sayi', 'r')} c, starts_with(r, '%') p from s), "
+    "k as (select *, list_filter([c, case when regexp_full_match(c, '\\d+,\\d{1,2}') then replace(c, ',', '.') end, case when regexp_full_match(c, '\\d+\\.\\d{1,2}') then replace(c, '.', ',') end, case when regexp_full_match(c, '\\d{1,3}(?:[.,]\\d{3})+') then regexp_replace(c, '[.,]', '', 'g') end, "
+    f"case when regexp_full_match(c, '\\d{{1,3}}(?:[.,]\\d{{3}})+') then ltrim({_THOUSANDS.format(',')}, ',') end, case when regexp_full_match(c, '\\d{{1,3}}(?:[.,]\\d{{3}})+') then ltrim({_THOUSANDS.format('.')}, '.') end], lambda x: x is not null) l from t), "
+    "m as (select sayi0 as sayi, [sayi] || case when p then flatten(list_transform(l, lambda x: [x, x || '%', x || ' %', x || ' percent', x || ' per cent'])) else l end b from k) "
+    "select sayi, list_filter(b, lambda x, i: list_position(b, x) = i) as bicimler from m"
+)
 def t_number_variants(s, d):
     return _findings(s, d).select(F.explode("sayilar").alias("sayi")).distinct().select("sayi", T.number_variants(F.regexp_replace("sayi", " ", "")).alias("bicimler"))
 
 
-@query("select pasaj_no, trim(regexp_replace(regexp_replace(regexp_replace(lower(metin), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' +', ' ', 'g')) as m from (select distinct pasaj_no, metin from pasaj where not regexp_matches(metin, '[İ\\x{2000}-\\x{200f}\\x{2060}]'))")
+@query("select pasaj_no, trim(regexp_replace(regexp_replace(lower(replace(metin, 'İ', 'i̇')), '(?:https?://|www\\.)[^\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\p{Z}]+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' ') as m from (select distinct pasaj_no, metin from pasaj)")
 def t_copy_norm(s, d):
-    p = table(s, d, "pasaj", "pasaj_no", "metin").where(~F.col("metin").rlike(r"[İ\x{2000}-\x{200f}\x{2060}]")).distinct()
-    return p.select("pasaj_no", T.copy_norm(F.col("metin")).alias("m"))
-
-
-@query()
-def t_copy_norm_all(s, d):
-    """Every passage; t_copy_norm has those whose letters and spaces SQL reads alike."""
     return table(s, d, "pasaj", "pasaj_no", "metin").distinct().select("pasaj_no", T.copy_norm(F.col("metin")).alias("m"))
 
 
@@ -176,7 +182,11 @@ def t_word_set(s, d):
     return p.select("pasaj_no", F.size(T.word_set(F.col("metin"))).alias("n"), T.token_estimate(F.col("metin")).alias("birim"))
 
 
-@query()
+@query(
+    "with f as (select distinct run_id, dosya, sira, regexp_replace(regexp_replace(metin, '\\b\\d{4}-\\d{2}(?:-\\d{2})?\\b', ' ', 'g'), '(?i)\\b(?:PEP|RFC|FIPS|CVE|CWE|CAPEC|ISO|IEC|SP|BCP)[\\s\\-]*\\d[\\d.\\-]*', ' ', 'g') m from bulgular), "
+    "r as (select run_id, dosya, sira, list_transform(regexp_extract_all(m, '(?:^|[^\\p{L}\\p{N}_.%])\\d{2,}(?:[.,]\\d+)?%?|%\\d+(?:[.,]\\d+)?'), lambda x: case when starts_with(x, '%') then x else regexp_replace(x, '^[^\\d]', '') end) l from f), k as (select *, list_filter(l, lambda x: not regexp_full_match(x, '20[12]\\d')) n from r) "
+    "select run_id, dosya, sira, list_filter(n, lambda x, i: list_position(n, x) = i) as sayilar from k"
+)
 def t_rare_numbers(s, d):
     return _findings(s, d).select("run_id", "dosya", "sira", T.rare_numbers(F.col("iddia")).alias("sayilar"))
 
@@ -197,7 +207,9 @@ def t_injection(s, d):
     return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", T.injection_count(F.col("markdown")).alias("n"))
 
 
-@query()
+@query(
+    "select kayit_no, regexp_matches(markdown, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{20,}|\\b(?:[a-z0-9]+[_-])*(?:api[_-]?key|access[_-]?token|auth[_-]?token|secret[_-]?key|client[_-]?secret|password)\\s*[=:]\\s*[^\\s\"'']{6,}') or regexp_matches(markdown, '\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{4,}|\\b(?:sk|pk|rk|gh[pousr]|xox[abpr])[-_][A-Za-z0-9_-]{16,}|\\bAKIA[0-9A-Z]{16}\\b') as gizli from (select distinct kayit_no, markdown from onbellek where markdown is not null)"
+)
 def t_masked(s, d):
     return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", (T.mask_secrets(F.col("markdown")) != F.col("markdown")).alias("gizli"))
 
@@ -228,7 +240,7 @@ def _with_hints(s: SparkSession, d: str, f: DataFrame) -> DataFrame:
     """Findings with ``ipucu``, the sources their plan names (J02): those of all plans where the plan has no text for them; an empty text names none."""
     plan = table(s, d, "plan_konu", "slug", "kaynaklar").where("kaynaklar is not null").select("slug", U.hints(F.col("kaynaklar")).alias("__own"))  # as few rows as there are topics
     every = plan.agg(F.array_distinct(F.flatten(F.collect_list("__own"))).alias("__every"))
-    return f.join(F.broadcast(plan), "slug", "left").crossJoin(F.broadcast(every)).withColumn("ipucu", F.coalesce("__own", "__every")).drop("__own", "__every")
+    return f.join(bounded(plan), "slug", "left").crossJoin(F.broadcast(every)).withColumn("ipucu", F.coalesce("__own", "__every")).drop("__own", "__every")
 
 
 @query()
@@ -325,11 +337,48 @@ def v_weak_notes(s, d):
     return N.weak_notes(_findings(s, d), table(s, d, "plan_konu"), KEY).select("run_id", "dosya", "adres", "en_az")
 
 
-@query()
+@query(
+    "with o as (select unnest(list(slug)) slug from plan_konu where len(olgular) > 0 group by to_json(olgular) having count(*) > 1), q as (select k.*, k.slug in (select slug from o) ortak from plan_konu k) select p.slug, list_filter(['slug', 'topic', 'questions', 'min_url', 'min_url_required', 'publisher', 'too many facts', 'empty fact', 'shared facts'], lambda x: case x "
+    "when 'slug' then not coalesce(regexp_full_match(p.slug, '[a-z0-9][a-z0-9-]{0,40}'), false) when 'topic' then trim(coalesce(konu, '')) = '' when 'questions' then coalesce(len(sorular), 0) = 0 when 'min_url' then coalesce(min_url not between 3 and 30, false) when 'min_url_required' then coalesce(min_url_required not between 2 and 30, false) "
+    "when 'publisher' then coalesce(not regexp_full_match(single_publisher_host, '(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z]{2,}'), false) when 'too many facts' then coalesce(len(olgular) > 40, false) when 'empty fact' then coalesce(len(list_filter(olgular, lambda f: trim(coalesce(f.ad, '')) = '' or trim(coalesce(f.ara, '')) = '')) > 0, false) "
+    "else coalesce(ortak, false) end) as sorunlar from q p"
+)
 def v_plan_problems(s, d):
     return C.plan_problems(table(s, d, "plan_konu"))
 
 
+@query("select slug, len(list_filter(regexp_split_to_array(coalesce(konu, ''), ',|;|\\bve\\b|/'), lambda x: trim(x) <> '')) as varlik from plan_konu where len(list_filter(regexp_split_to_array(coalesce(konu, ''), ',|;|\\bve\\b|/'), lambda x: trim(x) <> '')) >= 6")
+def v_broad_topics(s, d):
+    return R.broad_topics(table(s, d, "plan_konu"))
+
+
+@query("select kayit_no, regexp_matches(lower(coalesce(markdown, '')), 'ignore (?:all |the )?(?:previous|prior|above) (?:instructions|prompts)|disregard (?:the )?(?:previous|above)|you are now|system prompt|önceki (?:tüm )?talimatları (?:yok say|unut)|reveal your (?:system )?prompt|do not tell the user|new instructions:') as enjeksiyon from (select distinct kayit_no, markdown from onbellek)")
+def v_injection_flags(s, d):
+    return R.injection_flags(table(s, d, "onbellek", "kayit_no", "markdown").distinct()).select("kayit_no", "enjeksiyon")
+
+
+@query()
+def v_trimmed(s, d):
+    return R.trim_sections(_notes(s, d), table(s, d, "plan_konu"), KEY).select("run_id", "slug", "dosya", "atilan", F.length("metin").alias("uzunluk"))
+
+
+@query()
+def v_referee_candidates(s, d):
+    return R.referee_candidates(_notes(s, d), KEY)
+
+
+@query()
+def v_marked(s, d):
+    """Notes with their unsupported sentences marked."""
+    return R.mark_unsupported(_notes(s, d), cut(v_support(s, d)), KEY).select("run_id", "slug", "dosya", "isaretlenen")
+
+
+@query()
+def j_update_plan(s, d):
+    cached = table(s, d, "onbellek", "istenen_url", "ok").where("ok").select(F.col("istenen_url").alias("url"))
+    return R.update_plan(_notes(s, d), table(s, d, "sayfa", "url", "alindi"), cached)
+
+
 # Joins.
 
 
@@ -360,25 +409,40 @@ def j_leftover_mentions(s, d):
     return N.leftover_mentions(gone, N.section_lines(_notes(s, d), KEY), KEY)
 
 
+def _copy_pairs(cap: int | None) -> str:
+    return _COPY_PAIRS.replace("{text}", f"substr({_COPY_TEXT}, 1, {cap})" if cap else _COPY_TEXT)
+
+
+_COPY_TEXT = "trim(regexp_replace(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
 _COPY_PAIRS = (
-    "with p as (select url, string_agg(m, chr(10) order by sira) t from (select distinct url, sira, coalesce(metin, '') m from pasaj) group by url), w as (select url, list_filter(string_split(substr(trim(regexp_replace(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')), 1, 6000), ' '), lambda x: x <> '') w from p), "
+    "with p as (select url, string_agg(m, chr(10) order by sira) t from (select distinct url, sira, coalesce(metin, '') m from pasaj) group by url), w as (select url, list_filter(string_split({text}, ' '), lambda x: x <> '') w from p), "
     "s as (select distinct url, unnest(case when len(w) = 0 then [] when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end) x from w), n as (select url, count(*) n from s group by url) "
     "select a.url as a, b.url as b, round(cast(count(*) as double) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) as benzerlik from s a join s b on a.x = b.x and a.url < b.url join n na on na.url = a.url join n nb on nb.url = b.url group by 1, 2 having count(*) * 1.0 / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.85"
 )
 
 
-@query(_COPY_PAIRS)
+def _copy_texts(s: SparkSession, d: str) -> DataFrame:
+    return V.page_texts(table(s, d, "pasaj", "url", "sira", "metin"))
+
+
+@query(_copy_pairs(None))
 def j_copy_pairs(s, d):
-    return V.copy_pairs(V.page_texts(table(s, d, "pasaj", "url", "sira", "metin"))).withColumn("benzerlik", F.round("benzerlik", 6))
+    return V.copy_pairs(_copy_texts(s, d)).withColumn("benzerlik", F.round("benzerlik", 6))
+
+
+@query(_copy_pairs(V.PARITY_CAP))
+def j_copy_pairs_parity(s, d):
+    """As the earlier tooling compares: the first ``PARITY_CAP`` characters of the copy form."""
+    return V.copy_pairs(_copy_texts(s, d), cap=V.PARITY_CAP).withColumn("benzerlik", F.round("benzerlik", 6))
 
 
 @query(
-    f"with recursive cp as ({_COPY_PAIRS}), e as (select a, b from cp union select b, a from cp), g(n, r) as (select a, a from e union select e.b, g.r from g join e on g.n = e.a where g.r < e.b), m as (select n, min(r) r from g group by n), "
+    f"with recursive cp as ({_copy_pairs(None)}), e as (select a, b from cp union select b, a from cp), g(n, r) as (select a, a from e union select e.b, g.r from g join e on g.n = e.a where g.r < e.b), m as (select n, min(r) r from g group by n), "
     "o as (select url, min(coalesce(alindi, 0)) t from sayfa where url is not null group by url), c as (select o.url, t, coalesce(m.r, o.url) r from o left join m on m.n = o.url), f as (select r, arg_min(url, {'t': t, 'u': url}) first from c group by r) "
     "select c.url, substr(sha1(f.first), 1, 12) as grup from c join f using (r)"
 )
 def r_copy_groups(s, d):
-    return V.copy_groups(table(s, d, "sayfa", "url", "alindi"), cut(j_copy_pairs(s, d)))
+    return V.copy_groups(table(s, d, "sayfa", "url", "alindi"), V.class_edges(*V.copy_classes(_copy_texts(s, d))))
 
 
 @query(f"select u as url, alindi, kayit_no from (select *, row_number() over (partition by u order by alindi desc, kayit_no) r from (select distinct {_canon('istenen_url')} u, coalesce(fetched_at, 0) alindi, kayit_no from onbellek where {_OK}) where u <> '') where r = 1")
@@ -407,6 +471,36 @@ def a_independence(s, d):
     return V.independent_sources(cited, pages, ["run_id", "dosya"])
 
 
+@query(
+    f"with {_CITED}, n as (select run_id, dosya, count(*) a, count(p.url) o, count(distinct regexp_replace(lower(regexp_extract(c.url, '//([^/?#]*)', 1)), '^www\\.', '')) h, count(distinct case when p.url is not null then regexp_replace(lower(regexp_extract(c.url, '//([^/?#]*)', 1)), '^www\\.', '') end) ho, count(distinct case when p.url is not null then case when g.n > 1 then 'g:' || p.k when p.host is not null then 'h:' || p.host end end) b from c left join p using (url) left join g on g.kopya_grubu = p.k group by all), "
+    "m as (select run_id, dosya, p.k, list(distinct c.url order by c.url) u from c join p using (url) where p.k is not null group by all having count(distinct c.url) > 1) select count(*) as not_, coalesce(sum(h), 0) as alan_adi, coalesce(sum(ho), 0) as okunan_alan_adi, coalesce(sum(a - o), 0) as okunamayan, coalesce(sum(b), 0) as bagimsiz, (select count(distinct u) from m) as kopya_grubu from n"
+)
+def a_independence_totals(s, d):
+    cited = _findings(s, d).select("run_id", "dosya", F.explode("urls").alias("url"))
+    pages = table(s, d, "sayfa").select("url", "host", F.col("kopya_grubu").alias("grup"))
+    return V.independence_totals(cited, pages, ["run_id", "dosya"])
+
+
+@query()
+def a_topic_coverage(s, d):
+    k, f = C.facts(table(s, d, "plan_konu")), _findings(s, d)
+    return R.topic_coverage(k, C.fact_hits(k, f), f)
+
+
+@query()
+def a_host_trust(s, d):
+    """The best-scored address of each host that findings cite."""
+    f = _with_hints(s, d, _findings(s, d)).select("run_id", "dosya", "sira", F.posexplode("urls").alias("no", "url"), "ipucu")
+    return R.best_of_hosts(f.withColumn("planli", F.exists("ipucu", lambda x: U.hint_matches(F.col("url"), x["h"], x["p"]))), ["run_id", "dosya", "sira", "no"])
+
+
+@query(
+    "with f as (select distinct run_id, dosya, sira, list_max(regexp_extract_all(regexp_extract_all(metin, '\\([^()]*(?:birincil|ikincil)[^()]*\\)')[-1], '\\d{4}-(?:0[1-9]|1[0-2])')) t from bulgular), k as (select t from f where t is not null and (2026 - cast(t[1:4] as int)) * 12 + 1 - cast(t[6:7] as int) >= 18) select count(*) as n, min(t) as ilk, max(t) as son from k"
+)
+def a_stale_dates(s, d):
+    return R.stale_dates(_findings(s, d), 2026, 1)
+
+
 @query("select (select count(distinct url) from sayfa) as sayfa, (select count(distinct host) from sayfa) as alan_adi, (select min(alindi) from sayfa) as ilk, (select max(alindi) from sayfa) as son, (select count(distinct pasaj_no) from pasaj) as pasaj, (select count(*) from (select kopya_grubu from sayfa where kopya_grubu is not null group by 1 having count(distinct url) > 1)) as kopya_grubu")
 def a_vault_statistics(s, d):
     return V.statistics(table(s, d, "sayfa"), table(s, d, "pasaj", "pasaj_no"))
@@ -438,6 +532,19 @@ def r_vault_search(s, d):
     return V.search(table(s, d, "pasaj"), table(s, d, "sayfa"), "audit log archive", 10, AS_OF)
 
 
+@query()
+def r_reader(s, d):
+    """What a reader asking for the audit log gets of each page."""
+    pages = table(s, d, "onbellek", "kayit_no", "ok", "markdown").where("ok and trim(coalesce(markdown, '')) <> ''")
+    return R.read_pages(pages, "kayit_no", 300, "audit log").select("kayit_no", "tam_jeton", "iz", "secilen", "pasaj", F.length("icerik").alias("uzunluk"))
+
+
+@query("select distinct kayit_no, 'audit log' as ifade, contains(trim(regexp_replace(replace(lower(regexp_replace(nfc_normalize(markdown), '[`*_\"''“”‘’«»]', '', 'g')), chr(775), ''), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\p{Z}]+', ' ', 'g')), 'audit log') as bulundu from onbellek where markdown is not null")
+def r_phrases(s, d):
+    pages = table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct()
+    return R.find_phrases(pages, ["audit log"], "kayit_no").select("kayit_no", "ifade", "bulundu")
+
+
 @query()
 def r_budget(s, d):
     """Passages of each page chosen for 'audit log' within 300 tokens, in the page's order."""

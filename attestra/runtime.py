@@ -66,17 +66,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     ``spark.checkpoint.dir`` names it on a cluster. A folder of our own is set
-    only where neither that setting nor a checkpoint folder exists (tests).
+    only where neither that setting nor a checkpoint folder exists and all tasks run
+    on this machine (tests); on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "attestra-checkpoints")
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), "attestra-checkpoints")
     sc.setCheckpointDir(path)
     return path
 
 
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``rows`` at most, which is checked first; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table into the shared checkpoint folder and read back.
 

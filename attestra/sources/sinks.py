@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,47 @@ def verdict_report(verdicts: DataFrame, most: int = 500) -> str:
     return "\n".join(lines) + "\n"
 
 
+class Report(NamedTuple):
+    """How a result is shown: its title, what is counted at the top, the columns of its table, and the order of its rows."""
+
+    title: str
+    counted: tuple[str, ...]
+    columns: tuple[str, ...]
+    order: tuple[str, ...]
+    banner: bool = True
+
+
+#: The reports besides that of verdicts, by the operator whose rows they show.
+REPORTS = {
+    "audit": Report("Audit of notes", ("tek_kaynak",), ("run_id", "dosya", "bulgu", "kaynaksiz", "adres", "alan_adi", "belge", "tek_kaynak"), ("run_id", "dosya")),
+    "support": Report("Support of own sentences", ("seviye", "yer"), ("dosya", "soru_no", "seviye", "yer", "tur", "etiket", "cumle"), ("dosya", "soru_no", "cumle", "etiket")),
+    "report check": Report("Check of a report", ("seviye", "sorun"), ("run_id", "dosya", "satir", "seviye", "sorun", "tur", "oge"), ("run_id", "dosya", "satir", "oge")),
+    "report extras": Report("Sources of a report", ("sorun",), ("run_id", "dosya", "url", "sorun"), ("run_id", "dosya", "url")),
+    "consensus": Report("Consensus of runs", ("destek",), ("slug", "destek", "kume"), ("slug", "destek"), False),
+    "conflicts": Report("Conflicting numbers", ("slug",), ("slug", "kume_a", "kume_b"), ("slug", "kume_a", "kume_b"), False),
+    "coverage": Report("Coverage of facts", (), ("slug", "toplam", "kapsanan", "yuzde", "eksik"), ("slug",), False),
+    "independence": Report("Independence of sources", (), ("run_id", "dosya", "adres", "okunan", "alan_adi", "okunan_alan_adi", "bagimsiz"), ("run_id", "dosya")),
+    "meaning": Report("Meaning of claims", (), ("run_id", "dosya", "sira", "ent", "neu", "con"), ("ent", "run_id", "dosya", "sira")),
+    "referee": Report("Referee", ("karar",), ("dosya", "cumle", "oge", "karar"), ("dosya", "cumle", "oge")),
+}
+
+
+def _cell(v: object) -> str:
+    shown = "" if v is None else ", ".join(map(_cell, v)) if isinstance(v, (list, tuple)) else str(v)
+    return shown.replace("|", "\\|").replace("\n", " ")
+
+
+def report(kind: str, rows: DataFrame, most: int = 500) -> str:
+    """The result of an operator as Markdown: counts, then the first ``most`` rows in order. Counts of a column show its ``most`` commonest values."""
+    r = REPORTS[kind]
+    lines = [f"# {r.title}", "", *([BANNER, ""] if r.banner else []), f"Rows: {rows.count()}", ""]
+    for name in r.counted:
+        lines += [f"- {name} {_cell(x[name])}: {x['count']}" for x in rows.groupBy(name).count().orderBy(F.desc("count"), name).limit(most).collect()]
+    shown = rows.select(*r.columns).orderBy(*r.order).limit(most).collect()
+    lines += ["", "| " + " | ".join(r.columns) + " |", "|" + "---|" * len(r.columns), *("| " + " | ".join(map(_cell, x)) + " |" for x in shown)]
+    return "\n".join(lines) + "\n"
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -31,7 +31,7 @@ def hourly_hosts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
-    """A query that merges each batch into the vault at ``path`` (resumable: the sink is idempotent)."""
+    """A query that merges each batch into the vault at ``path`` (resumable: a batch that is merged again changes nothing, and one that fails half-way leaves the version before)."""
     from ..sources.readers import vault_merge
 
     return stream.writeStream.foreachBatch(lambda df, _: vault_merge(df.sparkSession, path, df)).option("checkpointLocation", checkpoint)
