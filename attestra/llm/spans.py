@@ -41,6 +41,8 @@ from .hashing import Prefix, window_minima
 SPAN, GRAM, FINE = 200, 64, 128
 #: Documents that are streamed through one copy of a shard.
 STREAMED = 512
+#: Shared marks up to which their documents are broadcast; more are joined by a shuffle.
+BROADCAST_MARKS = 500_000
 #: Places of a reference that are joined as one block.
 BLOCK = 512
 
@@ -225,6 +227,8 @@ def shared_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met = cut(postings.join(refs, "mark"))
     load = met.groupBy("ref").agg((F.floor(F.count("*") / STREAMED) + 1).cast("int").alias("copies"))  # a document counts once for each mark: at least
     wanted = met.join(load, "ref").groupBy("cid").agg(F.collect_set(F.struct("mark", "ref", "copies")).alias("marks"))
+    if met.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS:
+        wanted = F.broadcast(wanted)
     # A text that occurs twice is cut up once.
     texts = long.join(wanted, long.doc_id == wanted.cid).select("cid", "text", "marks").dropDuplicates(["cid"])
     runs = cut(_matches(_regions(texts)))
