@@ -160,6 +160,11 @@ def number_pattern(token: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}_.,-])(?:"), F.array_join(F.transform(number_variants(token), one), "|"), F.lit(r")(?![\p{L}\p{N}_])(?![.,]\p{Nd})"))
 
 
+def first_digits(token: Column) -> Column:
+    """The first run of digits of a number, which every spelling of it holds."""
+    return F.regexp_extract(token, r"\d+", 0)
+
+
 def starts_of(text: Column, pattern: Column) -> Column:
     """Code point offsets of the matches of ``pattern``, from the parts between them."""
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
@@ -192,11 +197,11 @@ def code_pattern(code: Column) -> Column:
 
 
 def has_code(page: Column, code: Column) -> Column:
-    return F.regexp(page, code_pattern(code))
+    return F.contains(page, norm(code, False)) & F.regexp(page, code_pattern(code))
 
 
 def has_number(page: Column, number: Column) -> Column:
-    return F.regexp(page, number_pattern(norm(number, False)))
+    return F.contains(page, first_digits(norm(number, False))) & F.regexp(page, number_pattern(norm(number, False)))
 
 
 def quote_start(page: Column, quote: Column) -> Column:

@@ -165,10 +165,10 @@ def read_pages(pages: DataFrame, key: str, tokens: int = 1200, question: str | N
     if whole:
         cut_off = F.concat(F.substring("__t", 1, tokens * 4), F.lit("\n\n[…]"))
         return head.select(key, "tam_jeton", "iz", "anahat", F.when(F.length("__t") > tokens * 4, cut_off).otherwise(F.col("__t")).alias("icerik"), none.alias("secilen"), none.alias("pasaj"))
-    items = P.with_passages(base.withColumnRenamed(text, "markdown").select(key, "markdown")).withColumn("id", F.concat_ws(":", F.col(key).cast("string"), "pasaj"))
+    items = P.with_passages(base.withColumnRenamed(text, "markdown").select(key, "markdown")).withColumn("__id", F.concat_ws(":", F.col(key).cast("string"), "pasaj"))
     terms = question_terms(question)
-    scored = V.bm25(items, terms, "id", P.search_text(F.col("baslik"), F.col("metin")), within=[key]).select("id", "skor") if terms else items.select("id", F.lit(0.0).alias("skor")).limit(0)
-    rows = items.join(scored, "id", "left").withColumn("tokens", T.token_estimate(F.col("metin")))
+    scored = V.bm25(items, terms, "__id", P.search_text(F.col("baslik"), F.col("metin")), within=[key]).select("__id", "skor") if terms else items.select("__id", F.lit(0.0).alias("skor")).limit(0)
+    rows = items.join(scored, "__id", "left").withColumn("tokens", T.token_estimate(F.col("metin")))
     ranked = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.struct(x["i"].alias("i"), x["tokens"].alias("tokens")))
     hits = ranked(F.when(F.col("skor").isNotNull(), F.struct((-F.col("skor")).alias("s"), F.col("pasaj").alias("i"), "tokens")))
     every = ranked(F.struct(F.col("pasaj").alias("i"), "tokens"))

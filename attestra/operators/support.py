@@ -100,7 +100,9 @@ def present(item: Column, page: Column) -> Column:
     day = item["d"].isNull() | _any(page, F.concat(F.lit(r"(?<!\d)"), item["d"].cast("string"), F.lit(r"(?!\d)")))
     date = F.contains(page, item["y"]) & month & day
     loose = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(item["ara"]), r"([.\\+*?\[\]^$(){}|])", r"\\$1"), "-", r"[-\\s]?"), " ", r"[-\\s]*")
-    identifier = _any(page, F.concat(F.lit(r"(?<![\p{L}\p{N}_-])"), loose, F.lit(r"(?![\p{L}\p{N}_])")))
+    # Plain searches for what every match holds come before patterns.
+    head = F.contains(page, F.regexp_extract(F.lower(item["ara"]), r"^[^\s-]*", 0))
+    identifier = head & _any(page, F.concat(F.lit(r"(?<![\p{L}\p{N}_-])"), loose, F.lit(r"(?![\p{L}\p{N}_])")))
     ends = F.regexp_extract_all(item["ara"], F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))
     percent = F.when(F.contains(item["ara"], F.lit("%")), "%").otherwise("")
     both = item["ara"].rlike(r"^%?\d+(?:[.,]\d+)?-\d+(?:[.,]\d+)?%?$") & F.forall(ends, lambda e: _any(page, T.number_pattern(F.concat(percent, e))))
@@ -110,7 +112,7 @@ def present(item: Column, page: Column) -> Column:
     near = F.lit(0.5) / F.pow(F.lit(10), F.length(F.regexp_extract(value, r"\.(\d+)$", 1)))
     bytes_ = F.transform(F.regexp_extract_all(page, F.lit(r"(?<![\p{L}\p{N}_.,])\d{1,3}(?:,\d{3})+(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_.,])\d{3,}(?![\p{L}\p{N}_.,])"), F.lit(0)), lambda n: F.regexp_replace(n, ",", "").try_cast("double"))
     derived = (unit != "") & F.exists(bytes_, lambda n: (F.abs(n / F.pow(F.lit(1000.0), power) - value.try_cast("double")) <= near) | (F.abs(n / F.pow(F.lit(1024.0), power) - value.try_cast("double")) <= near))
-    number = _any(page, T.number_pattern(item["ara"])) | both | F.coalesce(derived, F.lit(False))
+    number = (F.contains(page, T.first_digits(item["ara"])) & (_any(page, T.number_pattern(item["ara"])) | both)) | F.coalesce(derived, F.lit(False))
     return F.when(item["tur"] == "date", date).when(item["tur"].isin("identifier", "acronym"), identifier).otherwise(number)
 
 
@@ -122,14 +124,19 @@ def support(lines: DataFrame, found: DataFrame, pages: DataFrame, key: list[str]
     """
     own = lines.where(F.col("bolum").isin("Özet", "Çıkarımlar")).select(*key, "soru_no", F.explode(sentences(F.col("metin"))).alias("cumle")).distinct()
     wanted = own.withColumn("i", F.explode(items(F.col("cumle"))))
+    if "gun" in lines.columns:  # the day of a note is no claim (T15)
+        wanted = wanted.join(lines.select(*key, "gun").distinct(), key).where(~of_day(F.col("i"), F.col("gun"))).drop("gun")
     quoted = found.groupBy(*key, "soru_no").agg(T.norm(F.array_join(F.collect_list("iddia"), " "), False).alias("alinti"))
     cited = found.select(*key, "soru_no", F.explode("urls").alias("url")).distinct().withColumn("sayfa_url", U.canonical(F.col("url"))).join(pages.select("sayfa_url", "sayfa"), "sayfa_url", "left")
     here = wanted.join(quoted, [*key, "soru_no"], "left").where(~present(F.col("i"), F.coalesce("alinti", F.lit(""))))
-    # Items meet the pages of their note; presence is reduced to flags before anything else is joined.
-    met = here.alias("h").join(cited.withColumnRenamed("soru_no", "sayfa_soru"), key, "left")
-    ok = F.coalesce(present(F.col("i"), F.col("sayfa")), F.lit(False))
+    # Each item meets each page of its note once, however many sentences and questions name either; presence is reduced to a flag there.
+    pairs = here.select(*key, "i").distinct().join(cited.select(*key, "sayfa_url", "sayfa").distinct(), key)
+    on = pairs.select(*key, "i", "sayfa_url", F.coalesce(present(F.col("i"), F.col("sayfa")), F.lit(False)).alias("__on"))
+    spots = cited.select(*key, F.col("soru_no").alias("sayfa_soru"), "sayfa_url", F.col("sayfa").isNotNull().alias("__read"))
+    met = here.join(spots, key, "left").join(on, [*key, "i", "sayfa_url"], "left")
+    ok = F.coalesce("__on", F.lit(False))
     same = F.col("sayfa_soru") == F.col("soru_no")
-    flags = met.groupBy(*key, "soru_no", "cumle", "i").agg(F.bool_or(ok & same).alias("burada"), F.bool_or(ok & ~same).alias("baska"), F.bool_or(same & F.col("sayfa").isNotNull()).alias("okundu"), F.bool_or(F.col("sayfa").isNull()).alias("okunmadi"))
+    flags = met.groupBy(*key, "soru_no", "cumle", "i").agg(F.bool_or(ok & same).alias("burada"), F.bool_or(ok & ~same).alias("baska"), F.bool_or(same & F.coalesce("__read", F.lit(False))).alias("okundu"), F.bool_or(~F.coalesce("__read", F.lit(False))).alias("okunmadi"))
     tier = F.when(F.col("burada"), "on_page").when(~F.coalesce("okundu", F.lit(False)), None).when(F.col("baska"), "other_page").when(F.col("okunmadi"), "unreadable_page_present").otherwise("nowhere")
     rows = flags.withColumn("yer", tier).where("yer is not null").where((F.col("i.tur") != "acronym") | F.col("yer").isin("nowhere", "unreadable_page_present"))
     level = F.when(F.col("yer").isin("on_page", "unreadable_page_present"), "info").otherwise("warning")

@@ -31,7 +31,7 @@ def test_vault_merge_is_idempotent(spark, tmp_path):
         R.vault(spark, path)
     rows = spark.createDataFrame([(1, "https://a.example/", True, "x", 1.0), (2, "https://a.example/", True, "x", 2.0)], "kayit_no long, istenen_url string, ok boolean, markdown string, fetched_at double")
     for _ in range(2):
-        assert [tuple(r) for r in R.vault_merge(spark, path, rows).collect()] == [("https://a.example/", 2.0, 2)]
+        assert [tuple(r) for r in R.vault_merge(spark, path, rows).collect()] == [("https://a.example/", 2.0, 2, "x")]
 
 
 def test_charset():
