@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, free, table
+from ..runtime import bounded, cut, free, table
 from .hashing import Prefix, window_minima
 
 SPAN, GRAM, FINE = 200, 64, 128
@@ -222,7 +222,8 @@ def shared_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = cut(long.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("n")).distinct())
     heads = named.groupBy("digest").agg(F.min("doc_id").alias("cid"))
     members = cut(named.join(heads, "digest").select("doc_id", "cid", "n"))
-    postings = cut(_postings(long).join(members.where("doc_id = cid").select("cid"), "cid", "left_semi"))
+    copies = members.where("doc_id <> cid").select(F.col("doc_id").alias("cid"))  # of a text, only the first document takes part
+    postings = cut(_postings(long).join(bounded(copies), "cid", "left_anti"))
     refs = postings.groupBy("mark").agg(F.min("cid").alias("ref"), F.max("cid").alias("top")).where("ref <> top").select("mark", "ref")
     met = cut(postings.join(refs, "mark"))
     load = met.groupBy("ref").agg((F.floor(F.count("*") / STREAMED) + 1).cast("int").alias("copies"))  # a document counts once for each mark: at least
