@@ -9,7 +9,12 @@ when no label can change.
 
 A group of n records that share a value is n-1 edges to its smallest member, never
 all pairs. Messages to a node are reduced by ``min`` before they are shuffled, so a
-hub with a third of all edges costs one row for each partition.
+hub with a third of all edges costs one row for each partition. The joins of edges
+with the new labels of their ends have one row on the other side for each node; where a
+hub makes a partition of edges large, adaptive execution splits that side.
+
+The labels left are at least halved in each round, so ``max_rounds`` of 200 cannot be
+reached by any number of nodes; it is an error, not a result, should it be.
 
 Defined results: null urls and null group values link nothing; a page paired with
 itself, pairs in both directions and repeated pairs change nothing; a page named
@@ -42,8 +47,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     named = _identified(both.select(F.explode(F.array("a", "b")).alias("key")), "key")
     ids = both.join(named.select(F.col("key").alias("a"), F.col("id").alias("ia")), "a").join(named.select(F.col("key").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
     edge = cut(ids.union(ids.select("ib", "ia")).toDF("src", "dst"))
+    free(both)
     label = named.select(F.col("id").alias("node"), F.col("id").alias("label"))
-    rounds, old = 0, []
+    rounds, old = 0, [edge]
     while edge.limit(1).count():
         low = edge.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("low"))
         up = low.select(F.col("node").alias("low"), F.col("low").alias("above"))
@@ -58,7 +64,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    member = named.join(label, named.id == label.node).select("key", "label")
+    member = cut(named.join(label, named.id == label.node).select("key", "label"))
+    for done in (*old, named):
+        free(done)
     root = member.groupBy("label").agg(F.min("key").alias("root"))
     return member.join(root, "label").select("key", "root")
 
