@@ -84,17 +84,24 @@ def same_claim_pairs(features: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of claims of one topic and different runs that are the same.
 
     Lossless candidates: a claim that shares ``SAME`` of the smaller one's words holds one
-    of that one's rarest words (a prefix in the order of frequency); all others share a page.
+    of that one's rarest words (a prefix in the order of frequency); all others share a
+    page, and on it a word of the longer prefix of ``SAME_PAGE``, or a number.
     """
     f = cut(features.withColumn("id", _id(key)))
     words = f.select("slug", "id", F.size("kelimeler").alias("n"), F.explode("kelimeler").alias("x"))
     df = words.groupBy("slug", "x").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
-    rare = words.join(df, ["slug", "x"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SAME - 1e-9) + 1).select("slug", "x", F.col("id").alias("ia"))
+    ranked = words.join(df, ["slug", "x"]).withColumn("r", rank)
+    rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SAME - 1e-9) + 1).select("slug", "x", F.col("id").alias("ia"))
     by_word = rare.join(words.select("slug", "x", F.col("id").alias("ib")), ["slug", "x"]).where("ia <> ib")
-    at = f.select("slug", "id", F.explode("anahtarlar").alias("x"))
-    by_page = at.select("slug", "x", F.col("id").alias("ia")).join(at.select("slug", "x", F.col("id").alias("ib")), ["slug", "x"]).where("ia < ib")
-    met = by_word.unionByName(by_page).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
+    # On a common page less has to be shared: one of the smaller claim's rarest words, or a number.
+    at = f.select("slug", "id", F.explode("anahtarlar").alias("page"))
+    low = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SAME_PAGE - 1e-9) + 1).select("slug", "x", F.col("id").alias("ia"))
+    mine, theirs = at.withColumnRenamed("id", "ia"), at.withColumnRenamed("id", "ib")
+    by_page = low.join(mine, ["slug", "ia"]).join(words.select("slug", "x", F.col("id").alias("ib")).join(theirs, ["slug", "ib"]), ["slug", "page", "x"]).where("ia <> ib")
+    numbers = f.select("slug", "id", F.explode("sayilar").alias("x")).join(at, ["slug", "id"])
+    by_number = numbers.withColumnRenamed("id", "ia").join(numbers.withColumnRenamed("id", "ib"), ["slug", "page", "x"]).where("ia < ib")
+    met = by_word.unionByName(by_page.select(by_word.columns)).unionByName(by_number.select(by_word.columns)).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
     left = f.select(*(F.col(c).alias(f"a_{c}") for c in f.columns))
     right = f.select(*(F.col(c).alias(f"b_{c}") for c in f.columns))
     rows = met.join(left, F.col("ia") == F.col("a_id")).join(right, F.col("ib") == F.col("b_id"))

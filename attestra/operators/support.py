@@ -216,17 +216,20 @@ def check_report(items_: DataFrame, pages: DataFrame, key: list[str], pool: bool
     rows = items_.withColumn("urls", F.array_distinct(F.transform(F.regexp_extract_all("metin", F.lit(r"https?://[^\s)<>\]]+"), 0), lambda u: F.regexp_replace(u, r"[.,;:`'\"*>]+$", ""))))
     rows = rows.select(*item, "metin", "urls").withColumn("q", T.quotes(F.col("metin"))).withColumn("n", T.numbers(F.col("metin"))).withColumn("w", _subject_words(F.col("metin"), F.col("q")))
     cited = rows.select(*key, F.explode("urls").alias("url")).withColumn("sayfa_url", U.canonical(F.col("url")))
-    readable = cited.groupBy(*key, "sayfa_url").agg(F.min("url").alias("url")).join(pages.select("sayfa_url", "sayfa"), "sayfa_url")
+    # Pages are met by their ids; their texts are joined last, so that no row that is shuffled afterwards carries one.
+    texts = pages.select("sayfa_url", "sayfa")
+    readable = cited.groupBy(*key, "sayfa_url").agg(F.min("url").alias("url")).join(pages.select("sayfa_url"), "sayfa_url", "left_semi")
     # The pages on which each technical term of a report stands, with or without hyphens.
     tech = rows.select(*item, F.explode(F.filter("w", lambda w: w["tech"] & (F.length(w["t"]) >= 6))["t"]).alias("t")).distinct()
     bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
-    on = tech.select(*key, "t").distinct().join(readable, key).where(F.contains("sayfa", F.col("t")) | F.contains(bare(F.col("sayfa")), bare(F.col("t")))).groupBy(*key, "t").agg(F.collect_set("sayfa_url").alias("yer"))
+    on = tech.select(*key, "t").distinct().join(readable.select(*key, "sayfa_url"), key).join(texts, "sayfa_url").where(F.contains("sayfa", F.col("t")) | F.contains(bare(F.col("sayfa")), bare(F.col("t")))).groupBy(*key, "t").agg(F.collect_set("sayfa_url").alias("yer"))
     terms = tech.join(on, [*key, "t"], "left").groupBy(*item).agg(F.collect_list(F.coalesce("yer", F.array().cast("array<string>"))).alias("yerler"))
+    rows = rows.join(terms, item, "left")
 
-    own = rows.where(F.size("urls") > 0).withColumn("url", F.explode("urls")).drop("urls").withColumn("sayfa_url", U.canonical(F.col("url"))).join(pages.select("sayfa_url", "sayfa"), "sayfa_url", "left").withColumn("adresli", F.lit(True))
+    own = rows.where(F.size("urls") > 0).withColumn("url", F.explode("urls")).drop("urls").withColumn("sayfa_url", U.canonical(F.col("url"))).withColumn("adresli", F.lit(True))
     none = rows.where(F.size("urls") == 0).drop("urls")
-    none = none.join(readable, key, "left") if pool else none.withColumns({c: F.lit(None).cast("string") for c in ("url", "sayfa_url", "sayfa")})
-    met = own.unionByName(none.withColumn("adresli", F.lit(False))).join(terms, item, "left")
+    none = none.join(readable, key, "left") if pool else none.withColumns({c: F.lit(None).cast("string") for c in ("url", "sayfa_url")})
+    met = own.unionByName(none.withColumn("adresli", F.lit(False))).where(F.size("q") + F.size("n") > 0).join(texts, "sayfa_url", "left")
     wanted = F.concat(F.transform("q", lambda q: F.struct(F.lit("quote").alias("tur"), q.alias("oge"))), F.transform("n", lambda n: F.struct(F.lit("number").alias("tur"), n.alias("oge"))))
     each = met.withColumn("o", F.explode(wanted)).withColumn("var", F.coalesce(F.when(F.col("o.tur") == "quote", T.has_quote(F.col("sayfa"), F.col("o.oge"))).otherwise(T.has_number(F.col("sayfa"), F.col("o.oge"))), F.lit(False)))
     # Only numbers that stand on a page that is the item's own or that it names are held against their subject there.

@@ -125,9 +125,9 @@ def p_sentences(s, d):
     return lines.select(*KEY, "soru_no", F.explode(S.sentences(F.col("metin"))).alias("cumle"))
 
 
-@query("select kayit_no, len(list_filter(string_split(markdown, chr(10)), lambda l: starts_with(l, '#'))) as n from (select distinct kayit_no, markdown from onbellek where markdown is not null)")
+@query("select kayit_no, list_filter(string_split(markdown, chr(10)), lambda l: starts_with(l, '#')) as basliklar from (select distinct kayit_no, markdown from onbellek where markdown is not null)")
 def p_outline(s, d):
-    return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", F.size(P.outline(F.col("markdown"), 10**6)).alias("n"))
+    return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", P.outline(F.col("markdown"), 10**6).alias("basliklar"))
 
 
 @query()
@@ -176,10 +176,10 @@ def t_copy_norm(s, d):
     return table(s, d, "pasaj", "pasaj_no", "metin").distinct().select("pasaj_no", T.copy_norm(F.col("metin")).alias("m"))
 
 
-@query("select pasaj_no, len(list_distinct(regexp_extract_all(metin, '[\\p{L}\\p{N}_]{3,}'))) as n, greatest(1, length(metin) // 4) as birim from (select distinct pasaj_no, metin from pasaj)")
+@query("select pasaj_no, list_sort(list_distinct(regexp_extract_all(metin, '[\\p{L}\\p{N}_]{3,}'))) as sozcukler, greatest(1, length(metin) // 4) as birim from (select distinct pasaj_no, metin from pasaj)")
 def t_word_set(s, d):
     p = table(s, d, "pasaj", "pasaj_no", "metin").distinct()
-    return p.select("pasaj_no", F.size(T.word_set(F.col("metin"))).alias("n"), T.token_estimate(F.col("metin")).alias("birim"))
+    return p.select("pasaj_no", F.array_sort(T.word_set(F.col("metin"))).alias("sozcukler"), T.token_estimate(F.col("metin")).alias("birim"))
 
 
 @query(
@@ -202,7 +202,7 @@ def t_citation_tag(s, d):
     return rows.select("run_id", "dosya", "sira", F.col("k.year").alias("yil"), F.col("k.month").alias("ay"), F.col("k.kind").alias("tur"))
 
 
-@query("select kayit_no, len(regexp_extract_all(lower(markdown), 'ignore (?:all |the )?(?:previous|prior|above) (?:instructions|prompts)|disregard (?:the )?(?:previous|above)|you are now|system prompt|do not tell the user|new instructions:')) as n from (select distinct kayit_no, markdown from onbellek where markdown is not null)")
+@query("select kayit_no, len(regexp_extract_all(lower(markdown), 'ignore (?:all |the )?(?:previous|prior|above) (?:instructions|prompts)|disregard (?:the )?(?:previous|above)|you are now|system prompt|önceki (?:tüm )?talimatları (?:yok say|unut)|reveal your (?:system )?prompt|do not tell the user|new instructions:')) as n from (select distinct kayit_no, markdown from onbellek where markdown is not null)")
 def t_injection(s, d):
     return table(s, d, "onbellek", "kayit_no", "markdown").where("markdown is not null").distinct().select("kayit_no", T.injection_count(F.col("markdown")).alias("n"))
 
