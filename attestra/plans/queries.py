@@ -57,6 +57,27 @@ _SECTIONS = f"""{_LINES},
   sections as (select run_id, slug, dosya, cast(soru_no as bigint) soru_no, i satir, bolum, l metin from s where soru_no >= 0 and bolum is not null and not starts_with(l, '## ') and not starts_with(l, '### '))"""
 
 
+# The verdicts in SQL, by its own steps. It knows straight quotations and no code spans, distances or alignments, which the tables do not hold; v_verdict_vectors has them.
+_PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({t}), '</?(?:u|b|i|em|strong|span|sup|sub|small|mark|abbr|kbd|a|font|s|del|ins|wbr)(?:\\s[^<>\\n]*)?/?>', '', 'g'), '\\[([^\\]]*)\\]\\((?:[^()]|\\([^()]*\\))*\\)', '\\1', 'g'), '[`*_\"''“”‘’«»]', '', 'g'), '[|\\s\\x{a0}\\p{Z}]+', ' ', 'g'))"
+_NUMBERS = (
+    "'(?i)\\d{4}-\\d{2}-\\d{2}|v?\\d+(?:[.,]\\d+)+(?:-[\\p{L}\\p{N}_.]+)?|\\d+(?:[.,]\\d+)?\\s?[-–]\\s?\\d+(?:[.,]\\d+)?\\s?[x×%]?|%\\s?\\d+(?:[.,]\\d+)?|[$€₺]\\s?\\d[\\d.,]*|\\d+(?:[.,]\\d+)?\\s?(?:[×%]|(?:x|ms|saniye|sn|MB|GB|KB|kat|TL|USD|EUR)\\b)|\\d{4,}'"
+)
+_SPELLED = "case when regexp_full_match(n, '\\d+,\\d{1,2}') then [n, replace(n, ',', '.')] when regexp_full_match(n, '\\d+\\.\\d{1,2}') then [n, replace(n, '.', ',')] when regexp_full_match(n, '\\d{1,3}(?:[.,]\\d{3})+') then [n, regexp_replace(n, '[.,]', '', 'g'), regexp_replace(n, '[.,]', ',', 'g'), regexp_replace(n, '[.,]', '.', 'g')] else [n] end"
+_VERDICTS = (
+    f"with p as (select {_canon('istenen_url')} u, {_PLAIN.replace('{t}', 'markdown')} m, length(markdown) len, ham_bayt, row_number() over (partition by {_canon('istenen_url')} order by coalesce(fetched_at, 0) desc, kayit_no desc) r from onbellek where {_OK} and trim(coalesce(istenen_url, '')) <> ''), "
+    "f as (select distinct run_id, slug, dosya, sira, metin, coalesce(urls, []) urls from bulgular), "
+    "q as (select *, list_filter(list_transform(regexp_extract_all(metin, '\"([^\"]*)\"', 1), lambda x: trim(x)), lambda x: length(x) between 12 and 320)[1:3] q, regexp_replace(regexp_replace(regexp_replace(regexp_replace(metin, '\\[[^\\]]*\\]\\((?:[^()]|\\([^()]*\\))*\\)', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '\"[^\"]*\"', ' ', 'g'), '(?i)\\([^()]*(?:birincil|ikincil)[^()]*\\)', ' ', 'g') rest from f), "
+    f"n as (select * exclude (rest), list_transform(regexp_extract_all(rest, {_NUMBERS}), lambda x: regexp_replace(regexp_replace(translate(lower(x), '–×', '-x'), '\\s', '', 'g'), '^v', '')) l from q), "
+    "e as (select * exclude (l), list_filter(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: x not in ('', '2024', '2025', '2026', '2027') and not regexp_full_match(x, '(?:19|20)\\d{2}-(?:\\d{1,2}|(?:19|20)\\d{2})'))[1:5] n from n), "
+    f"k as (select *, list_transform(q, lambda x: {_PLAIN.replace('{t}', 'x')}) qn, list_transform(n, lambda n: '(?:^|[^\\p{{L}}\\p{{N}}_.,-])(?:' || array_to_string(list_transform({_SPELLED}, lambda v: case when regexp_matches(v, '^\\d+\\.\\d') then 'v?' else '' end || array_to_string(list_transform(string_split(v, ''), lambda c: '[' || c || ']'), '\\s?')), '|') || ')(?:$|[^\\p{{L}}\\p{{N}}_.,]|[.,](?:$|\\D))') np from e), "
+    f"t as (select run_id, slug, dosya, sira, len(q) nq, len(q) + len(n) toplam, qn, np, i no, urls[i] url from k, unnest(range(1, 3)) r(i) where i <= len(urls) and len(q) + len(n) > 0), j as (select t.*, p.m, p.len, p.ham_bayt from t left join p on p.r = 1 and p.u = {_canon('t.url')}), "
+    "o as (select *, len(list_filter(qn, lambda x: x <> '' and (contains(m, x) or contains(replace(m, '-', ''), replace(x, '-', ''))))) fq, len(list_filter(np, lambda x: regexp_matches(m, x))) fn from j), "
+    "v as (select *, fq + fn bulunan, case when m is null then 'UNREACHABLE' when nq > 0 and fq = 0 then 'NOT_FOUND' when fq + fn = toplam then case when nq > 0 or toplam >= 2 then 'VERIFIED' else 'PARTIAL' end when (fq + fn) * 2 >= toplam or nq > 0 then 'PARTIAL' else 'NOT_FOUND' end w from o), "
+    "x as (select *, case when w = 'NOT_FOUND' and len < 800 and ham_bayt > 20000 then 'UNREACHABLE' else w end karar from v), b as (select run_id, slug, dosya, sira, arg_max({'karar': karar, 'bulunan': case when karar = 'UNREACHABLE' then 0 else bulunan end, 'toplam': case when karar = 'UNREACHABLE' then 0 else toplam end}, {'r': list_position(['NO_EVIDENCE', 'UNREACHABLE', 'NOT_FOUND', 'PARTIAL', 'VERIFIED'], karar), 'b': case when karar = 'UNREACHABLE' then 0 else bulunan end, 'n': -no}) z from x group by all), "
+    "w as (select k.run_id, k.slug, k.dosya, k.sira, coalesce(b.z.karar, case when len(k.q) + len(k.n) > 0 then 'UNREACHABLE' else 'NO_EVIDENCE' end) karar, cast(coalesce(b.z.bulunan, 0) as int) bulunan, cast(coalesce(b.z.toplam, 0) as int) toplam from k left join b using (run_id, slug, dosya, sira)) "
+)
+
+
 def _notes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "notlar")
 
@@ -119,7 +140,10 @@ def p_report_items(s, d):
     return S.report_items(_notes(s, d), KEY)
 
 
-@query()
+@query(
+    f"with {_SECTIONS}, b as (select run_id, slug, dosya, soru_no, regexp_replace(trim(metin), '^(?:[-*]|\\d+[.)])\\s+', '') t from sections where bolum = 'Özet'), c as (select run_id, slug, dosya, soru_no, unnest(string_split(regexp_replace(t, '([.!?])\\s+([\\p{{Lu}}\"“(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) cumle from b where not regexp_matches(t, '^[|#>]')) "
+    "select * from c where length(cumle) >= 12"
+)
 def p_sentences(s, d):
     lines = N.section_lines(_notes(s, d), KEY).where("bolum = 'Özet'")
     return lines.select(*KEY, "soru_no", F.explode(S.sentences(F.col("metin"))).alias("cumle"))
@@ -151,9 +175,11 @@ def t_quotes(s, d):
     return f.select("run_id", "dosya", "sira", F.slice(T.quotes(F.col("iddia")), 1, T.QUOTE_CAP).alias("alintilar"))
 
 
-@query()
+@query(_VERDICTS + "select run_id, dosya, sira, q as alinti, cast([] as varchar[]) as kod, n as sayi, 0 as fazla from k")
 def t_evidence(s, d):
-    return _findings(s, d).select("run_id", "dosya", "sira", T.evidence(F.col("iddia")).alias("ev")).select("run_id", "dosya", "sira", "ev.*")
+    ev = _findings(s, d).select("run_id", "dosya", "sira", T.evidence(F.col("iddia")).alias("ev"))
+    over = F.col("ev.skipped.quotes") + F.col("ev.skipped.codes") + F.col("ev.skipped.numbers")
+    return ev.select("run_id", "dosya", "sira", F.col("ev.quotes").alias("alinti"), F.col("ev.codes").alias("kod"), F.col("ev.numbers").alias("sayi"), over.alias("fazla"))
 
 
 _V = "case when starts_with(sayi, '%') then substr(sayi, 2) else sayi end"
@@ -243,7 +269,30 @@ def _with_hints(s: SparkSession, d: str, f: DataFrame) -> DataFrame:
     return f.join(bounded(plan), "slug", "left").crossJoin(F.broadcast(every)).withColumn("ipucu", F.coalesce("__own", "__every")).drop("__own", "__every")
 
 
-@query()
+_TRUST = (
+    "case when regexp_matches(regexp_extract({u}, '//([^/?#]*)', 1), '^(?:www\\.)?(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 55 else 50 end - case when starts_with({u}, 'http://') then 10 else 0 end - case when regexp_matches(lower(regexp_extract({u}, '//[^/?#]*([^?#]*)', 1)), '(?:^|[/-])(best|top-?\\d+|\\d+-best|review|reviews|coupon|coupons|alternatives|cheap|affiliate|ultimate-guide|deals?)(?:[/-]|$)') then 8 else 0 end - case when regexp_matches(lower(regexp_extract({u}, '\\?([^#]*)', 1)), '(?:^|&)(utm_[a-z]+|aff[a-z_]*|ref|fbclid|gclid)=') then 3 else 0 end"
+)
+
+
+_H, _P = _HOST.format(u="url"), "lower(regexp_extract(url, '//[^/?#]*([^?#]*)', 1))"
+_PLANNED = (
+    "with h as (select slug, list_transform(regexp_extract_all(kaynaklar, '(?i)(?:^|[^\\p{L}\\p{N}_@])((?:[a-z0-9-]+\\.)+[a-z]{2,}(?:/[\\p{L}\\p{N}_./%-]*)?)', 1), lambda t: {'h': regexp_replace(lower(regexp_extract(t, '^[^/]*')), '^www\\.', ''), 'p': regexp_replace(lower(regexp_extract(t, '/.*$')), '/+$', '')}) l from plan_konu where kaynaklar is not null), "
+    "ev as (select list_distinct(flatten(list(l))) l from h), f as (select distinct run_id, slug, dosya, sira, metin, urls from bulgular where len(urls) > 0), u as (select f.*, url, no, coalesce(h.l, ev.l) l from f left join h using (slug) cross join ev, unnest(f.urls) with ordinality r(url, no)), "
+    f"m as (select u.* exclude (l), list_filter(l, lambda i: ({_H} = i.h or (i.h not in ({', '.join(repr(x) for x in U.MULTI_TENANT)}) and ends_with({_H}, '.' || i.h))) and (i.p = '' or {_P} = i.p or starts_with({_P}, i.p || '/'))) i from u), "
+    "g as (select *, least(100, greatest(0, @TRUST@ + case when len(i) > 0 then 10 else 0 end)) puan from m) "
+)
+
+
+def _planned(rest: str) -> str:
+    return _PLANNED.replace("@TRUST@", _TRUST.replace("{u}", "url")) + rest
+
+
+@query(
+    _planned(
+        "select run_id, dosya, sira, max(puan) as puan, list_filter([case when max(puan) < 50 then 'weak' end, case when max(puan) < 65 and not bool_or(len(i) > 0) and contains(lower(any_value(tag)), 'birincil') then 'primary-mismatch' end, case when (2026 - cast(any_value(t)[1:4] as int)) * 12 + 1 - cast(any_value(t)[6:7] as int) >= 18 then 'stale' end], lambda x: x is not null) as bayrak "
+        "from (select *, regexp_extract_all(metin, '(?i)\\([^()]*(?:birincil|ikincil)[^()]*\\)')[-1] tag, list_max(regexp_extract_all(tag, '\\d{4}-(?:0[1-9]|1[0-2])')) t from g) group by run_id, slug, dosya, sira"
+    )
+)
 def u_assessment(s, d):
     f = _with_hints(s, d, _findings(s, d).where(F.size("urls") > 0))
     planned = lambda u: F.exists("ipucu", lambda x: U.hint_matches(u, x["h"], x["p"]))
@@ -254,7 +303,7 @@ def u_assessment(s, d):
     return f.select("run_id", "dosya", "sira", best.alias("puan"), flags.alias("bayrak"))
 
 
-@query()
+@query(_planned("select distinct run_id, dosya, sira, url, unnest(i).h as hh from m"))
 def u_planned(s, d):
     rows = _with_hints(s, d, _findings(s, d)).select("run_id", "dosya", "sira", F.explode("urls").alias("url"), "ipucu")
     hits = rows.withColumn("i", F.explode(F.filter("ipucu", lambda x: U.hint_matches(F.col("url"), x["h"], x["p"]))))
@@ -270,12 +319,17 @@ def a_domain_trust(s, d):
 # Verdicts.
 
 
+@query(_VERDICTS + "select run_id, slug, dosya, sira, karar, bulunan, toplam from w")
+def v_verdict_table(s, d):
+    return _verdicts(s, d).select(*KEY, "sira", "karar", "bulunan", "toplam")
+
+
 @query()
 def v_verdicts(s, d):
     return _verdicts(s, d)
 
 
-@query()
+@query(_VERDICTS + "select karar, count(*) as n from w group by 1")
 def v_verdict_counts(s, d):
     return _verdicts(s, d).groupBy("karar").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "karar")
 
@@ -294,7 +348,7 @@ def v_quote_on_page(s, d):
     return rows.groupBy("run_id", "dosya", "sira", "alinti").agg(F.coalesce(F.bool_or(F.contains("m", F.lower("alinti"))), F.lit(False)).alias("var"))
 
 
-@query()
+@query(_VERDICTS + "select count(*) as toplam, count(*) filter (len(urls) > 0) as adresli, count(*) filter (len(urls) > 0 and len(q) + len(n) > 0) as denenen, count(*) filter (len(urls) > 0 and len(q) + len(n) = 0) as kanitsiz, count(*) filter (len(urls) = 0) as adressiz, 0 as sinir_ustu from k")
 def v_coverage(s, d):
     return J.coverage(_findings(s, d))
 
@@ -323,7 +377,15 @@ def v_report_extras(s, d):
     return S.report_extras(items, noted, _pages(s, d, _item_urls(items)), KEY)
 
 
-@query()
+_NOTE_PROBLEMS = ORACLE["p_note_problems"]
+
+
+@query(
+    f"with pr as ({_NOTE_PROBLEMS}), nf as (with {_SECTIONS}, b as (select *, trim(metin) t from sections where bolum = 'Alıntılı bulgular'), c as (select *, trim(regexp_replace(t, '^(?:[-*]|\\d+[.)])\\s+', '')) iddia from b where regexp_matches(t, '^(?:[-*]|\\d+[.)])\\s+')) select run_id, slug, dosya, row_number() over (partition by run_id, slug, dosya order by satir) - 1 as sira, trim(regexp_replace(iddia, '[\\s\\x{{a0}}\\p{{Z}}]+', ' ', 'g')) anahtar, iddia from c where iddia not in ('', '—', '-')), nu as (select run_id, slug, dosya, count(distinct u) adres from (select run_id, slug, dosya, unnest(regexp_extract_all(iddia, 'https?://[^\\s)<>\\]]+')) u from nf) group by all), "
+    "r as (select n.metin, pr.sorular, pr.eksik_bolum, len(p.sorular) plan_soru, coalesce(nu.adres, 0) adres, coalesce(greatest(3, least(p.min_url_required, 30)), 3) en_az from notlar n join pr using (run_id, slug, dosya) left join plan_konu p using (slug) left join nu using (run_id, slug, dosya)) "
+    "select case when strlen(metin) < 300 then 'too short' when regexp_matches(regexp_replace(substr(metin, 1, 1200), '(?m)^#.*$', '', 'g'), '(?i)\\b(onayınız|onaylıyor musun|planım|I will now|shall I proceed|awaiting approval)\\b') then 'planning talk' when sorular = 0 then 'no question' when plan_soru is not null and sorular < plan_soru then 'questions missing' "
+    "when eksik_bolum > 0 then 'sections missing' when adres < en_az then 'too few sources' end as neden, count(*) as n from r group by 1"
+)
 def v_contract(s, d):
     n = _notes(s, d)
     return N.contract(n, table(s, d, "plan_konu"), N.findings(n, KEY), KEY).groupBy("neden").agg(F.count("*").alias("n"))
@@ -390,7 +452,11 @@ def j_fact_hits(s, d):
     return C.fact_hits(C.facts(table(s, d, "plan_konu")), _findings(s, d))
 
 
-@query()
+@query(
+    f"with a0 as (with {_SECTIONS}, b as (select *, trim(metin) t from sections where bolum = 'Alıntılı bulgular'), c as (select *, trim(regexp_replace(t, '^(?:[-*]|\\d+[.)])\\s+', '')) iddia from b where regexp_matches(t, '^(?:[-*]|\\d+[.)])\\s+')) select run_id, slug, dosya, row_number() over (partition by run_id, slug, dosya order by satir) - 1 as sira, trim(regexp_replace(iddia, '[\\s\\x{{a0}}\\p{{Z}}]+', ' ', 'g')) anahtar, iddia from c where iddia not in ('', '—', '-')), b0 as ({_VERDICTS} select run_id, slug, dosya, trim(regexp_replace(k.metin, '[\\s\\x{{a0}}\\p{{Z}}]+', ' ', 'g')) anahtar, sira, karar from w join k using (run_id, slug, dosya, sira)), "
+    "a as (select *, row_number() over (partition by run_id, slug, dosya, anahtar order by sira) kacinci from a0), b as (select *, row_number() over (partition by run_id, slug, dosya, anahtar order by sira) kacinci from b0) "
+    "select run_id, slug, dosya, anahtar, cast(a.kacinci as int) as kacinci, cast(a.sira as int) as sira, b.sira as karar_sira, b.karar as karar from a left join b using (run_id, slug, dosya, anahtar, kacinci)"
+)
 def j_ordered_match(s, d):
     a = N.findings(_notes(s, d), KEY).withColumn("anahtar", C.claim_key(F.col("iddia"))).select(*KEY, "anahtar", "sira")
     b = _verdicts(s, d).join(_findings(s, d).select(*KEY, "sira", C.claim_key(F.col("iddia")).alias("anahtar")), [*KEY, "sira"]).select(*KEY, "anahtar", F.col("sira").alias("karar_sira"), "karar")
@@ -481,13 +547,23 @@ def a_independence_totals(s, d):
     return V.independence_totals(cited, pages, ["run_id", "dosya"])
 
 
-@query()
+@query(
+    "with k as (select distinct slug, unnest(list_transform(range(len(olgular)), lambda i: {'no': i, 'o': olgular[i + 1]}), recursive := true) from plan_konu where olgular is not null), e as (select slug, no, trim(ad) ad, ara from k where trim(ad) <> '' and trim(ara) <> ''), "
+    "f as (select distinct slug, run_id, regexp_replace(regexp_replace(metin, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\([^()]*(?:birincil|ikincil)[^()]*\\)', ' ', 'g') t from bulgular), h as (select distinct slug, no, run_id from e join f using (slug) where regexp_matches(lower(t), lower(ara))), "
+    "c as (select slug, count(*) toplam, count(*) filter ((slug, no) in (select (slug, no) from h)) kapsanan, coalesce(list(ad order by no) filter ((slug, no) not in (select (slug, no) from h)), []) eksik from e group by slug), "
+    "r as (select slug, list(run_id || ':' || n order by run_id) calistirma from (select f.slug, f.run_id, (select count(distinct no) from h where h.slug = f.slug and h.run_id = f.run_id) n from (select distinct slug, run_id from f) f) group by slug) "
+    "select c.slug, toplam, kapsanan, cast(floor(100.0 * kapsanan / toplam) as int) as yuzde, eksik, calistirma from c left join r using (slug)"
+)
 def a_topic_coverage(s, d):
     k, f = C.facts(table(s, d, "plan_konu")), _findings(s, d)
-    return R.topic_coverage(k, C.fact_hits(k, f), f)
+    return R.topic_coverage(k, C.fact_hits(k, f), f).withColumn("calistirma", F.transform("calistirma", lambda x: F.concat_ws(":", x["run_id"], x["n"].cast("string"))))
 
 
-@query()
+@query(
+    _planned(
+        f", b as (select alan, arg_min(url, {{'p': -puan, 'r': run_id, 'd': dosya, 's': sira, 'n': no}}) url, max(puan) puan from (select *, {_H} alan from g) where alan <> '' group by alan) select alan, url, case when regexp_matches(alan, '^(docs|doc|developer|developers|dev|learn|help|support|manual|reference|api)\\.') then 'docs-like' else 'unknown' end as sinif, cast(puan as int) as puan, round((select avg(puan) from b), 6) as ortalama from b"
+    )
+)
 def a_host_trust(s, d):
     """The best-scored address of each host that findings cite."""
     f = _with_hints(s, d, _findings(s, d)).select("run_id", "dosya", "sira", F.posexplode("urls").alias("no", "url"), "ipucu")
@@ -585,7 +661,10 @@ def a_note_audit(s, d):
     return N.audit(_findings(s, d), ["run_id", "dosya"])
 
 
-@query()
+@query(
+    f"with f as (select distinct run_id, slug, dosya, sira, metin, urls from bulgular where len(urls) > 0 and regexp_matches(metin, '\\d')), p as (select run_id, dosya, sira, case when regexp_matches(metin, '%|\\$|€|£|₺|\\bTL\\b|\\bUSD\\b|\\bEUR\\b|\\bv?\\d+\\.\\d+(\\.\\d+)?\\b|\\b\\d{{2,}}\\b') then 3 else 0 end + case when len(urls) = 1 then 2 else 0 end + case when list_max(list_transform(urls, lambda u: {_TRUST.replace('{u}', 'u')})) < 55 then 2 else 0 end "
+    "+ case when contains(lower(metin), 'ikincil') then 1 else 0 end as puan from f) select run_id, dosya, sira, puan from p order by puan desc, run_id, dosya, sira limit 8"
+)
 def a_candidates(s, d):
     rows = _findings(s, d).withColumn("puan", N.candidate_score(F.col("iddia"), F.col("urls"))).where("puan is not null")
     return rows.orderBy(F.desc("puan"), "run_id", "dosya", "sira").limit(8).select("run_id", "dosya", "sira", "puan")
@@ -596,9 +675,13 @@ def a_report_metrics(s, d):
     return S.report_metrics(_notes(s, d), ["run_id", "dosya"])
 
 
-@query()
+@query(
+    _VERDICTS + f", g as (select *, array_to_string(q, ' ') a, regexp_replace(metin, '\\[[^\\]]*\\]\\([^)]*\\)', '', 'g') own from k) select run_id, slug, dosya, sira, list_sort(list_distinct(regexp_extract_all({_PLAIN.replace('{t}', 'case when length(a) > 0 then a else own end')}, '[\\p{{L}}\\p{{N}}_]{{3,}}'))) as kelimeler, "
+    "list_sort(list_distinct(list_transform(urls, lambda u: regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '/+$', ''), '://www\\.', '://')))) as anahtarlar, n as sayilar, length(a) > 0 as alintili from g"
+)
 def c_claim_features(s, d):
-    return C.claim_features(_findings(s, d), [*KEY, "sira"])
+    f = C.claim_features(_findings(s, d), [*KEY, "sira"])
+    return f.select(*KEY, "sira", F.array_sort("kelimeler").alias("kelimeler"), F.array_sort("anahtarlar").alias("anahtarlar"), "sayilar", "alintili")
 
 
 @query()
