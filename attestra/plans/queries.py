@@ -463,13 +463,24 @@ def j_ordered_match(s, d):
     return C.match_in_order(a, b, [*KEY, "anahtar"], ["sira"], ["karar_sira"])
 
 
-@query()
+_JUDGED = f"judged as ({_VERDICTS} select run_id, slug, dosya, sira, trim(regexp_replace(k.metin, '[\\s\\x{{a0}}\\p{{Z}}]+', ' ', 'g')) anahtar, k.metin iddia, karar from w join k using (run_id, slug, dosya, sira))"
+
+
+@query(
+    f"with {_LINES}, {_JUDGED}, bullets as (select *, case when regexp_matches(trim(l), '^(?:[-*]|\\d+[.)])\\s+') then trim(regexp_replace(regexp_replace(trim(l), '^(?:[-*]|\\d+[.)])\\s+', ''), '[\\s\\x{{a0}}\\p{{Z}}]+', ' ', 'g')) end anahtar from lines), "
+    "v as (select run_id, slug, dosya, anahtar, bool_or(karar = 'NOT_FOUND') gone, bool_or(karar = 'PARTIAL') part from judged group by all), r as (select b.*, coalesce(gone, false) gone, coalesce(part, false) part from bullets b left join v using (run_id, slug, dosya, anahtar)) "
+    "select run_id, slug, dosya, coalesce(string_agg(case when part then regexp_replace(l, '^(\\s*(?:[-*]|\\d+[.)])\\s+)', '\\1⚠ [Kısmen: partial evidence] ') else l end, chr(10) order by i) filter (not gone), '') as metin, cast(count(*) filter (gone) as int) as cikan from r group by all"
+)
 def j_clean_notes(s, d):
     v = _verdicts(s, d).join(_findings(s, d).select(*KEY, "sira", C.claim_key(F.col("iddia")).alias("iddia")), [*KEY, "sira"])
     return N.clean_lines(_notes(s, d), v.select(*KEY, "iddia", "karar", "neden"), KEY)
 
 
-@query()
+@query(
+    f"with {_SECTIONS}, {_JUDGED}, gone as (select run_id, slug, dosya, iddia, unnest(list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(iddia, '\\b\\d{{4}}-\\d{{2}}(?:-\\d{{2}})?\\b', ' ', 'g'), '(?i)\\b(?:PEP|RFC|FIPS|CVE|CWE|CAPEC|ISO|IEC|SP|BCP)[\\s\\-]*\\d[\\d.\\-]*', ' ', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_.%])\\d{{2,}}(?:[.,]\\d+)?%?|%\\d+(?:[.,]\\d+)?'), lambda x: case when starts_with(x, '%') then x else regexp_replace(x, '^[^\\d]', '') end)), lambda x: not regexp_full_match(x, '20[12]\\d'))) sayi from judged where karar = 'NOT_FOUND'), "
+    f"kept as (select run_id, slug, dosya, satir, unnest(list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(trim(metin), '\\b\\d{{4}}-\\d{{2}}(?:-\\d{{2}})?\\b', ' ', 'g'), '(?i)\\b(?:PEP|RFC|FIPS|CVE|CWE|CAPEC|ISO|IEC|SP|BCP)[\\s\\-]*\\d[\\d.\\-]*', ' ', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_.%])\\d{{2,}}(?:[.,]\\d+)?%?|%\\d+(?:[.,]\\d+)?'), lambda x: case when starts_with(x, '%') then x else regexp_replace(x, '^[^\\d]', '') end)), lambda x: not regexp_full_match(x, '20[12]\\d'))) sayi from sections where trim(metin) <> '' and not starts_with(trim(metin), '#') and not regexp_matches(trim(metin), '[\"“]')) "
+    "select run_id, slug, dosya, iddia, satir, list(distinct sayi order by sayi) as sayilar from gone join kept using (run_id, slug, dosya, sayi) group by all"
+)
 def j_leftover_mentions(s, d):
     gone = _verdicts(s, d).where("karar = 'NOT_FOUND'").join(_findings(s, d).select(*KEY, "sira", "iddia"), [*KEY, "sira"])
     return N.leftover_mentions(gone, N.section_lines(_notes(s, d), KEY), KEY)
