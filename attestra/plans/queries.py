@@ -160,7 +160,12 @@ def p_reader_passages(s, d):
     return P.with_passages(pages.select("kayit_no", "markdown"))
 
 
-@query()
+@query(
+    f"with m as (select distinct kayit_no, markdown from onbellek where {_OK}), a as (select kayit_no, list_filter(list_transform(regexp_split_to_array(markdown, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') p from m), "
+    "b as (select kayit_no, [{'o': cast([] as varchar[]), 'b': '', 't': '', 'h': false}] || flatten(list_transform(p, lambda x: case when length(x) > 800 then list_transform(range((length(x) - 1) // 800 + 1), lambda i: {'o': cast([] as varchar[]), 'b': '', 't': substr(x, i * 800 + 1, 800), 'h': true}) else [{'o': cast([] as varchar[]), 'b': '', 't': x, 'h': false}] end)) l from a), "
+    "c as (select kayit_no, list_reduce(l, lambda s, x: {'o': case when x.h or (s.b <> '' and length(s.b) + 1 + length(x.t) > 800) then s.o || case when s.b <> '' then [s.b] else [] end || case when x.h then [x.t] else [] end else s.o end, "
+    "'b': case when x.h then '' when s.b = '' or length(s.b) + 1 + length(x.t) > 800 then x.t else s.b || chr(10) || x.t end, 't': '', 'h': false}) z from b), d as (select kayit_no, z.o || case when z.b <> '' then [z.b] else [] end o from c) select kayit_no, cast(i - 1 as int) as sira, o[i] as metin from d, unnest(range(1, len(o) + 1)) r(i)"
+)
 def p_vault_passages(s, d):
     pages = table(s, d, "onbellek", "kayit_no", "ok", "markdown").where("ok and trim(coalesce(markdown, '')) <> ''").dropDuplicates(["kayit_no"])
     return pages.select("kayit_no", F.posexplode(V.passages(F.col("markdown"))).alias("sira", "metin"))
@@ -435,7 +440,12 @@ def v_marked(s, d):
     return R.mark_unsupported(_notes(s, d), cut(v_support(s, d)), KEY).select("run_id", "slug", "dosya", "isaretlenen")
 
 
-@query()
+@query(
+    f"with v as (select {_canon('url')} u, max(coalesce(alindi, 0)) t from sayfa where url is not null group by 1), c as (select distinct {_canon('istenen_url')} u from onbellek where ok and istenen_url is not null), n as (select slug, regexp_extract_all(metin, 'https?://[^\\s)<>\\]]+') l from notlar), "
+    f"x as (select slug, i - 1 i, {_canon('l[i]')} u from n, unnest(range(1, len(l) + 1)) r(i)), m as (select slug, i, u, t, regexp_replace(regexp_extract(u, '//([^/?#]*)', 1), '^www\\.', '') h from x join v using (u) semi join c using (u)), "
+    "h as (select slug, h, min(i) i, count(*) n, max(t) t from m group by all), g as (select slug, cast(sum(n) as bigint) kaynak, max(t) en_yeni, (list(h order by i, h))[1:8] alanlar from h group by slug) "
+    "select slug, kaynak, en_yeni, alanlar, 'GÜNCELLEME KİPİ: bu konuda daha önce ' || kaynak || ' kaynak okundu (en yeni ' || strftime(make_timestamp(cast(floor(en_yeni * 1000000) as bigint)), '%Y-%m-%d') || '); yeni gelişmelere ve 30 günden eski kaynakların değişip değişmediğine odaklan, aynı kaynakları baştan tarama. Önceki kaynaklar: ' || array_to_string(alanlar, ', ') as cumle from g"
+)
 def j_update_plan(s, d):
     cached = table(s, d, "onbellek", "istenen_url", "ok").where("ok").select(F.col("istenen_url").alias("url"))
     return R.update_plan(_notes(s, d), table(s, d, "sayfa", "url", "alindi"), cached)
@@ -614,9 +624,17 @@ def r_bm25(s, d):
     return V.bm25(rows, _TERMS, "pasaj_no", T.search_tokens(F.col("metin"))).select("pasaj_no", F.round("skor", 6).alias("skor"))
 
 
-@query()
+@query(
+    "with p as (select distinct pasaj_no, url, metin, regexp_extract_all(lower(replace(metin, 'İ', 'i̇')), '[\\p{L}\\p{N}_]+') t from pasaj), c as (select pasaj_no, url, metin, len(t) dl, "
+    + ", ".join(f"coalesce(len(list_filter(t, lambda x: x = '{w}')), 0) f{i}" for i, w in enumerate(sorted(["audit", "log", "archive"])))
+    + " from p), s as (select count(*) n, avg(dl) a, count(*) filter (f0 > 0) d0, count(*) filter (f1 > 0) d1, count(*) filter (f2 > 0) d2 from c), k as (select c.*, "
+    + " + ".join(f"case when f{i} > 0 then ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a)) else 0 end" for i in range(3))
+    + " skor, (f0 > 0)::int + (f1 > 0)::int + (f2 > 0)::int terim from c, s), h as (select * from k where skor > 0 and terim = case when (select max(terim) from k) = 3 then 3 else terim end), "
+    "g as (select h.*, v.host, v.baslik, v.alindi, row_number() over (partition by coalesce(v.kopya_grubu, h.url) order by skor desc, pasaj_no) r from h join (select distinct on (url) url, host, baslik, alindi, kopya_grubu from sayfa) v using (url)) "
+    "select pasaj_no, url, host, baslik, round(skor, 6) as skor, substr(metin, cast(greatest(1, instr(lower(metin), 'audit') - 50) as int), 150) as ozet, 1767225600 - alindi > 30 * 86400 as eski from g where r = 1 order by skor desc, pasaj_no limit 10"
+)
 def r_vault_search(s, d):
-    return V.search(table(s, d, "pasaj"), table(s, d, "sayfa"), "audit log archive", 10, AS_OF)
+    return V.search(table(s, d, "pasaj"), table(s, d, "sayfa"), "audit log archive", 10, AS_OF).withColumn("skor", F.round("skor", 6))
 
 
 @query()
