@@ -42,6 +42,10 @@ _RUNS = f"""w as (select url, regexp_extract_all(regexp_replace(lower(t), 'https
 
 ORACLE = {
     "p2_found": f"with {_RUNS}, c as (select a.url url_a, b.url url_b, count(*) k from r a join r b on a.x = b.x and a.url < b.url group by 1, 2) select url_a, url_b from c join n na on na.url = url_a join n nb on nb.url = url_b where k >= 0.85 * (na.n + nb.n - k)",
+    "p2_groups": f"with recursive {_RUNS}, d as (select url, md5(string_agg(x, chr(1) order by x)) d, count(*) n from r group by url), m as (select url, min(url) over (partition by d) cls, n from d), rc as (select r.url cls, r.x from r semi join (select distinct cls from m) k on k.cls = r.url), "
+    "c as (select a.cls ca, b.cls cb, count(*) k from rc a join rc b on a.x = b.x and a.cls < b.cls group by 1, 2), l as (select ca, cb from c join n na on na.url = ca join n nb on nb.url = cb where k >= 0.85 * (na.n + nb.n - k)), e as (select ca a, cb b from l union select cb, ca from l), "
+    "g(n, r) as (select a, a from e union select e.b, g.r from g join e on g.n = e.a where g.r < e.b), o as (select n, min(r) r from g group by n), z as (select a, count(*) b from e group by a) "
+    "select m.url, m.cls as sinif, coalesce(o.r, m.cls) as kopya_grubu, coalesce(z.b, 0) as baglanti from m left join o on o.n = m.cls left join z on z.a = m.cls",
     "p4_found": f"with t as (select distinct 'metin' alan, pasaj_no no, metin m from pasaj where metin is not null union all select distinct 'markdown', kayit_no, markdown from onbellek where markdown is not null), s as (select alan, no, m, {_folded('m')} k from t) "
     "select distinct a.alan, a.no as no_a, b.no as no_b from s a join s b on a.alan = b.alan and a.k = b.k and a.no < b.no and a.m <> b.m",
     "p10_found": "with t as (select doc_id, text from documents where length(text) >= 200), g as (select distinct doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: md5(substr(text, i, 200)))) x from t), s as (select x from g group by x having count(*) > 1) "
