@@ -375,7 +375,16 @@ def v_report_check(s, d):
     return S.check_report(items, _pages(s, d, _item_urls(items)), KEY, pool=True)
 
 
-@query()
+_REPORT_KEY = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({u}, '//([^/?#]*)', 1)), ':\\d*$', ''), '^www\\.', ''), '^.*@', '') || regexp_replace(regexp_extract({u}, '//[^/?#]*([^?#]*)', 1), '/+$', '') || case when regexp_extract({u}, '\\?([^#]*)', 1) <> '' then '?' || regexp_extract({u}, '\\?([^#]*)', 1) else '' end"
+
+
+@query(
+    f"with {_LINES}, c as (select *, trim(l) t, starts_with(trim(l), '```') m from lines), k as (select *, sum(m::int) over (partition by run_id, slug, dosya order by i) % 2 = 1 or m fenced from c), it as (select * from k where not fenced and t <> '' and not starts_with(t, '#') and not regexp_matches(t, '^\\|[\\s:|-]*-[\\s:|-]*$')), "
+    "u as (select distinct run_id, slug, dosya, regexp_replace(unnest(regexp_extract_all(l, 'https?://[^\\s)<>\\]]+')), '[.,;:`''\"*>]+$', '') url from it), "
+    f"nk as (select distinct {_REPORT_KEY.replace('{u}', 'x')} y from (select unnest(urls) x from bulgular)), pg as (select distinct {_canon('istenen_url')} y from onbellek where {_OK}) "
+    f"select run_id, slug, dosya, url, 'not in notes' as sorun from u where {_REPORT_KEY.replace('{u}', 'url')} not in (select y from nk where y is not null) union all select run_id, slug, dosya, url, 'unreadable' from u where {_canon('url')} not in (select y from pg where y is not null) union all select run_id, slug, dosya, url, 'weak' from u where {_TRUST.replace('{u}', 'url')} < 50 "
+    "union all select run_id, slug, dosya, null, 'no url' from (select distinct run_id, slug, dosya from it) a where not exists (select 1 from u where u.run_id = a.run_id and u.slug = a.slug and u.dosya = a.dosya)"
+)
 def v_report_extras(s, d):
     noted = _findings(s, d).select(F.explode("urls").alias("url"))
     items = p_report_items(s, d)
