@@ -135,7 +135,16 @@ def p_gap_lines(s, d):
     return N.gap_lines(_notes(s, d), KEY).select("run_id", "dosya", "soru_no", "satir", "bosluk")
 
 
-@query()
+_ITEMS = (
+    f"{_LINES}, c as (select *, trim(l) t, starts_with(trim(l), '```') m from lines), k0 as (select *, sum(m::int) over (partition by run_id, slug, dosya order by i) % 2 = 1 or m fenced from c), "
+    "k as (select *, case when fenced or t = '' then 'none' when starts_with(t, '#') then 'head' when regexp_matches(t, '^\\|[\\s:|-]*-[\\s:|-]*$') then 'none' when starts_with(t, '|') then 'table' when starts_with(t, '>') then 'quote' when regexp_matches(l, '^\\s*(?:[-*]|\\d+[.)])\\s+') then 'bullet' else 'text' end k from k0), "
+    "h as (select *, last_value(case when k = 'head' then trim(regexp_replace(t, '^#+', '')) end ignore nulls) over (partition by run_id, slug, dosya order by i) baslik, lag(k) over (partition by run_id, slug, dosya order by i) p from k), "
+    "g as (select *, sum((k in ('table', 'bullet') or (k = 'quote' and coalesce(p <> 'quote', true)) or (k = 'text' and coalesce(p in ('none', 'head', 'table'), true)))::int) over (partition by run_id, slug, dosya order by i) g from h), "
+    "b as (select *, case k when 'table' then trim(regexp_replace(t, '^\\|+|\\|+$', '', 'g')) when 'quote' then trim(regexp_replace(t, '^>', '')) when 'bullet' then regexp_replace(l, '^\\s*(?:[-*]|\\d+[.)])\\s+', '') else t end x from g where k not in ('none', 'head'))"
+)
+
+
+@query(f"with {_ITEMS} select run_id, slug, dosya, cast(min(i) + 1 as int) as satir, case arg_min(k, i) when 'text' then 'paragraph' else arg_min(k, i) end as tur, trim(regexp_replace(string_agg(x, ' ' order by i), '\\s+', ' ', 'g')) as metin, coalesce(arg_min(coalesce(baslik, ''), i), '') as baslik from b group by run_id, slug, dosya, g")
 def p_report_items(s, d):
     return S.report_items(_notes(s, d), KEY)
 
