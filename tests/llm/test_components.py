@@ -45,3 +45,10 @@ def test_empty(spark):
 def test_group_edges_are_a_star(spark):
     df = spark.createDataFrame([("g", "b"), ("g", "a"), ("g", "c"), (None, "d"), ("h", None), ("h", "e"), ("g", "b")], "g string, k string")
     assert sorted(map(tuple, K.group_edges(df, "g", "k").distinct().collect())) == [("a", "b"), ("a", "c")]
+
+
+def test_hub_with_most_edges(spark):
+    """A third of all edges and more at one node, in both directions, beside a chain that leads to it."""
+    rows = [("hub", f"n{i:04d}") if i % 2 else (f"n{i:04d}", "hub") for i in range(3000)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(300)] + [("c300", "n2999"), ("x", "y")]
+    got = solve(spark, rows)
+    assert len(got) == 3304 and {v for k, v in got.items() if k not in "xy"} == {"c000"} and got["y"] == "x"
