@@ -142,7 +142,7 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 
 def _regions(docs: DataFrame) -> DataFrame:
-    """(``ref``, ``salt``, ``copies``, ``cid``, ``parts``): what surrounds the marks of each reference in each document, merged where it touches, with the places of the marks."""
+    """(``ref``, ``salt``, ``cid``, ``parts``, ``streamed``): what surrounds the marks of each reference in each document, merged where it touches, with the places of the marks; and the reference's own as a shard, not to be streamed, for each salt."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -163,10 +163,13 @@ def _regions(docs: DataFrame) -> DataFrame:
                     else:
                         spans.append([lo, hi, p])
                 for (ref, copies), spans in by_ref.items():
-                    out.append((ref, cid % copies, copies, cid, [{"at": s[0], "text": t[s[0] : s[1]], "marks": s[2:]} for s in spans]))
-            yield pd.DataFrame(out, columns=["ref", "salt", "copies", "cid", "parts"])
+                    parts_ = [{"at": s[0], "text": t[s[0] : s[1]], "marks": s[2:]} for s in spans]
+                    out.append((ref, cid % copies, cid, parts_, True))
+                    if ref == cid:
+                        out += [(ref, salt, cid, parts_, False) for salt in range(copies)]
+            yield pd.DataFrame(out, columns=["ref", "salt", "cid", "parts", "streamed"])
 
-    return docs.mapInPandas(run, "ref bigint, salt int, copies int, cid bigint, parts array<struct<at:int,text:string,marks:array<int>>>")
+    return docs.mapInPandas(run, "ref bigint, salt int, cid bigint, parts array<struct<at:int,text:string,marks:array<int>>>, streamed boolean")
 
 
 def _rest(ends: np.ndarray, marks: list[int], base: int) -> list[tuple[int, int]]:
@@ -210,9 +213,7 @@ def _matches(regions: DataFrame) -> DataFrame:
                         out += [(ref, cid, -1, a + base, b - a, text[a : b + SPAN - 1]) for a, b in _rest(ends, part["marks"], base)]
             yield pd.DataFrame(out, columns=["ref", "cid", "at", "own", "size", "rest"])
 
-    shards = regions.where("ref = cid").select("ref", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "cid", "parts", F.lit(False).alias("streamed"))
-    rows = regions.select("ref", "salt", "cid", "parts", F.lit(True).alias("streamed")).unionByName(shards)
-    sorted_ = rows.repartition("ref", "salt").sortWithinPartitions("ref", "salt", "streamed")
+    sorted_ = regions.repartition("ref", "salt").sortWithinPartitions("ref", "salt", "streamed")
     return sorted_.mapInPandas(run, "ref bigint, cid bigint, at bigint, own int, size int, rest string")
 
 
