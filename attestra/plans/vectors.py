@@ -32,7 +32,9 @@ def _sql(v: object) -> str:
         return "null"
     if isinstance(v, bool):
         return str(v).lower()
-    if isinstance(v, (int, float)):
+    if isinstance(v, float):
+        return f"cast({v!r} as double)"
+    if isinstance(v, int):
         return repr(v)
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(map(_sql, v)) + "]" if v else "cast([] as varchar[])"
