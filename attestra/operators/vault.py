@@ -59,13 +59,13 @@ def page_texts(rows: DataFrame, key: str = "url", order: str = "sira", text: str
 
 
 def shingles(text: Column, n: int = SHINGLE, cap: int | None = None) -> Column:
-    """Distinct runs of ``n`` words of the copy form (T03), of its first ``cap`` characters if given; a shorter text is one run, an empty one none."""
+    """Hashes of the distinct runs of ``n`` words of the copy form (T03), of its first ``cap`` characters if given, in order of size; a shorter text is one run, an empty one none."""
     plain = T.copy_norm(text)
     words = F.filter(F.split(F.substring(plain, 1, cap) if cap else plain, " "), lambda w: w != "")
 
     def runs(w: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(many)))
 
     return let(words, runs)
 
@@ -76,7 +76,7 @@ def copy_classes(pages: DataFrame, key: str = "url", least: float = COPY, cap: i
     Runs held by one class are dropped before prefixes are taken in the order of
     frequency: they cannot be shared, but count.
     """
-    base = cut(pages.select(key, shingles(F.col("metin"), cap=cap).alias("s")).where(F.size("s") > 0).select(F.col(key).alias("k"), F.array_sort(F.transform("s", lambda x: F.xxhash64(x))).alias("s")))
+    base = cut(pages.select(key, shingles(F.col("metin"), cap=cap).alias("s")).where(F.size("s") > 0).select(F.col(key).alias("k"), "s"))
     base = base.withColumn("set", F.md5(F.concat_ws(",", "s")))
     heads = cut(base.groupBy("set").agg(F.min("k").alias("cls"), F.first("s").alias("s")))
     rows = heads.select("cls", F.size("s").alias("n"), F.explode("s").alias("x"))

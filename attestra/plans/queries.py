@@ -518,7 +518,7 @@ def _copy_pairs(cap: int | None) -> str:
     return _COPY_PAIRS.replace("{text}", f"substr({_COPY_TEXT}, 1, {cap})" if cap else _COPY_TEXT)
 
 
-_COPY_TEXT = "trim(regexp_replace(regexp_replace(lower(t), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
+_COPY_TEXT = "trim(regexp_replace(regexp_replace(lower(replace(t, 'İ', 'i̇')), '(?:https?://|www\\.)[^\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\p{Z}]+', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
 _COPY_PAIRS = (
     "with p as (select url, string_agg(m, chr(10) order by sira) t from (select distinct url, sira, coalesce(metin, '') m from pasaj) group by url), w as (select url, list_filter(string_split({text}, ' '), lambda x: x <> '') w from p), "
     "s as (select distinct url, unnest(case when len(w) = 0 then [] when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end) x from w), n as (select url, count(*) n from s group by url) "
