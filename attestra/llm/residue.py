@@ -1,12 +1,12 @@
 """Records that hold an error message, a script notice, filler or a template instead of content (problem 5).
 
 Character n-gram models are fitted for three kinds of text: filler, error and script
-notices, and natural prose. They start from public wording (below) and go on with a
-bounded sample of the records themselves (``SAMPLE_ROWS``, documented parameter):
+notices, and natural prose. They start from public wording (below) and go on with the records
+themselves, all of them:
 
-1. The first models know the public wording of residue, and as prose the long records of
-   the sample and sentences that speak of errors, scripts or templates.
-2. They judge the sample; what is all residue, and what is all prose, is counted into the
+1. The first models know the public wording of residue, and as prose the long records
+   and sentences that speak of errors, scripts or templates.
+2. They judge every record; what is all residue, and what is all prose, is counted into the
    models of the second fit. So notices that a collection words in its own way are
    learned from those that share some words with known ones.
 
@@ -17,7 +17,8 @@ what is left without navigation, footers, references and the headings of pages.
 and scored by a model of its shape in the same way; one is enough to exclude a record.
 
 n-grams are counted on the executors; tables of fixed size (``BUCKETS``) reach the driver
-and go back. Scoring is vectorised and sees whole texts.
+and go back. Scoring is vectorised and sees whole texts. The records are read three times:
+for each fit, and to be judged.
 
 Defined results: null, empty and blank markdown is no residue (there is no text);
 ``ok`` false or null is never listed by :func:`p5_found`; rows that occur twice are
@@ -36,15 +37,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, table
+from ..runtime import table
 
 ORDER, BUCKETS = 5, 1 << 18
-#: Records, those with the smallest hashes, that the models learn from.
-SAMPLE_ROWS = 4_000
-#: Characters from which a record of the sample is prose for the first fit.
+#: Characters from which a record is prose for the first fit.
 LONG = 700
 WINDOW, RATIO, COVERAGE = 24, 0.35, 0.5
-#: Coverage from which a record of the sample teaches residue, and up to which it teaches prose.
+#: Coverage from which a record teaches residue, and up to which it teaches prose.
 SURE, NONE = 0.6, 0.02
 
 # Public wording of common servers, frameworks, hosts and page builders.
@@ -114,24 +113,30 @@ def _codes(text: str) -> np.ndarray:
 
 
 _HOST = re.compile(r"(?<![\w-])(?:https?://)?(?:[\w-]++\.)+[a-z]{2,12}(?:/\S*)?", re.I)
+_DOT = re.compile(r"\.[a-z]{2}", re.I)  # no host is without
 _WIDE = re.compile("[！-～]")
-_DIGITS = re.compile(r"\d+")
+_DIGIT, _ZEROS = re.compile(r"\d"), re.compile("000+")
 
 
 def _prepared(text: str) -> str:
-    text = _HOST.sub(" ", text)
+    if _DOT.search(text):
+        text = _HOST.sub(" ", text)
     if _WIDE.search(text):
         text = unicodedata.normalize("NFKC", text)
-    return " ".join(_DIGITS.sub(lambda m: "0" if m.end() - m.start() == 1 else "00", text.casefold()).split())
+    return " ".join(_ZEROS.sub("00", _DIGIT.sub("0", text.casefold())).split())
 
 
 def _counts(texts: Iterable[str]) -> np.ndarray:
-    out = np.zeros(BUCKETS, np.float64)
+    out, held, n = np.zeros(BUCKETS, np.float64), [], 0
     for t in texts:
         c = _codes("   " + _prepared(t) + "  ")
         if len(c) >= ORDER:
-            out += np.bincount(_hashes(c), minlength=BUCKETS)
-    return out
+            held.append(_hashes(c))
+            n += len(held[-1])
+        if n >= BUCKETS:  # many texts at once: each count goes through the whole table
+            out += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held, n = [], 0
+    return out + np.bincount(np.concatenate(held), minlength=BUCKETS) if held else out
 
 
 def _split(block: str) -> list[str]:
@@ -139,11 +144,17 @@ def _split(block: str) -> list[str]:
 
 
 def _ratio(residue: np.ndarray, natural: np.ndarray) -> np.ndarray:
-    """The log-likelihood ratio for each bucket of n-grams; those of neither model say nothing."""
+    """The log-likelihood ratio for each bucket of n-grams; those of neither model say nothing.
+
+    Those that no residue has never speak for it: there is far more prose, so that what is
+    rare in it would otherwise be less likely than what the smoothing gives residue.
+    """
     a = 0.05
     r = np.log((residue + a) / (residue.sum() + a * BUCKETS))
     n = np.log((natural + a) / (natural.sum() + a * BUCKETS))
-    return np.where((residue == 0) & (natural == 0), 0.0, np.clip(r - n, -4, 4)).astype(np.float32)
+    score = np.clip(r - n, -4, 4)
+    score = np.where(residue == 0, np.minimum(score, 0), score)
+    return np.where((residue == 0) & (natural == 0), 0.0, score).astype(np.float32)
 
 
 @lru_cache(1)
@@ -185,23 +196,44 @@ def _content(text: str) -> tuple[str, str]:
     return _QUOTED.sub(" ", bare), bare
 
 
-def _windows(plain: str, model: np.ndarray) -> tuple[int, int, float]:
-    """How many places of ``plain`` lie in residue windows, of how many, and the mean of the first window."""
+def _sums(score: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
+
+
+def _windows(plain: str, model: np.ndarray) -> tuple[int, int]:
+    """How many places of ``plain`` lie in residue windows, and of how many."""
     c = _codes("  " + plain + "  ")
     if len(c) < ORDER:
-        return 0, 0, 0.0
-    score = model[_hashes(c)]
-    n = len(score)
+        return 0, 0
+    sums = _sums(model[_hashes(c)])
+    n = len(sums) - 1
     w = min(WINDOW, n)
-    sums = np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
-    mean = (sums[w:] - sums[:-w]) / w
-    at = np.flatnonzero(mean > RATIO)
+    at = np.flatnonzero((sums[w:] - sums[:-w]) / w > RATIO)
     if not len(at):
-        return 0, n, float(mean[0])
+        return 0, n
     hit = np.zeros(n + 1, np.int64)
-    np.add.at(hit, at, 1)
-    np.add.at(hit, at + w, -1)
-    return int((np.cumsum(hit[:-1]) > 0).sum()), n, float(mean[0])
+    hit[at] += 1
+    hit[at + w] -= 1
+    return int((np.cumsum(hit[:-1]) > 0).sum()), n
+
+
+def _apart(lines: list[str], model: np.ndarray, filler: np.ndarray) -> tuple[int, int]:
+    """As :func:`_windows` summed over ``lines``, where those that open with a window of filler count whole."""
+    size = np.array([len(x) + 4 for x in lines])
+    start, n = np.cumsum(size) - size, size - (ORDER - 1)
+    w = np.minimum(WINDOW, n)
+    h = _hashes(_codes("".join(f"  {x}  " for x in lines)))
+    sums, known = _sums(model[h]), _sums(filler[h])
+    line = np.repeat(np.arange(len(lines)), size)[: len(h)]
+    at = np.arange(len(h))
+    at = at[at - start[line] <= (n - w)[line]]  # windows that end in their line
+    wide = w[line[at]]
+    yes = (sums[at + wide] - sums[at]) / wide > RATIO
+    hit = np.zeros(len(h) + 1, np.int64)
+    hit[at[yes]] += 1
+    hit[(at + wide)[yes]] -= 1
+    inside = np.add.reduceat(np.cumsum(hit[:-1]) > 0, start, dtype=np.int64)
+    return int(np.where((known[start + w] - known[start]) / w > RATIO, n, inside).sum()), int(n.sum())
 
 
 def coverage(text: str, model: np.ndarray) -> float:
@@ -210,25 +242,29 @@ def coverage(text: str, model: np.ndarray) -> float:
     Where that is some but not enough, paragraphs are judged apart: one that opens with
     a window of filler is filler to its end, whatever made-up words follow.
     """
-    _, bare = _content(text)
+    return _covered(_content(text)[1], model)
+
+
+def _covered(bare: str, model: np.ndarray) -> float:
     heads = _HEAD.findall(bare)
     body = _HEAD.sub("", bare)
     use = body if body.strip() else "\n".join(heads)
-    r, n, _ = _windows(_prepared(use).strip(), model)
+    r, n = _windows(_prepared(use).strip(), model)
     if not r or r >= COVERAGE * n:
         return r / n if r else 0.0
-    filler, inside, whole = _filler_model(), 0, 0
-    for line in filter(None, (_prepared(x).strip() for x in use.split("\n"))):
-        ri, ni, _ = _windows(line, model)
-        inside += ni if _windows(line, filler)[2] > RATIO else ri
-        whole += ni
-    return max(r / n, inside / max(1, whole))
+    lines = [x for x in map(_prepared, use.split("\n")) if x]
+    inside, whole = _apart(lines, model, _filler_model()) if lines else (0, 1)
+    return max(r / n, inside / whole)
 
 
 def has_placeholder(text: str) -> bool:
     """Whether a placeholder stands unfilled outside code and quotations: found by its form, judged by the model of shapes."""
+    return _unfilled(_content(text)[0])
+
+
+def _unfilled(plain: str) -> bool:
     model = _placeholder_model()
-    for m in _PLACEHOLDER.finditer(_content(text)[0]):
+    for m in _PLACEHOLDER.finditer(plain):
         c = _codes("   " + _prepared(_shape(m.group())) + "  ")
         if len(c) >= ORDER and model[_hashes(c)].mean() > 0:
             return True
@@ -236,44 +272,48 @@ def has_placeholder(text: str) -> bool:
 
 
 def is_residue(text: str, model: np.ndarray) -> bool:
-    return coverage(text, model) >= COVERAGE or has_placeholder(text)
+    plain, bare = _content(text)
+    return _covered(bare, model) >= COVERAGE or _unfilled(plain)
 
 
-def _gather(sample: DataFrame, learn) -> np.ndarray:
-    """(residue, prose) counts of n-grams that ``learn`` finds in the texts of ``sample``, counted where these are."""
+def _gather(pages: DataFrame, learn) -> np.ndarray:
+    """Counts of n-grams in the texts of ``pages`` that ``learn`` puts into kind 0 and into kind 1, counted where these are.
+
+    ``learn`` takes a text and what :func:`_content` leaves of it with quotations.
+    """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, BUCKETS))
         for pdf in parts:
+            found = [[], []]
             for t in pdf["markdown"]:
-                kind = learn(t)
+                bare = _content(t)[1]
+                kind = learn(t, bare)
                 if kind is not None:
-                    total[kind] += _counts([_content(t)[1]])
+                    found[kind].append(bare)
+            for kind in (0, 1):
+                total[kind] += _counts(found[kind])
         for kind in (0, 1):
             at = np.flatnonzero(total[kind])
             yield pd.DataFrame({"kind": kind, "at": at, "n": total[kind][at].astype(np.int64)})
 
     out = np.zeros((2, BUCKETS))
-    for r in sample.select("markdown").mapInPandas(count, "kind int, at int, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():  # at most 2 * BUCKETS rows
-        out[r["kind"], r["at"]] = r["n"]
+    got = pages.select("markdown").mapInPandas(count, "kind int, at int, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * BUCKETS rows
+    out[got["kind"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def fitted(pages: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """The models fitted on ``rows`` records of ``pages``, the same for the same table: those with the smallest hashes."""
-    real = pages.where("ok and trim(markdown) <> ''").withColumn("__h", F.xxhash64("kayit_no"))
-    top = real.select("__h").orderBy("__h").limit(rows).agg(F.max("__h")).first()[0]
-    if top is None:
-        return fit([])
-    sample = cut(real.where(F.col("__h") <= F.lit(top)).select("markdown"))
-    first = fit(_gather(sample, lambda t: 1 if len(t) > LONG else None)[1])
-    shared = pages.sparkSession.sparkContext.broadcast(first)
+def fitted(pages: DataFrame) -> np.ndarray:
+    """The models fitted on all records of ``pages``, the same for the same records in any order and partitions."""
+    real = pages.where("ok and trim(markdown) <> ''")
+    long = _gather(real, lambda t, _: 1 if len(t) > LONG else None)[1]
+    shared = pages.sparkSession.sparkContext.broadcast(fit(long))
 
-    def learn(t: str) -> int | None:
-        c = coverage(t, shared.value)
+    def learn(t: str, bare: str) -> int | None:
+        c = _covered(bare, shared.value)
         return 0 if c >= SURE else 1 if c <= NONE and len(t) > LONG else None
 
-    residue, prose = _gather(sample, learn)
+    residue, prose = _gather(real, learn)
     return fit(prose, residue)
 
 

@@ -69,6 +69,44 @@ def test_models_learn_from_the_records(spark):
     assert (R.fitted(df.limit(0)) == R.fit([])).all()
 
 
+def test_models_learn_from_every_record(spark):
+    """Notices are learned wherever they stand among the hashes of the keys, and whatever the partitions."""
+    from pyspark.sql import functions as F
+
+    ids = [r["id"] for r in spark.range(4400).orderBy(F.xxhash64("id")).collect()]
+    own = "Page not found. The page you were looking for doesn't exist, or the page may have moved. Wardrobe clerks of velda keep quiet."
+    rows = [(k, True, " ".join(PROSE[i % 60 : i % 60 + 8]) if i < 4200 else f"{own} {i}") for i, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "kayit_no long, ok boolean, markdown string")
+    whole = R.fitted(df)
+    assert R.is_residue("Wardrobe clerks of velda keep quiet.", whole)
+    assert (R.fitted(df.repartition(3)) == whole).all()
+
+
+def test_every_record_is_counted(spark):
+    texts = [f"{PROSE[i % 60]} {i}\n\n`code {i}`" for i in range(5000)]
+    df = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "kayit_no long, ok boolean, markdown string")
+    got = R._gather(df, lambda t, bare: int(t.endswith("7`")))
+    for kind in (0, 1):
+        assert (got[kind] == sum(R._counts([R._content(t)[1]]) for t in texts if t.endswith("7`") == kind)).all()
+
+
+def test_rare_wording_of_prose_is_no_residue():
+    """However much prose there is, n-grams that no residue has do not speak for residue."""
+    residue, natural = R._counts(["Page not found"] * 9), R._counts(PROSE * 2000 + ["Krоајоark sсhémа du cоffre"])
+    score = R._ratio(residue, natural)
+    assert (score[residue == 0] <= 0).all() and (score[residue > 0] > 0).any()
+    assert R.coverage("Krоајоark sсhémа du cоffre", score) < R.NONE
+
+
+def test_lines_apart(model):
+    """Lines judged at once are as those judged one by one."""
+    filler = R._filler_model()
+    lines = ["lorem ipsum velastra komid frenu talgost", "x", "502 bad gateway", R._prepared(PROSE[0]), "page not found " + R._prepared(PROSE[1]), "it works!"]
+    one = [R._apart([x], model, filler) for x in lines]
+    assert R._apart(lines, model, filler) == (sum(a for a, _ in one), sum(n for _, n in one))
+    assert one[0] == (len(lines[0]), len(lines[0])) and all(o == R._windows(x, model) for o, x in zip(one[1:-1], lines[1:-1]))
+
+
 def test_defined_results(spark, model):
     rows = [(1, True, None), (2, True, " \n"), (3, True, "502 Bad Gateway"), (4, None, "502 Bad Gateway"), (3, True, "502 Bad Gateway")]
     df = spark.createDataFrame(rows, "kayit_no long, ok boolean, markdown string")
